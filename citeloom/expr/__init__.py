@@ -1,0 +1 @@
+"""Expr of the engine."""

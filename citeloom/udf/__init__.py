@@ -1,0 +1 @@
+"""Udf of the engine."""

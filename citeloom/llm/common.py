@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def whole_text(name: str = "text") -> Column:
@@ -16,6 +21,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def fields(ddl: str) -> list[T.StructField]:
+    """Fields of plain kinds from "name kind, ..."; needs no session, so modules can use it."""
+    return [T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in ddl.split(","))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,3 +78,23 @@ def matched(left: DataFrame, right: DataFrame, names: list[str], how: str = "inn
     )
     held = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
     return left.join(apart, reduce(Column.__and__, held), how).drop(*[f"_r_{n}" for n in names])
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows with about `limit` bytes of text, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = np.cumsum(sizes, dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def crc_mod(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def bounded_sample(rows: DataFrame, order: list[str], n: int) -> list[Row]:
+    """The first n rows in the order of a hash of `order`: at most n, whatever the input."""
+    return rows.orderBy(F.xxhash64(*order), *order).limit(n).collect()

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.llm.common import pieces
+
 #: Words of a window.
 WINDOW = 10
 #: Bytes of item text that one automaton may hold; more items make more automata.
@@ -152,7 +154,7 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int
     kinds = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole)):
             texts = batch.column("text").to_pylist()
             split = [words(t) for t in texts]
             hits: list[set[int]] = [set() for _ in texts]

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontaminate, exact_dedup, sharding, token_counts
-from citeloom.llm.common import table
+from citeloom.llm import chat, decontaminate, exact_dedup, language_id, packing, sharding, token_counts, toxicity
+from citeloom.llm.common import crc_mod, table
 from citeloom.session import ship
 
 #: The tokenizer files' folder; its module tells the place where it is installed.
@@ -25,11 +25,48 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, shortest pack first."""
+    ship(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+#: A conversation of control strings that every result must carry through.
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what their formatted texts read back as."""
+    ship(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(turns.unionByName(probe)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by deterministic block naming."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a random field over their words."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents from averaged subword embeddings."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     ship(spark)
@@ -55,13 +92,33 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_chat": op2_chat,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_shards": op9_shards,
 }
 
+def _escapes() -> str:
+    """SQL for the number of backslashes that the chat template adds to `text`."""
+    counts = [f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROL)]
+    return " + ".join(counts)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum({len(chat.TURN)} + length(role) + 1 + length(text) + {_escapes()} + {len(chat.END)} + 1)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from citeloom.llm.common import fields, pieces
+
 #: Distinct pre-tokens that a worker remembers.
 REMEMBERED = 1 << 20
 
 
-def _byte_signs() -> dict[str, int]:
+def byte_signs() -> dict[str, int]:
     """The visible sign that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
@@ -63,7 +65,7 @@ class TokenCounter:
 
     def proved(self, model: dict) -> set[str]:
         """Vocabulary strings that, as a pre-token, the tokenizer encodes as that one token."""
-        signs, end = _byte_signs(), model["end_of_word_suffix"]
+        signs, end = byte_signs(), model["end_of_word_suffix"]
         texts = []
         for v in model["vocab"]:
             if v.endswith(end) and all(c in signs for c in v[: -len(end)]):
@@ -105,11 +107,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     Null text counts as empty and has no tokens; repeated rows are counted each;
     other columns are not read. Texts are never cut.
     """
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, n_tokens long, over_limit boolean").fields])
+    schema = T.StructType([docs.schema["doc_id"], *fields("n_bytes long, n_tokens long, over_limit boolean")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole)):
             texts = batch.column("text").to_pylist()
             n = [c.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -98,3 +98,49 @@ def crc_mod(column: str, n: int) -> Column:
 def bounded_sample(rows: DataFrame, order: list[str], n: int) -> list[Row]:
     """The first n rows in the order of a hash of `order`: at most n, whatever the input."""
     return rows.orderBy(F.xxhash64(*order), *order).limit(n).collect()
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """`rows` with what `groups` (a row for each key, `size` the rows it has) says of their key.
+
+    Groups with a thousandth of the rows or more, a thousand at most, are
+    broadcast, so their rows stay where they are; the others are joined by key.
+    Settle both first.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
+    hot = F.broadcast(groups.filter(F.col(size) * 1000 >= total))
+    cold = groups.filter(F.col(size) * 1000 < total)
+    return matched(rows, hot, keys).unionByName(
+        matched(matched(rows, hot.select(*keys), keys, "left_anti"), cold, keys)
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of `edges` (a, b); the root is the component's least node.
+
+    Stars are contracted in turns: each node sends its larger neighbours, then
+    its smaller ones, to the least node it knows. The number of turns grows with
+    the logarithm of a component's size; what is kept is one table of edges.
+    """
+    now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        now = _star(settle(both), F.col("u") > F.col("v"))
+        now = _star(now, F.lit(True))
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    found = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _star(pairs: DataFrame, moved: Column) -> DataFrame:
+    """One turn: neighbours u of v that are `moved` go to the least node that v knows."""
+    least = settle(pairs.groupBy("v").agg(F.min("u").alias("least"), F.count(F.lit(1)).alias("n")))
+    least = least.withColumn("m", F.least("v", "least"))
+    told = with_groups(pairs, least.select("v", "m", "n"), ["v"], "n")
+    sent = told.filter(moved & (F.col("u") != F.col("m"))).select(F.greatest("u", "m").alias("v"), F.least("u", "m").alias("u"))
+    own = least.filter("v <> m").select("v", F.col("m").alias("u"))
+    return settle(sent.unionByName(own).distinct())

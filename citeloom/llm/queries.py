@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, exact_dedup, language_id, packing, sharding, token_counts, toxicity
+from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, sharding, token_counts, toxicity
 from citeloom.llm.common import crc_mod, table
 from citeloom.session import ship
 
@@ -67,6 +67,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents alike in five-word shingles."""
+    ship(spark)
+    return jaccard.alike(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     ship(spark)
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_jaccard": op6_jaccard,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_shards": op9_shards,
@@ -125,6 +132,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op6_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[k:k + least(len(w), 5) - 1], ' ')) AS g
+                   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5 + 1, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+             n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+             e AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+             e2 AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+             r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, e2.b FROM r JOIN e2 ON e2.a = r.c)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+    """,
     "op7_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
              b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, sharding, token_counts, toxicity
+from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, sharding, substring_dedup, token_counts, toxicity
 from citeloom.llm.common import crc_mod, table
 from citeloom.session import ship
 
@@ -97,6 +97,12 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents under a 100-byte string that stood earlier, by suffix arrays."""
+    ship(spark)
+    return substring_dedup.removed(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_shards": op9_shards,
+    "op10_substrings": op10_substrings,
 }
 
 def _escapes() -> str:

@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,9 +96,15 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_sample(rows: DataFrame, order: list[str], n: int) -> list[Row]:
-    """The first n rows in the order of a hash of `order`: at most n, whatever the input."""
-    return rows.orderBy(F.xxhash64(*order), *order).limit(n).collect()
+def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
+    """Of rows with a doc_id, at most those of the n doc_ids first in the order of a hash.
+
+    Ids are chosen without the columns beside them, so texts that are not chosen
+    never leave their tasks.
+    """
+    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(n)
+    chosen = rows.sparkSession.createDataFrame([(r.doc_id,) for r in ids.collect()], T.StructType([rows.schema["doc_id"]]))
+    return matched(rows, F.broadcast(chosen), ["doc_id"], "left_semi")
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:

@@ -9,9 +9,9 @@ probability; texts under a probability are marked as rejected.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,23 @@ REJECT = 0.5
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def _pieces(word: str) -> list[int]:
-    w = f"<{word.lower()}>"
-    found = {w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(found)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 1- to 4-letter pieces of words (with their ends marked), word by
+    word, and how many each word has."""
+    marked = [f"<{w.lower()}>" for w in words]
+    sizes = np.array([len(w) for w in marked], np.int64)
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ids, owners = [], []
+    h = np.zeros(len(code), np.uint64)
+    for n in range(1, 5):
+        h = (h[: len(code) - n + 1] + code[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        inside = owner[: len(h)] == owner[n - 1 :]
+        ids.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[: len(h)][inside])
+    whole = np.concatenate(owners)
+    return np.concatenate(ids)[np.argsort(whole, kind="stable")], np.bincount(whole, minlength=len(words))
 
 
 @dataclass
@@ -54,29 +67,23 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-def _parts(text: str, memo: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights, which sum to 1."""
     words = _WORD.findall(text)
-    ids, weights = [], []
-    for w in words:
-        if w not in memo:
-            memo[w] = _pieces(w)
-        ids += memo[w]
-        weights += [1 / len(memo[w])] * len(memo[w])
-    if not ids:
+    if not words:
         return np.zeros(0, int), np.zeros(0)
+    ids, counts = grams(words)
     found, where = np.unique(ids, return_inverse=True)
-    return found, np.bincount(where, weights) / len(words)
+    return found, np.bincount(where, np.repeat(1 / counts, counts)) / len(words)
 
 
-def train(texts: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 7) -> Model:
-    """Fits a model to (text, language) rows."""
-    langs = sorted({lang for _, lang in texts}) or ["und"]
+def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 7) -> Model:
+    """Fits a model to (language, text) rows."""
+    langs = sorted({lang for lang, _ in rows}) or ["und"]
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.1, (BUCKETS, WIDTH))
     layer, bias = random.normal(0, 0.1, (WIDTH, len(langs))), np.zeros(len(langs))
-    memo: dict[str, list[int]] = {}
-    parts = [(_parts(t, memo), langs.index(lang)) for t, lang in texts]
+    parts = [(_parts(t), langs.index(lang)) for lang, t in rows]
     parts = [p for p in parts if len(p[0][0])]
     held, ours = parts[::8], [p for k, p in enumerate(parts) if k % 8] or parts
     steps = max(1, epochs * -(-len(ours) // batch))
@@ -129,11 +136,11 @@ class Vectors:
         if len(index) > known:
             if len(index) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((len(index), WIDTH), np.float32)])
-            new = list(index)[known:]
-            ids = [_pieces(w) for w in new]
-            counts = np.array([len(i) for i in ids])
-            sums = np.add.reduceat(self.model.table[np.concatenate(ids)], np.r_[0, np.cumsum(counts)[:-1]])
-            self.rows[known : len(index)] = sums / counts[:, None]
+            new = list(islice(index, known, None))
+            for a in range(0, len(new), 20_000):
+                ids, counts = grams(new[a : a + 20_000])
+                sums = np.add.reduceat(self.model.table[ids], np.r_[0, np.cumsum(counts)[:-1]])
+                self.rows[known + a : known + a + len(counts)] = sums / counts[:, None]
         return self.rows[np.array(at, dtype=np.int64)]
 
 
@@ -162,7 +169,7 @@ def fit(docs: DataFrame) -> Model:
     ours = docs.select("doc_id", "text", "lang").filter(
         (crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
     )
-    return train([(r.text, r.lang) for r in bounded_sample(ours, ["doc_id", "text"], SAMPLE)])
+    return train(sorted((r.lang, r.text) for r in bounded_sample(ours, SAMPLE).select("lang", "text").collect()))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -17,7 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import bounded_sample, crc_mod, pieces
+from citeloom.llm.common import bounded_sample, crc_mod, matched, pieces, settle
 
 #: Labelled rows of each class that the field is fitted on, at most, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 1500, 8192
@@ -39,13 +39,15 @@ REMEMBERED = 1 << 20
 _TOKEN = re.compile(r"\w+|[.!?\n]+")
 
 
-def _features(word: str) -> list[str]:
-    w = word.lower()
-    return [f"={w}", *(f"^{k}{w[:k]}" for k in (4, 5, 6, 7, 8) if len(w) > k), f"${w[-4:]}"]
-
-
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+def _features(word: str) -> list[int]:
+    """Buckets of a word: its ending, the word, and its beginnings of four bytes and more."""
+    w = word.lower().encode("utf-8", "surrogatepass")
+    begun = zlib.crc32(w[:4], 1)
+    out = [zlib.crc32(w[-4:], 2) % BUCKETS, zlib.crc32(w, 3) % BUCKETS]
+    for k in range(4, min(len(w), 10)):
+        out.append(begun % BUCKETS)
+        begun = zlib.crc32(w[k : k + 1], begun)
+    return out
 
 
 @dataclass
@@ -88,7 +90,7 @@ class Field:
         """Log odds of a word by itself; not a number at a mark that ends a chain."""
         if word[0] in ".!?\n":
             return float("nan")
-        return self.bias + float(self.weights[[_bucket(f) for f in _features(word)]].sum())
+        return self.bias + sum(map(self.weights.__getitem__, _features(word)))
 
     def passes(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of the forward and backward messages of chains; `e` is 0 below a chain's end."""
@@ -133,12 +135,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def marked(texts: list[tuple[str, int]]) -> set[str]:
+def marked(texts: list[tuple[str, int]]) -> set[int]:
     """Features that mark tokens of toxic documents, from documents and their labels."""
     toxic, clean = Counter(), Counter()
     n = [0, 0]
     for text, label in texts:
-        found = {f for w in set(_TOKEN.findall(text)) if w[0] not in ".!?\n" for f in _features(w) if f[0] != "$"}
+        found = {f for w in set(_TOKEN.findall(text)) if w[0] not in ".!?\n" for f in _features(w)[1:]}
         (toxic if label else clean).update(found)
         n[bool(label)] += 1
     if not min(n):
@@ -155,49 +157,59 @@ def train(texts: list[tuple[str, int]], rounds: int = 30, rate: float = 0.5) ->
         return out
     part, rest = texts[::3] + texts[1::3], texts[2::3] or texts
     index: dict[str, int] = {}
-    codes, gold = [], []
-    for text, label in part:
-        for w in [*_TOKEN.findall(text), "\n"]:
-            codes.append(-1 if w[0] in ".!?\n" else index.setdefault(w, len(index)))
-            gold.append(bool(label) and codes[-1] >= 0 and not marks.isdisjoint(_features(w)))
-    code, y = np.array(codes), np.array(gold)
-    chains = Chains.of(code < 0)
-    word, y = code[code >= 0], y[code >= 0].astype(float)
-    feats = [[_bucket(f) for f in _features(w)] for w in index]
+    slices = []
+    for at in range(0, len(part), 100):
+        codes, gold = [], []
+        for text, label in part[at : at + 100]:
+            for w in [*_TOKEN.findall(text), "\n"]:
+                codes.append(-1 if w[0] in ".!?\n" else index.setdefault(w, len(index)))
+                gold.append(bool(label) and codes[-1] >= 0 and not marks.isdisjoint(_features(w)[1:]))
+        code, y = np.array(codes), np.array(gold)
+        slices.append((Chains.of(code < 0), code[code >= 0], y[code >= 0].astype(float)))
+    feats = [_features(w) for w in index]
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     flat = np.concatenate([np.array(f) for f in feats])
-    grid = chains.spread(y)
-    there = chains.spread(np.ones(len(word))).astype(bool)
-    follows = there[1:]
     square, step_square, bias_square = np.full(BUCKETS, 1e-3), np.full((2, 2), 1e-3), 1e-3
     for _ in range(rounds):
         by_word = out.bias + np.bincount(owner, out.weights[flat], len(feats))
-        e = chains.spread(by_word[word], -30.0)
-        ahead, back = out.passes(e)
-        p = _sigmoid((ahead + back)[chains.row, chains.column])
-        off = p - y
-        g = np.bincount(flat, np.bincount(word, off, len(feats))[owner], BUCKETS) + 0.01 * out.weights
+        off, pair = np.zeros(len(feats)), np.zeros((2, 2))
+        for chains, word, y in slices:
+            some, steps = _pull(out, chains, word, y, by_word)
+            off += some
+            pair += steps
+        g = np.bincount(flat, off[owner], BUCKETS) + 0.01 * out.weights
         square += g * g
         out.weights -= rate * g / np.sqrt(square)
         bias_square += off.sum() ** 2
         out.bias -= rate * off.sum() / np.sqrt(bias_square)
-        x = (e + back)[1:]
-        pair = np.stack([np.zeros_like(x), x, ahead[:-1], ahead[:-1] + x]) + out.steps.reshape(4, 1, 1)
-        pair = np.exp(pair - pair.max(0))
-        pair = (pair / pair.sum(0) * follows).sum((1, 2)).reshape(2, 2)
-        for a in (0, 1):
-            for b in (0, 1):
-                pair[a, b] -= ((grid[:-1] == a) & (grid[1:] == b) & follows).sum()
         pair += 0.01 * out.steps
         step_square += pair * pair
         out.steps = out.steps - 0.3 * rate * pair / np.sqrt(step_square)
     return _layer(out, rest)
 
 
+def _pull(out: Field, chains: Chains, word: np.ndarray, y: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of some chains: for each word its marginals less its labels, and for the
+    transitions what the field expects less what stands there."""
+    e = chains.spread(by_word[word], -30.0)
+    ahead, back = out.passes(e)
+    off = np.bincount(word, _sigmoid((ahead + back)[chains.row, chains.column]) - y, len(by_word))
+    grid = chains.spread(y)
+    follows = chains.spread(np.ones(len(word))).astype(bool)[1:]
+    x = (e + back)[1:]
+    pair = np.stack([np.zeros_like(x), x, ahead[:-1], ahead[:-1] + x]) + out.steps.reshape(4, 1, 1)
+    pair = np.exp(pair - pair.max(0))
+    pair = (pair / pair.sum(0) * follows).sum((1, 2)).reshape(2, 2)
+    for a in (0, 1):
+        for b in (0, 1):
+            pair[a, b] -= ((grid[:-1] == a) & (grid[1:] == b) & follows).sum()
+    return off, pair
+
+
 def _layer(out: Field, texts: list[tuple[str, int]]) -> Field:
     """Fits the document layer by Newton steps."""
     memo = Emissions(out)
-    x, _, _ = _seen(memo, [t for t, _ in texts])
+    x = np.concatenate([_seen(memo, [t for t, _ in texts[k : k + 100]])[0] for k in range(0, len(texts), 100)])
     y = np.array([float(bool(label)) for _, label in texts])
     w = np.zeros(x.shape[1])
     pull = np.diag([1e-3, 0.05, 0.05, 0.05])
@@ -214,7 +226,7 @@ class Emissions(dict):
 
     def __init__(self, model: Field) -> None:
         super().__init__()
-        self.model = model
+        self.model = replace(model, weights=model.weights.tolist())  # a list is read faster, place by place
 
     def __missing__(self, word: str) -> float:
         if len(self) > REMEMBERED:
@@ -243,10 +255,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     with a null label or text.
     """
     ours = labels.filter((crc_mod("doc_id", 3) != 1) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (crc_mod("doc_id", 3) != 1))
-    found = texts.join(ours, "doc_id")
-    rows = [r for c in (0, 1) for r in bounded_sample(found.filter(F.col("toxic") == c), ["doc_id", "text"], SAMPLE)]
-    return train(sorted({(r.text, r.toxic) for r in rows}, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r)))
+    short = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (crc_mod("doc_id", 3) != 1))
+    labelled = settle(short.select("doc_id").join(ours, "doc_id"))
+    rows: set[tuple[str, int]] = set()
+    for label in (0, 1):
+        chosen = bounded_sample(labelled.filter(F.col("toxic") == label), SAMPLE).select("doc_id").distinct()
+        ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+        rows |= {(r.text, label) for r in matched(short, F.broadcast(ids), ["doc_id"], "left_semi").select("text").collect()}
+    return train(sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r)))
 
 
 def score(docs: DataFrame, model: Field, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:

@@ -160,3 +160,22 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame, row: Column, by_row: bool = True) -> DataFrame:
+    """The rows of `docs` that `kept` names by doc_id (and `row`), one for each doc_id and `row`.
+
+    Texts are shuffled once: one hash of the key serves the join and the choice.
+    """
+    key = ["doc_id", "_row"] if by_row else ["doc_id"]
+    keyed = docs.withColumn("_row", row).withColumn("_key", F.xxhash64(*key))
+    named = kept.withColumnRenamed("row", "_row").withColumn("_key", F.xxhash64(*key))
+    named = named.select(F.col("_key").alias("_r_key"), *[F.col(k).alias(f"_r_{k}") for k in key])
+    held = [F.col("_key") == F.col("_r_key"), *[F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key]]
+    first = Window.partitionBy("_key", "doc_id", "_row").orderBy(F.lit(1))
+    return (
+        keyed.join(named, reduce(Column.__and__, held), "left_semi")
+        .withColumn("_copy", F.row_number().over(first))
+        .filter("_copy = 1")
+        .select(*docs.columns)
+    )

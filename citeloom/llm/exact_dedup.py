@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import matched, settle, whole_text
+from citeloom.llm.common import matched, one_of_each, settle, whole_text
 
 #: Bytes of a block. Most documents are one or two blocks; a level halves the rest.
 BLOCK = 2048
@@ -108,12 +108,5 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hash_sql: str = "xxhash64(
 
 def drop_exact(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    kept = exact_groups(docs, block).filter("kept").select("doc_id", F.col("row").alias("_row"))
-    keyed = docs.withColumn("_row", F.xxhash64(whole_text()))
-    one = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    return (
-        matched(keyed, kept, ["doc_id", "_row"], "left_semi")
-        .withColumn("_copy", F.row_number().over(one))
-        .filter("_copy = 1")
-        .select(*docs.columns)
-    )
+    kept = exact_groups(docs, block).filter("kept").select("doc_id", "row")
+    return one_of_each(docs, kept, F.xxhash64(whole_text()))

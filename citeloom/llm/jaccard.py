@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import components, fields, matched, partitions, pieces, settle, with_groups
+from citeloom.llm.common import components, fields, matched, one_of_each, partitions, pieces, settle, with_groups
 from citeloom.llm.exchange import CHUNK, Answer, Chunk, shared_tokens
 
 #: Words of a shingle; the least similarity in hundredths.
@@ -327,7 +327,12 @@ def alike(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFr
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that of its id, with all columns."""
+    """The row of each component whose id it bears, with all columns.
+
+    Rows without a doc_id stay only in components where no row has one; there, one
+    of each text stays.
+    """
     found = alike(docs, percent)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return matched(docs, stay, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return one_of_each(docs, stay, apart, by_row=False)

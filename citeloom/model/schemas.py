@@ -1,0 +1,19 @@
+"""The engine's row shapes, as DDL."""
+
+from __future__ import annotations
+
+REF = "id STRING, doi STRING, title STRING, authors ARRAY<STRING>, year INT, raw_text STRING"
+PARSED_REF = f"{REF}, venue STRING, type STRING, parse_status STRING"
+AUTHOR = "STRUCT<name:STRING,orcid:STRING,affiliations:ARRAY<STRING>,orcid_verified:BOOLEAN>"
+OA = "STRUCT<status:STRING,url:STRING,url_kind:STRING,version:STRING,host:STRING,license:STRING>"
+RETRACTION = "STRUCT<type:STRING,label:STRING,date_parts:ARRAY<INT>,source:STRING,doi:STRING,notice_pmid:STRING>"
+CONCERN = "STRUCT<label:STRING,doi:STRING,pmid:STRING>"
+SOURCE_HIT = (
+    "source STRING, ord BIGINT, title STRING, authors ARRAY<STRING>, year INT, date DATE, venue STRING, doi STRING, "
+    f"type STRING, cited_by_count BIGINT, abstract STRING, author_details ARRAY<{AUTHOR}>, oa {OA}, "
+    f"pubtypes ARRAY<STRING>, expression_of_concern {CONCERN}, snowball_direction STRING, retraction {RETRACTION}"
+)
+SOURCE_QUERY = "ref_id STRING, source STRING, query_kind STRING, outcome STRING, error STRING, from_cache BOOLEAN"
+LEDGER = "seq INT, anchor STRING, source_db STRING, dedup STRING, ta_screen STRING, ft_screen STRING, exclude_code STRING, note STRING"
+EXPORT_ENTRY = "type STRING, title STRING, authors ARRAY<STRING>, year INT, venue STRING, doi STRING, url STRING, volume STRING, issue STRING, pages STRING"
+CACHE = "source STRING, key STRING, payload STRING, fetched_at TIMESTAMP"

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators: each a function from DataFrames to a DataFrame."""

@@ -1 +1,5 @@
-"""Plans of the engine."""
+"""Registered queries: operators over the views, and the SQL that states them."""
+
+from citeloom.plans import verification, works
+
+__all__ = ["verification", "works"]

@@ -1,0 +1,91 @@
+"""Bibliographic inputs derived from the plain tables, in SQL that both engines read.
+
+Real inputs are tables of the shapes in `model.schemas`; these views give the
+registered queries such rows from the tables at hand. Row-wise projections and one
+equi-join only, so they prune and push down like the tables themselves.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+_ORD = (
+    "md5(concat_ws('|', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), "
+    "cast(cast(round(l_quantity) as bigint) as string), cast(cast(round(l_extendedprice * 100) as bigint) as string), "
+    "cast(cast(l_shipdate as date) as string), l_returnflag, l_linestatus))"
+)
+_SOURCE = "CASE l_suppkey % 7 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' WHEN 2 THEN 'semantic_scholar' WHEN 3 THEN 'arxiv' WHEN 4 THEN 'pubmed' WHEN 5 THEN 'eric' ELSE 'doi_meta' END"
+
+VIEWS = {
+    "v_hits": f"""
+        SELECT {_ORD} AS ord, {_SOURCE} AS source,
+               CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('10.5555/P', cast(l_partkey as string))
+                    WHEN 2 THEN concat('https://doi.org/10.5555/p', cast(l_partkey as string))
+                    ELSE concat(' DOI:10.5555/p', cast(l_partkey as string), ' ') END AS doi,
+               concat(p_name, CASE l_linenumber % 3 WHEN 0 THEN '. ' WHEN 1 THEN ' - ' ELSE ' ' END, p_brand, ' ', cast(l_partkey as string)) AS title,
+               CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE cast(year(l_shipdate) as int) END AS year,
+               CASE WHEN l_suppkey % 7 = 3 THEN cast(l_shipdate as date) END AS date,
+               p_type AS venue,
+               CASE l_orderkey % 5 WHEN 0 THEN 'Journal-Article' WHEN 1 THEN 'article' WHEN 2 THEN 'proceedings-article' WHEN 3 THEN 'posted-content' ELSE 'dataset' END AS type,
+               CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE cast(round(l_quantity) as bigint) END AS cited_by_count,
+               CASE l_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE concat(' About ', p_type, ' ', cast(l_orderkey as string), ' ') END AS abstract,
+               CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_linestatus = 'O' THEN 'gold' ELSE 'green' END AS oa_status,
+               CASE WHEN l_returnflag = 'A' THEN concat('https://oa.example/', cast(l_orderkey as string)) END AS oa_url,
+               CASE l_linenumber % 3 WHEN 0 THEN 'publishedVersion' WHEN 1 THEN 'acceptedVersion' ELSE 'submittedVersion' END AS oa_version,
+               l_partkey AS work_id, l_orderkey AS batch_id
+        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
+    "v_edges": "SELECT DISTINCT l_orderkey % 1000 AS src_id, l_partkey AS dst_id, CASE l_suppkey % 2 WHEN 0 THEN 'openalex' ELSE 'semantic_scholar' END AS source FROM {lineitem}",
+    "v_refs": """
+        SELECT p_partkey AS ref_id,
+               CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 5 THEN concat('10.9999/x', cast(p_partkey as string)) ELSE concat('10.5555/p', cast(p_partkey as string)) END AS doi,
+               CASE WHEN p_partkey % 13 = 0 THEN 'Unrelated heading entirely' WHEN p_partkey % 17 = 0 AND p_partkey % 6 = 0 THEN '深度学习综述'
+                    ELSE concat(p_name, ': ', p_brand, ' ', cast(p_partkey as string)) END AS title,
+               cast(1996 + p_partkey % 5 as int) AS year,
+               p_type AS venue,
+               CASE WHEN p_partkey % 29 = 0 THEN 'unparsed' ELSE 'ok' END AS parse_status,
+               CASE p_partkey % 7 WHEN 0 THEN 'Crossref' WHEN 1 THEN 'DataCite' WHEN 2 THEN 'ISTIC' WHEN 3 THEN 'CNKI' WHEN 4 THEN 'not_registered' WHEN 5 THEN 'unknown' ELSE NULL END AS doi_ra,
+               p_partkey % 97 = 0 AS manual_verified
+        FROM {part}""",
+    "v_evidence": """
+        SELECT l_partkey AS ref_id, concat(p_name, ' ', p_brand, ' ', cast(l_partkey as string)) AS title,
+               concat('10.5555/p', cast(l_partkey as string)) AS doi, cast(year(l_shipdate) as int) AS year, p_type AS venue,
+               md5(concat(cast(l_orderkey as string), '|', cast(l_linenumber as string), '|', cast(l_suppkey as string), '|', cast(cast(l_shipdate as date) as string), '|', cast(cast(round(l_extendedprice * 100) as bigint) as string))) AS ord,
+               l_orderkey % 200 = 0 AS retracted, CASE l_suppkey % 2 WHEN 0 THEN 'crossref' ELSE 'openalex' END AS source
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_partkey % 3 <> 0 AND l_linenumber <= 2""",
+    "v_queries": """
+        SELECT l_partkey AS ref_id, CASE l_suppkey % 3 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' ELSE 'arxiv' END AS source,
+               CASE WHEN l_orderkey % 10 = 0 THEN 'error' WHEN l_partkey % 3 <> 0 THEN 'hit' ELSE 'miss' END AS outcome,
+               CASE WHEN l_orderkey % 10 = 0 THEN CASE l_orderkey % 3 WHEN 0 THEN 'TIMEOUT' WHEN 1 THEN 'CONN_FAILED' ELSE 'SERVER_ERROR' END END AS error,
+               l_linenumber % 2 = 0 AS from_cache
+        FROM {lineitem}""",
+    "v_authors": """
+        SELECT c_custkey AS ord, CASE c_custkey % 2 WHEN 0 THEN 'openalex' ELSE 'semantic_scholar' END AS source,
+               concat('Author ', cast(c_custkey % 400 as string)) AS name, concat('A', cast(c_custkey as string)) AS entity_id,
+               CASE WHEN c_custkey % 3 = 0 THEN concat('https://orcid.org/0000-0001-', lpad(cast(c_custkey % 50 as string), 4, '0'), '-000x') END AS orcid,
+               cast(abs(round(c_acctbal)) as bigint) AS works_count, c_mktsegment AS affiliation, c_custkey % 4 = 0 AS exact_name_match
+        FROM {customer}""",
+    "v_ledger": """
+        SELECT o_orderkey AS seq,
+               CASE WHEN o_orderkey % 10 = 0 THEN '重复#1' WHEN o_orderkey % 97 = 0 THEN '保留?' ELSE '保留' END AS dedup,
+               CASE o_orderkey % 8 WHEN 0 THEN '排除' WHEN 1 THEN '待定' WHEN 2 THEN '' ELSE '进入全文' END AS ta_screen,
+               CASE o_custkey % 6 WHEN 0 THEN '排除' WHEN 1 THEN '全文不可得' WHEN 2 THEN '待定' WHEN 3 THEN '' ELSE '纳入' END AS ft_screen,
+               CASE WHEN o_custkey % 6 = 0 AND o_orderkey % 7 <> 0 THEN substring(o_orderpriority, 1, 1) ELSE '' END AS exclude_code
+        FROM {orders}""",
+    "v_trace": """
+        SELECT event_id, cast(ts as date) AS day, CASE event_type WHEN 'click' THEN 'find' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'check' WHEN 'signup' THEN 'draft' ELSE 'other' END AS command
+        FROM {events}""",
+}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over the Parquet tables of `sf_dir`."""
+    sql = VIEWS[name]
+    used = set(re.findall(r"\{(\w+)\}", sql))
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+def duck(*names: str) -> str:
+    """The same views as common table expressions for the SQL side."""
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n])})" for n in names)

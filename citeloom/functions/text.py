@@ -128,6 +128,7 @@ def restore_abstract(index: Column) -> Column:
     """Text from a map of word to positions; of words at one position the last wins."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     numbered = F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
-    ordered = F.array_sort(numbered)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
-    return F.nullif(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
+    # bound as a variable, so that the order is worked out once and not for each word
+    last = lambda o: F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True)))
+    joined = F.transform(F.array(F.array_sort(numbered)), lambda o: F.array_join(F.transform(last(o), lambda x: x["w"]), " "))
+    return F.nullif(F.get(joined, 0), F.lit(""))

@@ -1,5 +1,5 @@
 """Registered queries: operators over the views, and the SQL that states them."""
 
-from citeloom.plans import verification, works
+from citeloom.plans import screening, texts, verification, works
 
-__all__ = ["verification", "works"]
+__all__ = ["screening", "texts", "verification", "works"]

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources: files and payloads as rows of the engine's shapes."""

@@ -60,14 +60,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
 
     Rows of a key are dealt into hash buckets of `order`; ranks run bucket by
     bucket. Only counts, one per key and bucket, are ordered within a key, so
-    no task sorts a whole key. `df` is evaluated twice: settle it first.
+    no task sorts a whole key. Keys are never null, so the join is a plain one,
+    whose deal by key and bucket serves the ranks too. `df` is evaluated twice:
+    settle it first.
     """
     buckets = 8 * partitions(df.sparkSession)
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    joined = matched(dealt, starts, [*keys, "_b"])
+    joined = dealt.join(starts, [*keys, "_b"])
     within = Window.partitionBy(*keys, "_b").orderBy(*order)
     return joined.withColumn(out, F.col("_start") + F.row_number().over(within) - 1).drop("_b", "_start")
 

@@ -76,6 +76,10 @@ class Chains:
         out[self.row, self.column] = values
         return out
 
+    def follows(self) -> np.ndarray:
+        """From the second place on: whether a word of the chain stands there."""
+        return self.spread(np.ones(len(self.row))).astype(bool)[1:]
+
 
 @dataclass
 class Field:
@@ -92,15 +96,16 @@ class Field:
             return float("nan")
         return self.bias + sum(map(self.weights.__getitem__, _features(word)))
 
-    def passes(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of the forward and backward messages of chains; `e` is 0 below a chain's end."""
+    def passes(self, e: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of the forward and backward messages of chains; `follows` tells where a
+        word has one of its chain before it, so nothing below a chain's end speaks to it."""
         t = self.steps
         ahead, back = np.empty_like(e), np.zeros_like(e)
         for k in range(len(e)):
             ahead[k] = e[k] if k == 0 else e[k] + np.logaddexp(t[0, 1], ahead[k - 1] + t[1, 1]) - np.logaddexp(t[0, 0], ahead[k - 1] + t[1, 0])
         for k in range(len(e) - 2, -1, -1):
             x = e[k + 1] + back[k + 1]
-            back[k] = np.logaddexp(t[1, 0], x + t[1, 1]) - np.logaddexp(t[0, 0], x + t[0, 1])
+            back[k] = np.where(follows[k], np.logaddexp(t[1, 0], x + t[1, 1]) - np.logaddexp(t[0, 0], x + t[0, 1]), 0.0)
         return ahead, back
 
     def marginals(self, e: np.ndarray) -> np.ndarray:
@@ -110,8 +115,7 @@ class Field:
         chains = Chains.of(ends)
         if not chains.shape[1]:
             return out
-        # below a chain's end stand clean words, whose message to the words above is nearly even
-        ahead, back = self.passes(chains.spread(e[~ends], -30.0))
+        ahead, back = self.passes(chains.spread(e[~ends]), chains.follows())
         out[~ends] = _sigmoid((ahead + back)[chains.row, chains.column])
         return out
 
@@ -191,11 +195,10 @@ def train(texts: list[tuple[str, int]], rounds: int = 30, rate: float = 0.5) ->
 def _pull(out: Field, chains: Chains, word: np.ndarray, y: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gradient of some chains: for each word its marginals less its labels, and for the
     transitions what the field expects less what stands there."""
-    e = chains.spread(by_word[word], -30.0)
-    ahead, back = out.passes(e)
+    e, follows = chains.spread(by_word[word]), chains.follows()
+    ahead, back = out.passes(e, follows)
     off = np.bincount(word, _sigmoid((ahead + back)[chains.row, chains.column]) - y, len(by_word))
     grid = chains.spread(y)
-    follows = chains.spread(np.ones(len(word))).astype(bool)[1:]
     x = (e + back)[1:]
     pair = np.stack([np.zeros_like(x), x, ahead[:-1], ahead[:-1] + x]) + out.steps.reshape(4, 1, 1)
     pair = np.exp(pair - pair.max(0))

@@ -13,6 +13,7 @@ training sample that the field has not seen.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,6 +34,8 @@ SAMPLE, SAMPLE_BYTES = 1500, 8192
 BUCKETS, CHAIN = 1 << 18, 64
 #: Documents and rate ratio from which a feature marks tokens.
 LEAST_DOCS, LEAST_RATIO = 4, 5.0
+#: Likelihood ratio of the counts (chi-squared, one degree) that chance seldom gives any of 100,000 features.
+LEAST_SURPRISE = 20.0
 #: Distinct words that a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -149,7 +152,16 @@ def marked(texts: list[tuple[str, int]]) -> set[int]:
         n[bool(label)] += 1
     if not min(n):
         return set()
-    return {f for f, k in toxic.items() if k >= LEAST_DOCS and k / n[1] >= LEAST_RATIO * (clean[f] + 0.5) / n[0]}
+
+    def surprise(k: int, c: int) -> float:
+        """Twice the log likelihood ratio of k toxic and c clean documents against one rate for both."""
+        cells = ((k, n[1], k + c), (c, n[0], k + c), (n[1] - k, n[1], sum(n) - k - c), (n[0] - c, n[0], sum(n) - k - c))
+        return 2 * sum(x * math.log(x * sum(n) / (row * column)) for x, row, column in cells if x)
+
+    return {
+        f for f, k in toxic.items()
+        if k >= LEAST_DOCS and k / n[1] >= LEAST_RATIO * (clean[f] + 0.5) / n[0] and surprise(k, clean[f]) >= LEAST_SURPRISE
+    }
 
 
 def train(texts: list[tuple[str, int]], rounds: int = 30, rate: float = 0.5) -> Field:

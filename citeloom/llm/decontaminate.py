@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -106,9 +107,13 @@ def spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
 _built: dict[tuple, Matcher] = {}
 
 
-def _matcher(block: Broadcast, size: int) -> Matcher:
-    """The block's automaton; a worker keeps one."""
-    key = (id(block), size)
+def _matcher(name: str, block: Broadcast, size: int) -> Matcher:
+    """The automaton of the block of that name; a worker keeps one.
+
+    Names are given out once. The address of a Broadcast is not: a worker that is
+    used again may have another block there.
+    """
+    key = (name, size)
     if key not in _built:
         _built.clear()
         _built[key] = Matcher(block.value, size)
@@ -126,8 +131,8 @@ COLUMNS = [
 ]
 
 
-def _blocks(items: DataFrame, limit: int) -> list[Broadcast]:
-    """The items, in blocks of a bounded size."""
+def _blocks(items: DataFrame, limit: int) -> list[tuple[str, Broadcast]]:
+    """The items, in blocks of a bounded size, each with a name of its own."""
     spark = items.sparkSession
     kept = items.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct()
     total = kept.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("b")).first().b
@@ -135,7 +140,7 @@ def _blocks(items: DataFrame, limit: int) -> list[Broadcast]:
     out = []
     for k in range(n):
         part = kept if n == 1 else kept.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast([(r.i or "", r.t) for r in part.collect()]))
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r.i or "", r.t) for r in part.collect()])))
     return out
 
 
@@ -159,8 +164,8 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int
             split = [words(t) for t in texts]
             hits: list[set[int]] = [set() for _ in texts]
             owners: list[set[str]] = [set() for _ in texts]
-            for block in blocks:
-                m = _matcher(block, size)
+            for name, block in blocks:
+                m = _matcher(name, block, size)
                 for k, w in enumerate(split):
                     _, hit, found = m.find(w)
                     hits[k].update(hit)

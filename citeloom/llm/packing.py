@@ -3,9 +3,10 @@
 Documents become token ids and end with id 0; a document longer than a sequence
 is cut at multiples of its length. The driver sees the number of pieces of each
 length only. From the longest length down, pieces join the shortest packs they
-fit, run by run: a run is a number of packs filled alike, so the plan has a few
-rows a length whatever the input. Pieces find their places by their rank within
-their length.
+fit, run by run: a run is a number of packs filled alike, so the rows of the plan
+hang on the number of lengths and not of documents. Where no pack fits, only as
+many are opened as the pieces of that length need if they share. Pieces find
+their places by their rank within their length.
 """
 
 from __future__ import annotations
@@ -96,14 +97,14 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[Run]:
         while left:
             fill = min(by_fill, default=length)
             if fill + size > length:
-                placed.append(Run(left, size, [(size, rank, 0)]))
-                break
-            run = by_fill[fill].pop()
-            if not by_fill[fill]:
-                del by_fill[fill]
-            run, rest = run.split(min(left, run.count))
-            if rest:
-                by_fill.setdefault(fill, []).append(rest)
+                run, fill = Run(-(-left // (length // size)), 0, []), 0
+            else:
+                run = by_fill[fill].pop()
+                if not by_fill[fill]:
+                    del by_fill[fill]
+                run, rest = run.split(min(left, run.count))
+                if rest:
+                    by_fill.setdefault(fill, []).append(rest)
             left -= run.count
             placed.append(Run(run.count, fill + size, [*run.slots, (size, rank, fill)]))
             rank += run.count
@@ -155,7 +156,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
     for run in plan(counts, length):
         rows += [(size, rank, rank + run.count, base - rank, at) for size, rank, at in run.slots]
         base += run.count
-    # a few rows for each of `length` lengths
+    # for each of `length` lengths a row for each run and each time it was filled
     shape = "p_length long, p_from long, p_to long, p_base long, offset long"
     places = F.broadcast(docs.sparkSession.createDataFrame(rows, shape))
     by_rank = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32"], "_rank")

@@ -64,6 +64,38 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20, 60, 100, 200])
+def test_packing_of_a_hot_length(hot):
+    histogram = {n: 4 for n in range(1, 1024, 3)} | {1024: 300}
+    histogram[hot] = histogram.get(hot, 0) + sum(histogram.values()) // 2  # a third of all pieces
+    ranks, packs = {}, 0
+    for run in packing.plan(histogram):
+        at = 0
+        for size, rank, offset in run.slots:
+            assert offset == at
+            at += size
+            ranks.setdefault(size, []).append((rank, rank + run.count))
+        assert at == run.fill <= 1024
+        packs += run.count
+    for size, n in histogram.items():
+        edges = sorted(ranks[size])
+        assert [a for a, _ in edges] == [0, *(b for _, b in edges[:-1])] and edges[-1][1] == n
+    assert sum(size * n for size, n in histogram.items()) >= 0.97 * 1024 * packs
+    assert sum(run.count for run in packing.plan({hot: 10_000})) == -(-10_000 // (1024 // hot))
+
+
+def test_packing_of_copies(spark):
+    rows = [(k, LONG if k % 3 == 0 else None if k % 3 == 1 else LONG * 3) for k in range(300)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json")).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(300))
+    at = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert sorted(at) == list(range(len(at))) and max(at.values()) <= 1024
+    assert sum(at.values()) >= 0.9 * 1024 * len(at)
+
+
 def test_jaccard(docs, none):
     sets = {}
     for i, t, _ in ROWS:

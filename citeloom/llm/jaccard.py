@@ -81,22 +81,22 @@ def _prefix(n: int, percent: int) -> int:
 class _Chunks:
     """Rows of documents to chunks of their distinct sets."""
 
-    def __init__(self, id_kind: pa.DataType) -> None:
-        self.id_kind = id_kind
+    def __init__(self, ids: dict[str, pa.DataType]) -> None:
+        self.ids = ids
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         words = WordHashes()
         self._clear()
         for whole in batches:
             for batch in pieces(whole):
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for *doc, text in zip(*(batch.column(c).to_pylist() for c in (*self.ids, "text"))):
                     s = shingles(text, words)
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if key not in self.number:
                         self.number[key] = len(self.number)
                         self.sets.append(s)
                         self.size += len(s)
-                    self.docs.append((doc, self.number[key]))
+                    self.docs.append((*doc, self.number[key]))
                     if self.size > CHUNK:
                         yield self._close()
         if self.docs:
@@ -110,7 +110,8 @@ class _Chunks:
 
     def _close(self) -> Chunk:
         counts = np.array([len(s) for s in self.sets], np.int64)
-        doc = pa.record_batch([pa.array([d for d, _ in self.docs], self.id_kind), pa.array([n for _, n in self.docs], pa.int32())], names=["doc_id", "set"])
+        kinds = {**self.ids, "set": pa.int32()}
+        doc = pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*self.docs), kinds.values())], names=list(kinds))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, doc.schema) as w:
             w.write_batch(doc)
@@ -144,7 +145,7 @@ def _finish(answer: Answer, number: int, percent: int, names: list[str]) -> Iter
             carried[row] = np.sort(shared).astype("<u8").tobytes()
             begins[row] = shared[:meet].view(np.int64).tolist()
     yield pa.RecordBatch.from_arrays(
-        [docs.column("doc_id"), pa.array(sizes[which], pa.int64()), pa.array([keys[k] for k in which.tolist()], pa.binary()), pa.array(carried, pa.binary()), pa.array(begins, pa.list_(pa.int64()))],
+        [*docs.columns[:-1], pa.array(sizes[which], pa.int64()), pa.array([keys[k] for k in which.tolist()], pa.binary()), pa.array(carried, pa.binary()), pa.array(begins, pa.list_(pa.int64()))],
         names=names,
     )
 
@@ -294,45 +295,50 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     return components(links)
 
 
-def alike(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def alike(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each row.
 
     Rows whose sets' Jaccard is `percent` hundredths or more are linked; a
     component's id is the least doc_id that links reach. Null and blank texts
     have no shingle and are linked with nothing, not even one another. Rows that
     repeat are linked (their sets are equal). Columns beside doc_id and text are
-    not read.
+    not read. `by_text` adds `row`, a hash of the text that tells rows of one
+    doc_id apart, and makes the component's id that of its first row: (no doc_id,
+    doc_id, row).
     """
     id_field = docs.schema["doc_id"]
-    names = ["doc_id", "n", "set_id", "tokens", "begin"]
-    schema = T.StructType([id_field, *fields("n long, set_id binary, tokens binary"), T.StructField("begin", T.ArrayType(T.LongType()))])
+    ids = ["doc_id", "row"] if by_text else ["doc_id"]
+    names = [*ids, "n", "set_id", "tokens", "begin"]
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row") if by_text else F.col("doc_id")
+    read = docs.select("doc_id", "text", *[F.xxhash64("text").alias("row")] * by_text)
+    schema = T.StructType([id_field, *fields("row long") * by_text, *fields("n long, set_id binary, tokens binary"), T.StructField("begin", T.ArrayType(T.LongType()))])
     kind = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.int32() if isinstance(id_field.dataType, T.IntegerType) else pa.string()
-    chunks = _Chunks(kind)
-    rows = settle(shared_tokens(docs.select("doc_id", "text"), lambda b: chunks(b), lambda a, k: _finish(a, k, percent, names), schema))
+    chunks = _Chunks(dict(zip(ids, (kind, pa.int64()))))
+    rows = settle(shared_tokens(read, lambda b: chunks(b), lambda a, k: _finish(a, k, percent, names), schema))
     sets = settle(
         rows.filter(F.col("tokens").isNotNull()).groupBy("set_id")
         .agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("begin").alias("begin"))
     )
     roots = linked_sets(sets, percent, block).withColumnRenamed("node", "set_id")
-    own = rows.select("doc_id", "n", "set_id")
+    own = rows.select(*ids, "n", "set_id")
     rooted = settle(own.filter("n > 0").select("set_id").distinct().join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-    sized = own.filter("n > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("least"))
+    sized = own.filter("n > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("k"), F.min(first).alias("least"))
     classes = settle(matched(sized, rooted, ["set_id"]))
     least = settle(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k2")))
     told = settle(with_groups(classes, least, ["root"], "k2").select("set_id", "k", "component_id"))
     linked = with_groups(own.filter("n > 0"), told, ["set_id"], "k")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.select(*ids, F.col("n").alias("n_shingles"), "component_id").unionByName(
+        own.filter("n = 0").select(*ids, F.col("n").alias("n_shingles"), first.alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The row of each component whose id it bears, with all columns.
+    """The first row of each component by doc_id and text hash, with all columns.
 
-    Rows without a doc_id stay only in components where no row has one; there, one
-    of each text stays.
+    Rows without a doc_id come last in their component. Rows that share a doc_id
+    but are not linked stay each; of rows that repeat doc_id and text one stays.
     """
-    found = alike(docs, percent)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
-    return one_of_each(docs, stay, apart, by_row=False)
+    found = alike(docs, percent, by_text=True)
+    own, first = ("doc_id", "row"), "component_id"
+    stay = found.filter(" and ".join(f"{c} <=> {first}.{c}" for c in own)).select(*own).distinct()
+    return one_of_each(docs, stay, F.xxhash64("text"))

@@ -112,6 +112,16 @@ def test_jaccard(docs, none):
     assert jaccard.alike(none).count() == 0
 
 
+def test_jaccard_keeps_unlinked_rows_of_one_id(spark):
+    other = [f"v{i}" for i in range(60)]
+    rows = [
+        (1, LONG), (1, " ".join(other)), (2, " ".join(WORDS[:59] + ["x"])), (3, " ".join(other[:59] + ["x"])),
+        (None, " ".join(other[1:])), (None, "one of its own"), (None, "another one"), (4, None), (4, "!"), (4, "!"), (5, " "),
+    ]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [*rows[:2], *rows[5:9], rows[10]]))
+
+
 def test_substrings(docs, none):
     data = {i: text(t).encode() for i, t, _ in ROWS}
     seen, want = set(), {}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,16 +41,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage into the folder all executors share (spark.checkpoint.dir).
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and runs in one
+    process, as in tests; a cluster without a shared folder is an error.
     """
-    sc = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="citeloom-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column in `taken` has it (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -64,14 +83,15 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     whose deal by key and bucket serves the ranks too. `df` is evaluated twice:
     settle it first.
     """
+    b, start = fresh("_b", df.columns), fresh("_start", df.columns)
     buckets = 8 * partitions(df.sparkSession)
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    joined = dealt.join(starts, [*keys, "_b"])
-    within = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return joined.withColumn(out, F.col("_start") + F.row_number().over(within) - 1).drop("_b", "_start")
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, b, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    joined = dealt.join(starts, [*keys, b])
+    within = Window.partitionBy(*keys, b).orderBy(*order)
+    return joined.withColumn(out, F.col(start) + F.row_number().over(within) - 1).drop(b, start)
 
 
 def matched(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -93,6 +113,32 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) ->
             yield batch.slice(a, b - a)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Returns memory that the worker's allocators hold but do not use to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`run`, after which the worker gives its free memory back.
+
+    A worker is used again by the next stages; what it keeps would count against
+    the executor there.
+    """
+
+    def out(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
@@ -156,28 +202,40 @@ def _star(pairs: DataFrame, moved: Column) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage as `settle` does, for rows that hold texts: compressed, read by column."""
+    """Cut lineage as `settle` does, for rows that hold texts: compressed, read by column.
+
+    The folder is under the shared one; it goes when the driver's Python ends.
+    """
     spark = df.sparkSession
-    settle(spark.range(0))  # sets the folder where none is named
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    folder = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
+    atexit.register(_remove, spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # at exit; the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def one_of_each(docs: DataFrame, kept: DataFrame, row: Column, by_row: bool = True) -> DataFrame:
     """The rows of `docs` that `kept` names by doc_id (and `row`), one for each doc_id and `row`.
 
     Texts are shuffled once: one hash of the key serves the join and the choice.
+    Columns of `docs` may have any names beside doc_id.
     """
-    key = ["doc_id", "_row"] if by_row else ["doc_id"]
-    keyed = docs.withColumn("_row", row).withColumn("_key", F.xxhash64(*key))
-    named = kept.withColumnRenamed("row", "_row").withColumn("_key", F.xxhash64(*key))
-    named = named.select(F.col("_key").alias("_r_key"), *[F.col(k).alias(f"_r_{k}") for k in key])
-    held = [F.col("_key") == F.col("_r_key"), *[F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key]]
-    first = Window.partitionBy("_key", "doc_id", "_row").orderBy(F.lit(1))
+    own, key, copy = (fresh(n, docs.columns) for n in ("_row", "_key", "_copy"))
+    by = ["doc_id", own] if by_row else ["doc_id"]
+    keyed = docs.withColumn(own, row).withColumn(key, F.xxhash64(*by))
+    named = kept.withColumnRenamed("row", own).withColumn(key, F.xxhash64(*by))
+    told = {c: fresh(f"_r{k}", docs.columns) for k, c in enumerate([key, *by])}
+    named = named.select(*[F.col(c).alias(n) for c, n in told.items()])
+    held = [F.col(key) == F.col(told[key]), *[F.col(c).eqNullSafe(F.col(told[c])) for c in by]]
+    first = Window.partitionBy(key, "doc_id", own).orderBy(F.lit(1))
     return (
         keyed.join(named, reduce(Column.__and__, held), "left_semi")
-        .withColumn("_copy", F.row_number().over(first))
-        .filter("_copy = 1")
+        .withColumn(copy, F.row_number().over(first))
+        .filter(F.col(copy) == 1)
         .select(*docs.columns)
     )

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citeloom.llm.common import fields, partitions
+from citeloom.llm.common import fields, give_back, lean, partitions
 
 #: Tokens of a chunk; holders in one chunk from which a token is sent once.
-CHUNK, FREQUENT = 2_000_000, 8
-#: Counts are told exactly up to this.
+CHUNK, FREQUENT = 500_000, 8
+#: Counts are told exactly up to this; beyond it they only order tokens, which any order does.
 MOST = 65_535
 
 _MOVED = fields("kind int, key long, chunk long, blob binary")
@@ -74,7 +74,7 @@ def _bits(buckets: int) -> int:
 
 
 def _send(chunk: Chunk, number: int, bits: int) -> Iterator[tuple]:
-    order = np.lexsort((chunk.holders, chunk.tokens))
+    order = np.argsort(chunk.tokens)
     tok, holder = chunk.tokens[order], chunk.holders[order].astype(np.uint32)
     owner = np.zeros(len(tok), np.uint32) if chunk.owners is None else chunk.owners[order].astype(np.uint32)
     keys = tok >> np.uint64(64 - bits)
@@ -219,7 +219,11 @@ def shared_tokens(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        return _out(r for k, c in enumerate(chunks(batches)) for r in _send(c, (task << 24) | k, bits))
+        return _out(r for k, c in enumerate(chunks(batches)) for r in rows(c, (task << 24) | k))
+
+    def rows(chunk: Chunk, number: int) -> Iterator[tuple]:
+        yield from _send(chunk, number, bits)
+        give_back()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -252,6 +256,6 @@ def shared_tokens(
         if mine is not None:
             yield from finish(_gather(replies, mine, bits), now)
 
-    sent = docs.mapInArrow(send, plain).repartition(width, "kind", "key").sortWithinPartitions("kind", "key", "chunk")
-    told = sent.mapInArrow(answer, plain).repartition(width, "chunk").sortWithinPartitions("chunk", "kind", "key")
-    return told.mapInArrow(gather, schema)
+    sent = docs.mapInArrow(lean(send), plain).repartition(width, "kind", "key").sortWithinPartitions("kind", "key", "chunk")
+    told = sent.mapInArrow(lean(answer), plain).repartition(width, "chunk").sortWithinPartitions("chunk", "kind", "key")
+    return told.mapInArrow(lean(gather), schema)

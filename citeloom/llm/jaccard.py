@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import components, fields, matched, one_of_each, partitions, pieces, settle, with_groups
+from citeloom.llm.common import components, fields, lean, matched, one_of_each, partitions, pieces, settle, with_groups
 from citeloom.llm.exchange import CHUNK, Answer, Chunk, shared_tokens
 
 #: Words of a shingle; the least similarity in hundredths.
@@ -32,7 +32,7 @@ SHINGLE, PERCENT = 5, 75
 #: Sets of a block at most; sets of a leaf; bits of a signature.
 BLOCK, LEAF, SIGNATURE = 1500, 16, 1024
 #: Distinct words that a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -291,7 +291,7 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     )
     width = partitions(sets.sparkSession)
     dealt = tasks.repartition(width, "task").sortWithinPartitions("task", "side", "set_id")
-    links = dealt.mapInArrow(lambda b: _linked(b, percent), T.StructType(fields("a binary, b binary")))
+    links = dealt.mapInArrow(lean(lambda b: _linked(b, percent)), T.StructType(fields("a binary, b binary")))
     return components(links)
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from citeloom.llm.common import pieces, ranked, settle
-from citeloom.llm.token_counts import byte_signs
+from citeloom.llm.common import lean, pieces, ranked, settle
+from citeloom.llm.token_counts import byte_signs, unsettled
 
 #: Tokens of a sequence; the id that ends a document.
 LENGTH, END = 1024, 0
@@ -39,7 +39,9 @@ class Encoder:
     """Token ids as a byte-level tokenizers file gives them.
 
     A faster library runs the same merges; it is used only if it agrees with the
-    file's own on probes that cover splitting, bytes and special strings.
+    file's own on probes that cover splitting, bytes and special strings. Texts
+    that it can't split, and those with letters on which Unicode tables of
+    different years may disagree, go to the file's own.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,9 +59,12 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text, little-endian and unsigned."""
-        if self.fast is None:
-            return np.array(self.slow(text), "<u4")
-        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        if self.fast is not None and (text.isascii() or not unsettled().search(text)):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            except ValueError:  # its pattern gave up on a very long run of blanks
+                pass
+        return np.array(self.slow(text), "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -139,7 +144,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: boo
                     columns, names = [*columns, pa.array(rows[5], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, T.StructType(fields))
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), T.StructType(fields))
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -147,6 +152,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
 
     Null text counts as empty: id 0 alone. Each row is a document of its own,
     though rows repeat; a null doc_id is carried. An empty table gives no rows.
+    Columns beside doc_id and text are not read, whatever their names.
     Sequence ids are gapless from 0, offsets gapless in a sequence. `with_ids`
     adds the ids (little-endian unsigned 32-bit), for `sequences`.
     """

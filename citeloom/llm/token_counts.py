@@ -4,12 +4,18 @@ Offline, once for a vocabulary: which of its strings does the tokenizer itself
 encode as that one token? A pre-token in that set counts 1. Any other pre-token
 is encoded alone by the library and its count remembered, so merges run once for
 a distinct pre-token of a worker, not once for each occurrence.
+
+Letters, normal forms and cases are read from Unicode tables, and each library
+has those of another year. Texts of letters that no year has changed are split
+here; a text with any other is counted by the library as a whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from functools import cache
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from citeloom.llm.common import fields, pieces
+from citeloom.llm.common import fields, lean, pieces
 
 #: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 def byte_signs() -> dict[str, int]:
@@ -32,6 +38,29 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+@cache
+def unsettled() -> re.Pattern:
+    """A code point whose kind or lower case is not what Unicode 3.2 said, or was not in it.
+
+    Normal forms of texts of what 3.2 assigned never change, so all later tables
+    agree on texts without a match.
+    """
+    old = unicodedata.ucd_3_2_0
+
+    def known(c: str) -> bool:
+        return unicodedata.category(c) == old.category(c) not in ("Cn", "Cs", "Co") and unicodedata.combining(c) == old.combining(c)
+
+    spans: list[list[int]] = []
+    for k in range(0x110000):
+        c = chr(k)
+        if k < 128 or (known(c) and all(map(known, c.lower()))):
+            if spans and spans[-1][1] == k - 1:
+                spans[-1][1] = k
+            else:
+                spans.append([k, k])
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
 class Counts(dict):
     """pre-token -> tokens; starts from the proved vocabulary strings."""
 
@@ -86,6 +115,8 @@ class TokenCounter:
 
     def count(self, text: str) -> int:
         """Tokens of a text."""
+        if not text.isascii() and unsettled().search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.parts is None or not self.parts.search(text):
             return sum(map(self.counts.__getitem__, self.pre_tokens(text)))
         return len(self.parts.findall(text)) + sum(self.count(t) for t in self.parts.split(text))
@@ -120,4 +151,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             )
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(count, schema)
+    return docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(lean(count), schema)

@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import fields, pieces
+from citeloom.llm.common import fields, lean, pieces
 
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that may not stand unbroken inside a text: ours, and those of common templates.
-CONTROL = (TURN, END, "<|image|>", "<|audio|>", "<|document|>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+CONTROL = (TURN, END, "<|image|>", "<|audio|>", "<|document|>", "<|unknown|>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LEARNER = "assistant"
 
 _ESCAPED = re.compile("|".join(rf"{re.escape(a)}(?={'|'.join(re.escape(c[1:]) for c in CONTROL if c[0] == a)})" for a in sorted({c[0] for c in CONTROL})) + r"|\\")
@@ -59,9 +59,23 @@ def unescape_role(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
+#: Amounts from here on are taken for errors, as are negative ones and those that are no number.
+ABSURD = 1e9
+
+
+def _amount(x: float | None) -> float:
+    """A width, length or number of pages; 0 where it can't be one."""
+    return x if x is not None and 0 < x < ABSURD else 0
+
+
 @dataclass
 class Visitor:
-    """Flattens parts in order; `text` grows, attachments and tokens are noted."""
+    """Flattens parts in order; `text` grows, attachments and tokens are noted.
+
+    An attachment takes a token at least. Sizes that can't be (null, negative, no
+    number, absurd) count as 0; a kind that is not known is an attachment of one
+    token and kind "unknown".
+    """
 
     patch: int = 14
     audio_rate: int = 25
@@ -72,9 +86,7 @@ class Visitor:
 
     def visit(self, part: dict[str, Any]) -> None:
         kind = part.get("kind") or "text"
-        method: Callable | None = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"no such kind of content part: {kind}")
+        method: Callable = getattr(self, f"visit_{kind}", self.visit_unknown)
         method(part)
 
     def write(self, s: str) -> None:
@@ -90,14 +102,17 @@ class Visitor:
 
     def visit_image(self, part: dict[str, Any]) -> None:
         """A token for each patch of width by height."""
-        w, h = part.get("width") or 0, part.get("height") or 0
+        w, h = _amount(part.get("width")), _amount(part.get("height"))
         self.attach("image", part, max(1, math.ceil(w / self.patch) * math.ceil(h / self.patch)))
 
     def visit_audio(self, part: dict[str, Any]) -> None:
-        self.attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * self.audio_rate)))
+        self.attach("audio", part, max(1, math.ceil(_amount(part.get("seconds")) * self.audio_rate)))
 
     def visit_document(self, part: dict[str, Any]) -> None:
-        self.attach("document", part, max(1, (part.get("pages") or 0) * self.page_tokens))
+        self.attach("document", part, max(1, int(_amount(part.get("pages"))) * self.page_tokens))
+
+    def visit_unknown(self, part: dict[str, Any]) -> None:
+        self.attach("unknown", part, 1)
 
 
 PART = T.StructType(fields("kind string, text string, ref string, width int, height int, seconds double, pages int"))
@@ -119,8 +134,9 @@ def format_turns(turns: DataFrame, learner: str = LEARNER) -> DataFrame:
 
     `turns` has conv_id, turn, role and content (a list of PART; null is none) or
     text. Loss offsets are code points in the segment, null outside the
-    learner's turns. A null role counts as empty. Repeated rows are turns of
-    their own; other columns are not read.
+    learner's turns. A null role counts as empty, a null text or part as nothing.
+    Repeated rows are turns of their own; other columns are not read, whatever
+    their names.
     """
     content = F.col("content") if "content" in turns.columns else text_part()
     kept = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"))
@@ -134,7 +150,7 @@ def format_turns(turns: DataFrame, learner: str = LEARNER) -> DataFrame:
                 v = Visitor()
                 v.write(head)
                 for p in parts or []:
-                    v.visit(p)
+                    v.visit(p or {})
                 span = (len(head), v.size) if role == learner else (None, None)
                 v.write(f"{END}\n")
                 for column, x in zip(made, ("".join(v.text), *span, v.attachments, sum(a["tokens"] for a in v.attachments))):
@@ -142,7 +158,7 @@ def format_turns(turns: DataFrame, learner: str = LEARNER) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int32(), _ATTACHED, pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.select(["conv_id", "turn", "role"]).columns, *(pa.array(c, t) for c, t in zip(made, kinds))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def conversations(segments: DataFrame) -> DataFrame:
@@ -175,8 +191,10 @@ class _Digest:
 def read_back(segments: DataFrame) -> DataFrame:
     """Digests of each conversation, from its formatted segments and their masks.
 
-    Segments are dealt by conversation and sorted by turn, role and text; a
-    conversation passes through as a stream and only its digests are held.
+    Segments are dealt by conversation and sorted by turn, role and text (so ties
+    of turn have one order); a conversation passes through as a stream and only
+    its digests are held. A digest over ordered texts can't be split, so one
+    conversation is read by one task.
     """
     schema = T.StructType([segments.schema["conv_id"], *fields("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")])
     dealt = segments.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end")
@@ -210,4 +228,4 @@ def read_back(segments: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import matched, one_of_each, settle, whole_text
+from citeloom.llm.common import matched, one_of_each, settle, whole_text, with_groups
 
 #: Bytes of a block. Most documents are one or two blocks; a level halves the rest.
 BLOCK = 2048
@@ -32,30 +32,36 @@ def _occurrences(docs: DataFrame, block: int, hash_sql: str) -> DataFrame:
 
 
 def _numbered(values: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct values, sorted within the partition their value deals them to, and numbered."""
-    return values.distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+    """Distinct values with how many rows have them (k), sorted within the partition their
+    value deals them to, and numbered."""
+    counted = values.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
+    return counted.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
 def _first_names(docs: DataFrame, block: int, hash_sql: str) -> DataFrame:
+    """Each block's name. Blocks are read by their hash; a hash that many blocks have is no
+    hot key, as its name is broadcast."""
     found = _occurrences(docs, block, hash_sql)
-    named = settle(_numbered(found.select("block"), ["block"]).select(F.expr(hash_sql).alias("h"), "name"))
+    named = settle(_numbered(found.select("block"), ["block"]).select(F.expr(hash_sql).alias("h"), "k", "name"))
     shared = settle(named.groupBy("h").count().filter("count > 1").select("h"))
     at = ["doc_id", "row", "n", "pos"]
+    light = settle(found.select(*at, "h"))
     if shared.isEmpty():
-        return found.select(*at, "h").join(named, "h").select(*at, "name")
-    alone = named.join(shared, "h", "left_anti")
+        return with_groups(light, named, ["h"], "k").select(*at, "name")
+    alone = settle(named.join(shared, "h", "left_anti"))
     doubtful = found.join(shared, "h", "left_semi").select(*at, "block")
     apart = settle(_numbered(doubtful.select("block"), ["block"]).withColumn("name", -1 - F.col("name")))
     return (
-        found.select(*at, "h").join(alone, "h").select(*at, "name")
-        .unionByName(doubtful.join(apart, "block").select(*at, "name"))
+        with_groups(light, alone, ["h"], "k").select(*at, "name")
+        .unionByName(doubtful.join(apart.drop("k"), "block").select(*at, "name"))
     )
 
 
 def identities(docs: DataFrame, block: int = BLOCK, hash_sql: str = "xxhash64(block)") -> DataFrame:
     """(doc_id, row, level, name) of each document; `row` tells rows of one doc_id apart.
 
-    Rows that repeat both doc_id and text are one row here.
+    Rows that repeat both doc_id and text are one row here. `row` is a 64-bit hash,
+    which only has to part the texts of one doc_id; names stand for values.
     """
     live = settle(_first_names(docs, block, hash_sql))
     done: DataFrame | None = None
@@ -75,9 +81,9 @@ def identities(docs: DataFrame, block: int = BLOCK, hash_sql: str = "xxhash64(bl
             )
         )
         pairs = settle(pairs)
-        names = _numbered(pairs.select("a", "b"), ["a", "b"])
+        names = settle(_numbered(pairs.select("a", "b"), ["a", "b"]))
         live = settle(
-            matched(pairs, names, ["a", "b"])
+            with_groups(pairs, names, ["a", "b"], "k")
             .select("doc_id", "row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name")
         )
         level += 1
@@ -98,8 +104,8 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hash_sql: str = "xxhash64(
         matched(rows, ids, ["doc_id", "row"])
         .withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("name")))
     )
-    groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["level", "name"]).select(
+    groups = settle(rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return with_groups(rows, groups, ["level", "name"], "group_size").select(
         "doc_id", "row", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         "text_sha256",
@@ -107,6 +113,6 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hash_sql: str = "xxhash64(
 
 
 def drop_exact(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns, whatever their names."""
     kept = exact_groups(docs, block).filter("kept").select("doc_id", "row")
     return one_of_each(docs, kept, F.xxhash64(whole_text()))

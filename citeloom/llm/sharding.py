@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import ranked, settle, whole_text
+from citeloom.llm.common import ranked, settle, whole_text, with_groups
 
 #: Sizes below this have a bin of their own.
 EXACT = 65_536
@@ -61,8 +61,10 @@ def shards_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes and 1), text_crc32, shard, slot (gapless
     from 0 in a shard). Null text has no bytes and is of one group with the empty
-    text. Repeated rows are rows of their own. An empty table gives no rows. A
-    group larger than a fair share is a shard's only load; no law can split it.
+    text. Repeated rows are rows of their own; rows alike in all that is returned
+    may have their slots in any order. An empty table gives no rows. A group
+    larger than a fair share is a shard's only load; no law can split it. Columns
+    beside doc_id and text are not read, whatever their names.
     """
     spark = docs.sparkSession
     rows = settle(
@@ -73,7 +75,7 @@ def shards_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
             F.unhex(F.sha2(whole_text(), 256)).alias("text_id"),
         )
     )
-    jobs = rows.groupBy("text_id").agg(F.sum("size").alias("bytes"))
+    jobs = rows.groupBy("text_id").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k"))
     lead = F.expr("greatest(0, cast(floor(log2(bytes)) as int) - 10)")
     jobs = jobs.withColumn("lead", lead).withColumn(
         "bin", F.expr(f"if(bytes < {EXACT}, bytes, shiftleft(shiftright(bytes, lead), lead))")
@@ -86,7 +88,8 @@ def shards_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     placed = (
         ranked(jobs, ["bin"], ["text_id"], "place")
         .join(ends, "bin")
-        .select("text_id", F.expr("cast(size(filter(ends, e -> e <= place)) as int)").alias("shard"))
+        .select("text_id", "k", F.expr("cast(size(filter(ends, e -> e <= place)) as int)").alias("shard"))
     )
-    dealt = settle(rows.join(placed, "text_id").select("doc_id", "size", "text_crc32", "shard"))
+    told = with_groups(rows, settle(placed), ["text_id"], "k")  # copies of one text stay where they are
+    dealt = settle(told.select("doc_id", "size", "text_crc32", "shard"))
     return ranked(dealt, ["shard"], ["doc_id", "size", "text_crc32"], "slot")

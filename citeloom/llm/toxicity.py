@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import bounded_sample, crc_mod, matched, pieces, settle
+from citeloom.llm.common import bounded_sample, crc_mod, fresh, lean, matched, pieces, settle
 
 #: Labelled rows of each class that the field is fitted on, at most, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 1500, 8192
@@ -37,7 +37,7 @@ LEAST_DOCS, LEAST_RATIO = 4, 5.0
 #: Likelihood ratio of the counts (chi-squared, one degree) that chance seldom gives any of 100,000 features.
 LEAST_SURPRISE = 20.0
 #: Distinct words that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 _TOKEN = re.compile(r"\w+|[.!?\n]+")
 
@@ -267,9 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """A field from a bounded sample: SAMPLE labelled rows a class, of SAMPLE_BYTES at most.
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are never learned from, nor rows
-    with a null label or text.
+    with a null id, label or text, nor documents whose labels contradict each other.
     """
-    ours = labels.filter((crc_mod("doc_id", 3) != 1) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    ours = labels.filter((crc_mod("doc_id", 3) != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id")
+    ours = ours.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     short = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (crc_mod("doc_id", 3) != 1))
     labelled = settle(short.select("doc_id").join(ours, "doc_id"))
     rows: set[tuple[str, int]] = set()
@@ -309,12 +310,12 @@ def score(docs: DataFrame, model: Field, threshold: float = 0.7, keep: list[str]
                 held = batch.select(keep)
                 yield pa.RecordBatch.from_arrays([*held.columns, pa.array(scores), pa.array(spans, kind)], schema=pa.schema([*held.schema, ("tox_score", pa.float64()), ("tox_spans", kind)]))
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Field, threshold: float = 0.7) -> DataFrame:
-    """The rows that score below the threshold, with all their columns."""
-    clash = [c for c in docs.columns if c in ("tox_score", "tox_spans")]
-    safe = docs.select(*[F.col(c).alias(f"own_{c}") if c in clash else F.col(c) for c in docs.columns])
+    """The rows that score below the threshold, with all their columns, whatever their names."""
+    own = {c: fresh(f"own_{c}", docs.columns) for c in docs.columns if c in ("tox_score", "tox_spans")}
+    safe = docs.select(*[F.col(c).alias(own.get(c, c)) for c in docs.columns])
     kept = score(safe, model, threshold, safe.columns).filter(F.col("tox_score") < threshold)
-    return kept.select(*[F.col(f"own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns])
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -4,7 +4,8 @@ A word's vector is the mean of the embeddings of its hashed 1- to 4-letter
 pieces, a text's the mean of its words' vectors. Embeddings and the softmax
 layer are trained together by stochastic gradient descent in numpy. A
 temperature fitted on a held-back part of the sample makes the softmax a
-probability; texts under a probability are marked as rejected.
+probability. The same part gives the least probability at which accepted
+predictions are right as often as asked; texts below it are marked as rejected.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import bounded_sample, crc_mod, fields, pieces
+from citeloom.llm.common import bounded_sample, crc_mod, fields, lean, pieces
 
 #: Rows the model is fitted on, at most, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 4000, 8192
 #: Hash buckets, width of an embedding, distinct words that a worker remembers.
 BUCKETS, WIDTH, REMEMBERED = 1 << 16, 16, 1 << 18
-#: Calibrated probability under which a prediction is marked as rejected.
-REJECT = 0.5
+#: Share of accepted predictions that must be right in the held-back part.
+ACCEPTED_RIGHT = 0.99
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -53,13 +54,15 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Embeddings, softmax layer, temperature and the languages in the order of its columns."""
+    """Embeddings, softmax layer, temperature, the languages in the order of its columns,
+    and the probability below which a prediction is rejected."""
 
     table: np.ndarray
     layer: np.ndarray
     bias: np.ndarray
     temperature: float
     langs: list[str]
+    reject: float = 0.5
 
     def probabilities(self, h: np.ndarray) -> np.ndarray:
         z = (h @ self.layer + self.bias) / self.temperature
@@ -116,9 +119,21 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, batch
             model.temperature = float(t)
             losses[float(t)] = -np.log(model.probabilities(h)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = min(losses, key=losses.get)
+        model.reject = rejection(model.probabilities(h), y)
     return model
 
 
+def rejection(p: np.ndarray, y: np.ndarray) -> float:
+    """The least of a coin's odds and more at which predictions `p` of classes `y` are right often enough."""
+    order = np.argsort(-p.max(1), kind="stable")
+    best, right = p.max(1)[order], (p.argmax(1) == y)[order]
+    share = np.cumsum(right) / np.arange(1, len(y) + 1)
+    # rows of equal probability are accepted together
+    ends = np.r_[best[1:] != best[:-1], True]
+    good = np.flatnonzero(ends & (share >= ACCEPTED_RIGHT))
+    return float(max(0.5, best[good[-1]])) if len(good) and good[-1] < len(y) - 1 else 0.5 if len(good) else 1.0
+
+
 class Vectors:
     """Vectors of distinct words, a row of a growing table each."""
 
@@ -187,8 +202,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for batch in pieces(whole):
                 langs, scores = predict(batch.column("text").to_pylist(), vectors)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(scores < REJECT)],
+                    [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(scores < vectors.model.reject)],
                     names=["doc_id", "lang_pred", "score", "rejected"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import pieces
+from citeloom.llm.common import fresh, lean, pieces
 
 #: Words of a window.
 WINDOW = 10
@@ -107,17 +106,19 @@ def spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
 _built: dict[tuple, Matcher] = {}
 
 
-def _matcher(name: str, block: Broadcast, size: int) -> Matcher:
-    """The automaton of the block of that name; a worker keeps one.
+def _matchers(blocks: list[tuple[str, Broadcast]], size: int) -> list[Matcher]:
+    """The automata of a benchmark's blocks, built once in a worker and kept until another is asked for.
 
-    Names are given out once. The address of a Broadcast is not: a worker that is
-    used again may have another block there.
+    A block's name is a digest of what it holds. Its Broadcast's address would not
+    do: a worker that is used again may have another block there.
     """
-    key = (name, size)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Matcher(block.value, size)
-    return _built[key]
+    keys = [(name, size) for name, _ in blocks]
+    for key in set(_built) - set(keys):
+        del _built[key]
+    for key, (_, block) in zip(keys, blocks):
+        if key not in _built:
+            _built[key] = Matcher(block.value, size)
+    return [_built[key] for key in keys]
 
 
 #: What a document is given beside its own columns.
@@ -132,7 +133,7 @@ COLUMNS = [
 
 
 def _blocks(items: DataFrame, limit: int) -> list[tuple[str, Broadcast]]:
-    """The items, in blocks of a bounded size, each with a name of its own."""
+    """The items, in blocks of a bounded size, each named by what it holds."""
     spark = items.sparkSession
     kept = items.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct()
     total = kept.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("b")).first().b
@@ -140,7 +141,9 @@ def _blocks(items: DataFrame, limit: int) -> list[tuple[str, Broadcast]]:
     out = []
     for k in range(n):
         part = kept if n == 1 else kept.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r.i or "", r.t) for r in part.collect()])))
+        held = sorted((r.i or "", r.t) for r in part.collect())
+        name = hashlib.sha256(repr(held).encode("utf-8", "surrogatepass")).hexdigest()
+        out.append((name, spark.sparkContext.broadcast(held)))
     return out
 
 
@@ -159,13 +162,13 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int
     kinds = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _matchers(blocks, size)
         for batch in (x for whole in batches for x in pieces(whole)):
             texts = batch.column("text").to_pylist()
             split = [words(t) for t in texts]
             hits: list[set[int]] = [set() for _ in texts]
             owners: list[set[str]] = [set() for _ in texts]
-            for name, block in blocks:
-                m = _matcher(name, block, size)
+            for m in automata:
                 for k, w in enumerate(split):
                     _, hit, found = m.find(w)
                     hits[k].update(hit)
@@ -183,12 +186,12 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int
             held = batch.select(keep)
             yield pa.RecordBatch.from_arrays([*held.columns, *made], schema=pa.schema([*held.schema, *kinds]))
 
-    return docs.select(*read).mapInArrow(scan, schema)
+    return docs.select(*read).mapInArrow(lean(scan), schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents without any item's window, with all their columns."""
-    extra = [f.name for f in COLUMNS if f.name in docs.columns]
-    safe = docs.select(*[F.col(c).alias(f"own_{c}") if c in extra else F.col(c) for c in docs.columns])
+    """The documents without any item's window, with all their columns, whatever their names."""
+    own = {c: fresh(f"own_{c}", docs.columns) for c in docs.columns if c in {f.name for f in COLUMNS}}
+    safe = docs.select(*[F.col(c).alias(own.get(c, c)) for c in docs.columns])
     found = find_items(safe, items, size, keep=safe.columns).filter("n_hit = 0")
-    return found.select(*[F.col(f"own_{c}").alias(c) if c in extra else F.col(c) for c in docs.columns])
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -6,12 +6,13 @@ in equal places. Passages whose anchor occurs once in the corpus occur once.
 
 1. Anchors of all documents, a document per distinct text, are counted in
    `exchange`. A run of passages with one shared anchor makes a segment of text.
-2. Segments are dealt by anchor, so equal passages meet. What a task holds of one
-   segment is settled there, and its earliest sent. Segments of a frequent
-   anchor are cut short and dealt by their common middle as well.
-3. A shard's segments are one text; its suffix array is induced, and permuted
-   common prefixes of `LENGTH` or more make the classes of equal passages. The
-   earliest of a class stays.
+2. Documents are numbered in their order. A task settles the copies of a segment
+   that it holds, keeps the earliest, and sends those it keeps to buckets by
+   anchor, so equal passages meet; what moves are blobs of many segments.
+   Segments of a frequent anchor are cut short and dealt by their common middle.
+3. A bucket's segments are cut by anchor into shards, a shard's are one text; its
+   suffix array is induced, and permuted common prefixes of `LENGTH` or more make
+   the classes of equal passages. The earliest of a class stays.
 4. Documents drop the union of what is found.
 """
 
@@ -19,25 +20,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import fields, matched, partitions, settle, stored, whole_text, with_groups
+from citeloom.llm.common import fields, lean, matched, partitions, pieces, stored, whole_text, with_groups
 from citeloom.llm.exchange import Answer, Chunk, shared_tokens
 from citeloom.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of a passage and of an anchor.
 LENGTH, GRAM = 100, 32
 #: Anchors of a chunk; count from which an anchor is frequent; passages of its short segments.
-CHUNK, FREQUENT, SHORT = 1_000_000, 500, 8
-#: Bytes of text in one suffix array.
-SHARD = 4 << 20
-#: Bytes of documents handled at once.
-SLICE = 2 << 20
+CHUNK, FREQUENT, SHORT = 500_000, 500, 8
+#: Bytes of text in one suffix array, and of the segments of one bucket.
+SHARD, BUCKET = 2 << 20, 8 << 20
+#: Bytes of documents handled at once; segments that a task remembers.
+SLICE, REMEMBERED = 2 << 20, 1 << 18
 
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -104,12 +106,11 @@ class _Chunks:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         self._clear()
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, limit=SLICE)):
             texts = _bytes_of(batch.column("text"))
             ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             order = sorted(range(len(ids)), key=lambda k: _rank(ids[k], rows[k]))
             held: list[tuple[int, bytes]] = []
-            size = 0
             for k in order:
                 t = texts[k]
                 digest = hashlib.blake2b(t, digest_size=16).digest()
@@ -118,10 +119,6 @@ class _Chunks:
                 self.docs.append((ids[k], rows[k], len(t), digest))
                 if fresh and len(t) >= LENGTH:
                     held.append((len(self.docs) - 1, t))
-                    size += len(t)
-                    if size > SLICE:
-                        self._scan(held)
-                        held, size = [], 0
             self._scan(held)
             if self.count > CHUNK:
                 yield self._close()
@@ -189,10 +186,72 @@ def _finish(answer: Answer, number: int, names: list[str]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([*docs.columns, pa.array(carried, pa.binary())], names=names)
 
 
-_SENT = fields("kind int, deal long, route long, row long, at long, stop long, bytes binary")
+_SENT = T.StructType(fields("kind int, deal long, ord long, at long, stop long, blob binary"))
+_SENT_ARROW = pa.schema([("kind", pa.int32()), ("deal", pa.int64()), ("ord", pa.int64()), ("at", pa.int64()), ("stop", pa.int64()), ("blob", pa.binary())])
+_RUNS = T.StructType(fields("ord long, at long, stop long"))
 
 
-def _pieces(text: bytes, h: int, a: int, b: int, anchor: int) -> Iterator[tuple[int, int, int]]:
+@dataclass
+class Segments:
+    """Runs of passages [at, stop) of documents `ord`, each with where it is dealt and its bytes."""
+
+    ord: np.ndarray
+    route: np.ndarray
+    at: np.ndarray
+    stop: np.ndarray
+    data: bytes | np.ndarray
+
+    @classmethod
+    def read(cls, blobs: list[bytes]) -> Segments:
+        """What `blob` wrote, several together."""
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for raw in blobs:
+            n = int(np.frombuffer(raw[:4], "<u4")[0])
+            edges = np.cumsum([4, 8 * n, 8 * n, 4 * n, 4 * n]).tolist()
+            for k, kind in enumerate(("<i8", "<u8", "<u4", "<u4")):
+                parts[k].append(np.frombuffer(raw[edges[k] : edges[k + 1]], kind))
+            parts[4].append(np.frombuffer(raw[edges[4] :], np.uint8))
+        ord_, route, at, stop, data = (np.concatenate(p) for p in parts)
+        return cls(ord_, route, at.astype(np.int64), stop.astype(np.int64), data)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self.stop - self.at + LENGTH - 1
+
+    def blob(self) -> bytes:
+        parts = (self.ord.astype("<i8"), self.route.astype("<u8"), self.at.astype("<u4"), self.stop.astype("<u4"), self.data)
+        return np.uint32(len(self.ord)).tobytes() + b"".join(p.tobytes() for p in parts)
+
+    def take(self, which: np.ndarray) -> Segments:
+        sizes = self.sizes
+        starts = np.cumsum(sizes) - sizes
+        return Segments(self.ord[which], self.route[which], self.at[which], self.stop[which], _gathered(self.data, starts[which], sizes[which]))
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of ranges, one behind the other."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a text or binary column without nulls."""
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _joined(ord_: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that touch, as one; they do not overlap."""
+    order = np.lexsort((at, ord_))
+    ord_, at, stop = ord_[order], at[order], stop[order]
+    fresh = np.r_[True, (ord_[1:] != ord_[:-1]) | (at[1:] != stop[:-1])][: len(ord_)]
+    heads = np.flatnonzero(fresh)
+    return ord_[heads], at[heads], stop[np.r_[heads[1:], len(ord_)] - 1] if len(heads) else stop
+
+
+def _short(text: memoryview, h: int, a: int, b: int, anchor: int) -> Iterator[tuple[int, int, int]]:
     """A run cut at the same distances from its anchor everywhere: from, to, and a hash of
     the bytes that all passages of that distance have in common."""
     p = a
@@ -201,134 +260,171 @@ def _pieces(text: bytes, h: int, a: int, b: int, anchor: int) -> Iterator[tuple[
         q = min(b, anchor - block * SHORT + 1)
         middle = text[anchor - block * SHORT : anchor - block * SHORT + LENGTH - SHORT + 1]
         key = hashlib.blake2b(middle, digest_size=8, salt=block.to_bytes(2, "little"), key=h.to_bytes(8, "little"))
-        yield p, q, int.from_bytes(key.digest(), "little", signed=True)
+        yield p, q, int.from_bytes(key.digest(), "little")
         p = q
 
 
-def _cut(batches: Iterator[pa.RecordBatch], id_kind: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Documents with their segments to a task's distinct segments (kind 0), the earliest
-    of each, and passages that are not it (kind 1)."""
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), id_kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    best: dict[tuple[int, bytes], tuple] = {}
-    late: list[tuple] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = late + [(0, r, r, d, row, p, q, s) for (r, s), (_, d, row, p, q) in best.items()]
-        for k in range(0, len(rows), 20_000):
-            yield out(rows[k : k + 20_000])
-        best.clear()
-        late.clear()
-
-    for batch in batches:
-        for doc, row, text, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _bytes_of(batch.column("text")), batch.column("segs").to_pylist()):
-            seg = np.frombuffer(raw, _SEGMENT)
-            for h, a, b, anchor, often in seg.tolist():
-                for p, q, h2 in _pieces(text, h, a, b, anchor) if often >= FREQUENT else [(a, b, h - (h >> 63 << 64))]:
-                    s = text[p : q - 1 + LENGTH]
-                    rank = (_rank(doc, row), p)
-                    mine = (rank, doc, row, p, q)
-                    known = best.get((h2, s))
-                    if known is None:
-                        best[h2, s] = mine
-                        size += len(s) + 200
-                    else:
-                        lost = max(known, mine, key=lambda x: x[0])
-                        best[h2, s] = min(known, mine, key=lambda x: x[0])
-                        late.append((1, row ^ lost[3], 0, lost[1], lost[2], lost[3], lost[4], None))
-                        size += 120
-        if size > 64 << 20:
-            yield from flush()
-            size = 0
-    yield from flush()
-
-
-def _classes(segments: list[tuple], id_kind: pa.DataType) -> list[tuple]:
-    """(doc_id, row, from, to) of passages of a shard's segments that stood earlier."""
-    segments.sort(key=lambda s: (_rank(s[0], s[1]), s[2]))
-    lost: list[tuple] = []
-    first: dict[bytes, int] = {}
-    kept: list[tuple] = []
-    for s in segments:
-        if s[4] in first:
-            lost.append(s[:4])
-        else:
-            first[s[4]] = len(kept)
-            kept.append(s)
-    joined = np.frombuffer(b"\0".join(s[4] for s in kept), np.uint8)
-    sizes = np.array([len(s[4]) for s in kept], np.int64)
-    starts = np.cumsum(np.r_[0, sizes[:-1] + 1])
-    t = np.empty(len(joined) + 1, np.int16)
-    t[:-1] = joined
-    t[:-1] += 2
-    t[(starts + sizes)[:-1]] = 1
-    t[-1] = 0
-    order = suffix_array(t, LENGTH)
+class _Cutter:
+    """Documents with their segments to those that a task keeps (kind 0, blobs by bucket)
+    and to runs of passages that stood earlier (kind 1)."""
+
+    def __init__(self, buckets: int, frequent: int) -> None:
+        self.buckets, self.frequent = buckets, frequent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        #: digest of a segment -> the earliest document that held it
+        self.seen: dict[bytes, int] = {}
+        for whole in batches:
+            for batch in pieces(whole, limit=SLICE):
+                yield from self.slice(batch)
+
+    def slice(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ords = batch.column("ord").to_numpy()
+        base, text = _flat(batch.column("text"))
+        seg_at, raw = _flat(batch.column("segs"))
+        seg = np.frombuffer(raw.tobytes(), _SEGMENT)
+        doc = np.repeat(np.arange(len(ords)), np.diff(seg_at) // _SEGMENT.itemsize)
+        order = np.lexsort((seg["from"], ords[doc]))
+        seg, doc = seg[order], doc[order]
+        ord_, begin = ords[doc], base[doc]
+        at, stop = seg["from"].astype(np.int64), seg["to"].astype(np.int64)
+        fresh = np.zeros(len(seg), bool)
+        view, seen = memoryview(text), self.seen
+        for k, (a, b, o) in enumerate(zip((begin + at).tolist(), (begin + stop + LENGTH - 1).tolist(), ord_.tolist())):
+            key = hashlib.blake2b(view[a:b], digest_size=16).digest()
+            if seen.setdefault(key, o + 1) > o:  # not met, or met in a later document only
+                seen[key] = o
+                fresh[k] = True
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        lost = _joined(ord_[~fresh], at[~fresh], stop[~fresh])
+        if len(lost[0]):
+            yield _sent(1, lost[0], *lost)
+        often = fresh & (seg["often"] >= self.frequent)
+        rare = np.flatnonzero(fresh & ~often)
+        made = [(ord_[rare], seg["hash"][rare], at[rare], stop[rare], begin[rare])]
+        cut = []
+        for k in np.flatnonzero(often).tolist():
+            start = int(begin[k])
+            here = view[start : start + int(base[doc[k] + 1] - base[doc[k]])]
+            cut += [(ord_[k], route, p, q, start) for p, q, route in _short(here, int(seg["hash"][k]), int(at[k]), int(stop[k]), int(seg["anchor"][k]))]
+        if cut:
+            made.append(tuple(np.array(c, kind) for c, kind in zip(zip(*cut), (np.int64, np.uint64, np.int64, np.int64, np.int64))))
+        ord_, route, at, stop, begin = (np.concatenate(c) for c in zip(*made))
+        if not len(ord_):
+            return
+        bucket = (_spread(route) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order])) + 1
+        blobs, deals = [], []
+        for which in np.split(order, edges):
+            starts = begin[which] + at[which]
+            blobs.append(Segments(ord_[which], route[which], at[which], stop[which], _gathered(text, starts, stop[which] - at[which] + LENGTH - 1)).blob())
+            deals.append(int(bucket[which[0]]))
+        zero = np.zeros(len(deals), np.int64)
+        yield _sent(0, np.array(deals), zero, zero, zero, blobs)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD[3]
+    return h ^ (h >> np.uint64(29))
+
+
+def _sent(kind: int, deal: np.ndarray, ord_: np.ndarray, at: np.ndarray, stop: np.ndarray, blobs: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(deal)
+    columns = [np.full(n, kind), deal, ord_, at, stop]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t.type) for c, t in zip(columns, _SENT_ARROW)), pa.array(blobs or [None] * n, pa.binary())], schema=_SENT_ARROW)
+
+
+def _settled(found: Segments) -> tuple[Segments, list[tuple[np.ndarray, ...]]]:
+    """Of equal segments the earliest, and the runs of the others."""
+    view, sizes = memoryview(found.data), found.sizes
+    ends = np.cumsum(sizes)
+    index: dict[bytes, int] = {}
+    group = np.array([index.setdefault(hashlib.blake2b(view[a:b], digest_size=16).digest(), len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64)
+    order = np.lexsort((found.at, found.ord, group))
+    first = np.r_[True, group[order][1:] != group[order][:-1]]
+    lost = order[~first]
+    return found.take(order[first]), [(found.ord[lost], found.at[lost], found.stop[lost])]
+
+
+def _numbers(n: int) -> np.ndarray:
+    """What parts the texts of n segments: a sign that no text has, and the segment's number,
+    so that no common prefix goes beyond a segment."""
+    digits = [np.ones(n, np.int16)]
+    left = np.arange(n)
+    while not digits[1:] or left.any():
+        digits.append((left % 256 + 2).astype(np.int16))
+        left = left // 256
+    return np.stack(digits, 1)
+
+
+def _classes(kept: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of passages of a shard's segments, all different, that stood earlier."""
+    sizes = kept.sizes
+    number = _numbers(len(sizes))
+    starts = np.cumsum(sizes + number.shape[1]) - sizes - number.shape[1]
+    ends = np.cumsum(sizes)
+    t = np.zeros(int(ends[-1]) + number.size + 1, np.int16)
+    t[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])] = kept.data.astype(np.int16) + 2
+    t[(starts + sizes)[:, None] + np.arange(number.shape[1])] = number
+    order = suffix_array(t)
     share = common_prefixes(t, order)
-    runs = np.array([s[3] - s[2] for s in kept], np.int64)
     owner = np.zeros(len(t), np.int64)
     owner[starts[1:]] = 1
     owner = np.cumsum(owner)
-    passage = np.arange(len(t)) - starts[owner] < runs[owner]
-    sorted_passage = passage[order]
-    tied = share[order] >= LENGTH
+    passage = np.arange(len(t)) - starts[owner] < (kept.stop - kept.at)[owner]
     # suffixes that are no passage share less than LENGTH with one that is
-    group = np.cumsum(~tied)[sorted_passage]
-    where = order[sorted_passage]
-    if not len(where):
-        return lost
-    doc_of: dict[tuple, int] = {}
-    doc = np.array([doc_of.setdefault((s[0], s[1]), len(doc_of)) for s in kept], np.int64)
-    place = np.array([s[2] for s in kept], np.int64)[owner[where]] + where - starts[owner[where]]
-    key = doc[owner[where]] << 32 | place
+    group = np.cumsum(share[order] < LENGTH)[passage[order]]
+    where = order[passage[order]]
+    doc = np.unique(kept.ord, return_inverse=True)[1]
+    key = doc[owner[where]] << 32 | kept.at[owner[where]] + where - starts[owner[where]]
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    earliest = np.minimum.reduceat(key, heads)
     late = np.zeros(len(t), bool)
-    late[where] = key != np.repeat(earliest, np.diff(np.r_[heads, len(key)]))
-    edge = np.flatnonzero(late & ~np.r_[False, late[:-1]])
-    stop = np.flatnonzero(late & ~np.r_[late[1:], False]) + 1
-    for a, b in zip(edge.tolist(), stop.tolist()):
-        s = kept[owner[a]]
-        p = s[2] + a - int(starts[owner[a]])
-        lost.append((s[0], s[1], p, p + b - a))
-    return lost
-
-
-def _shard(batches: Iterator[pa.RecordBatch], id_kind: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by anchor to runs of passages that stood earlier."""
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (id_kind, pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    held: list[tuple] = []
-    size, route = 0, None
+    late[where] = key != np.repeat(np.minimum.reduceat(key, heads), np.diff(np.r_[heads, len(key)]))
+    a = np.flatnonzero(late & ~np.r_[False, late[:-1]])
+    b = np.flatnonzero(late & ~np.r_[late[1:], False]) + 1
+    at = kept.at[owner[a]] + a - starts[owner[a]]
+    return kept.ord[owner[a]], at, at + b - a
+
+
+def _bucket(blobs: list[bytes]) -> pa.RecordBatch:
+    """All segments of one bucket to runs of passages that stood earlier."""
+    kept, lost = _settled(Segments.read(blobs))
+    order = np.argsort(kept.route, kind="stable")
+    kept = kept.take(order)
+    edge = np.flatnonzero(np.r_[True, kept.route[1:] != kept.route[:-1]])
+    done = np.cumsum(np.add.reduceat(kept.sizes, edge)) // SHARD
+    cuts = edge[np.flatnonzero(np.diff(done)) + 1].tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(order)]):
+        lost.append(_classes(kept.take(np.arange(a, b))))
+    ord_, at, stop = _joined(*(np.concatenate(c) for c in zip(*lost)))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ord_, at, stop)], names=["ord", "at", "stop"])
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs sorted by bucket to runs of passages that stood earlier; settled runs pass."""
+    now, blobs = None, []
     for batch in batches:
-        passed = []
-        for kind, r, doc, row, at, stop, s in zip(*(batch.column(c).to_pylist() for c in ("kind", "route", "doc_id", "row", "at", "stop", "bytes"))):
-            if kind == 1:
-                passed.append((doc, row, at, stop))
-                continue
-            if r != route and size > SHARD:
-                passed += _classes(held, id_kind)
-                held, size = [], 0
-            route = r
-            held.append((doc, row, at, stop, s))
-            size += len(s)
-        if passed:
-            yield out(passed)
-    if held and (lost := _classes(held, id_kind)):
-        yield out(lost)
-
-
-def _remove(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
-    """Text without the passages that start in `runs` ([from, to) rows), bytes and spans removed."""
-    order = np.argsort(runs[:, 0], kind="stable")
-    a, b = runs[order, 0], runs[order, 1] - 1 + LENGTH
+        kind = batch.column("kind").to_numpy()
+        settled = batch.filter(pa.array(kind == 1)).select(["ord", "at", "stop"])
+        if settled.num_rows:
+            yield settled
+        deal, column = batch.column("deal").to_numpy(), batch.column("blob")
+        for k in np.flatnonzero(kind == 0).tolist():
+            if deal[k] != now:
+                if blobs:
+                    yield _bucket(blobs)
+                now, blobs = deal[k], []
+            blobs.append(column[k].as_buffer().to_pybytes())
+    if blobs:
+        yield _bucket(blobs)
+
+
+def _remove(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
+    """Text without the passages that start in the runs [a, b), bytes and spans removed."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order] - 1 + LENGTH
     far = np.maximum.accumulate(b)
     fresh = np.r_[True, a[1:] > far[:-1]]
     start, end = a[fresh], far[np.r_[np.flatnonzero(fresh)[1:] - 1, len(a) - 1]]
@@ -340,17 +436,35 @@ def _remove(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join(parts), int((end - start).sum()), len(start)
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def _dropped(batches: Iterator[pa.RecordBatch], names: list[str], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Documents with their runs to what is left of them."""
+    for batch in (x for whole in batches for x in pieces(whole, limit=SLICE)):
+        runs = batch.column("runs")
+        edges = np.asarray(runs.offsets)
+        edges, flat = (edges - edges[0]).tolist(), runs.flatten()
+        at, stop = (np.asarray(flat.field(c)) for c in (0, 1))
+        rows = []
+        for text, a, b in zip(_bytes_of(batch.column("text")), edges, edges[1:]):
+            kept, gone, spans = _remove(text, at[a:b], stop[a:b])
+            rows.append((gone, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *made], names=names)
+
+
+def removed(docs: DataFrame, with_text: bool = True, frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (where bytes went) of each row.
 
     A byte goes if a LENGTH-byte string over it also starts earlier: in a document
     of smaller id, or earlier in the same. Texts are UTF-8 bytes; null counts as
     empty. Rows that repeat doc_id and text are one document, and each gets its
     result; texts that share a doc_id are ordered by a hash. A null doc_id comes
-    after all others. kept_text is binary: a cut may fall inside a letter.
+    after all others. Other columns are not read. kept_text is binary, as a cut
+    may fall inside a letter; it is null without `with_text`. doc_id is an
+    integer, a long or a string.
     """
     id_field = docs.schema["doc_id"]
     id_kind = pa.int32() if isinstance(id_field.dataType, T.IntegerType) else pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
+    width = partitions(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("row"), whole_text().alias("text"))
     names = ["doc_id", "row", "n_bytes", "digest", "segs"]
     schema = T.StructType([id_field, *fields("row long, n_bytes long, digest binary, segs binary")])
@@ -359,35 +473,26 @@ def removed(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     groups = found.groupBy("digest").agg(F.min(order).alias("first"), F.first("segs", ignorenulls=True).alias("segs"), F.count(F.lit(1)).alias("k"))
     groups = stored(groups.select("digest", "k", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), "segs"))
-    ours = groups.filter(F.col("segs").isNotNull()).select("doc_id", "row", "segs")
-    with_text = matched(keyed, ours, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
-    with_text = stored(with_text)
-    sent = ["kind", "deal", "route", "doc_id", "row", "at", "stop", "bytes"]
-    of = {f.name: f for f in _SENT} | {"doc_id": id_field}
-    width = partitions(docs.sparkSession)
-    cut = with_text.mapInArrow(lambda b: _cut(b, id_kind, sent), T.StructType([of[c] for c in sent]))
-    dealt = cut.repartition(width, "deal").sortWithinPartitions("kind", "route")
-    run = ["doc_id", "row", "at", "stop"]
-    runs = dealt.mapInArrow(lambda b: _shard(b, id_kind, run), T.StructType([of[c] for c in run]))
-    packed = F.collect_list(F.struct("at", "stop"))  # runs of one document
-    per_doc = runs.distinct().groupBy("doc_id", "row").agg(packed.alias("runs"))
+    by = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")]
+    numbered = groups.filter(F.col("segs").isNotNull()).select("doc_id", "row", "segs").repartitionByRange(width, *by).sortWithinPartitions(*by)
+    numbered = stored(numbered.withColumn("ord", F.monotonically_increasing_id()))
+    texts = stored(_first_rows(keyed, numbered))
+    # bytes of all segments: a run of passages and what its last one reaches beyond its start
+    total = numbered.agg(F.coalesce(F.sum(F.octet_length("segs")), F.lit(0)).alias("b")).first().b * LENGTH // _SEGMENT.itemsize
+    buckets = max(width, -(-total // bucket))
+    cutter = _Cutter(buckets, frequent)
+    cut = texts.select("ord", "text", "segs").mapInArrow(lean(lambda b: cutter(b)), _SENT)
+    dealt = cut.repartition(min(buckets, 8 * width), "kind", "deal").sortWithinPartitions("kind", "deal")
+    runs = dealt.mapInArrow(lean(_shard), _RUNS)
+    per_doc = runs.groupBy("ord").agg(F.collect_list(F.struct("at", "stop")).alias("runs"))  # runs of one document
     left = ["doc_id", "row", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, runs_ in zip(_bytes_of(batch.column("text")), batch.column("runs").to_pylist()):
-                kept, gone, spans = _remove(text, np.array([(r["at"], r["stop"]) for r in runs_], np.int64))
-                rows.append((gone, spans, hashlib.sha256(kept).hexdigest(), kept))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *made], names=left)
-
     schema = T.StructType([id_field, *fields("row long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")])
-    partly = matched(with_text.select("doc_id", "row", "text"), per_doc, ["doc_id", "row"]).mapInArrow(drop, schema)
+    partly = texts.select("ord", "doc_id", "row", "text").join(per_doc, "ord").select("doc_id", "row", "text", "runs")
+    partly = partly.mapInArrow(lean(lambda b: _dropped(b, left, with_text)), schema)
     copies = with_groups(found.select("doc_id", "row", "n_bytes", "digest"), groups.select("digest", "k", F.col("doc_id").alias("f_doc"), F.col("row").alias("f_row")), ["digest"], "k")
     copies = copies.filter((F.col("n_bytes") >= LENGTH) & ~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("row") == F.col("f_row"))))
     empty = F.sha2(F.lit(""), 256)
-    whole = copies.select("doc_id", "row", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"), F.lit(b"").alias("kept_text"))
+    whole = copies.select("doc_id", "row", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"), F.lit(b"" if with_text else None).cast("binary").alias("kept_text"))
     gone = partly.unionByName(whole.distinct())
     plain = keyed.select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     return matched(plain, gone, ["doc_id", "row"], "left").select(
@@ -395,3 +500,13 @@ def removed(docs: DataFrame) -> DataFrame:
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "own").alias("kept_sha256"), "kept_text",
     )
+
+
+def _first_rows(keyed: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The rows of `keyed` that `numbered` names by doc_id and row, one of each, with its columns."""
+    at = F.xxhash64("doc_id", "row")
+    named = numbered.select(at.alias("_n"), F.col("doc_id").alias("_doc"), F.col("row").alias("_own"), "ord", "segs")
+    rows = keyed.withColumn("_k", at)
+    joined = rows.join(named, (F.col("_k") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_own")))
+    copy = F.row_number().over(Window.partitionBy("_k", "ord").orderBy(F.lit(1)))
+    return joined.withColumn("_copy", copy).filter("_copy = 1").select("ord", "doc_id", "row", "text", "segs")

@@ -4,28 +4,28 @@ Suffixes are S (smaller than the next) or L. Leftmost S suffixes (LMS) are put
 into the buckets of their first symbols; a pass over the buckets upwards induces
 the order of L suffixes, one downwards that of S suffixes, and so sorts the
 substrings between LMS positions. Equal substrings get equal names, the string of
-names is sorted in turn, and with its order the same two passes give the array.
+names (less what names that occur once decide) is sorted in turn by the same
+function, and with its order the same two passes give the array.
 
 A bucket is handled at once, not a suffix at a time: what stands in it by then is
-a numpy array, suffixes that it induces into itself follow in waves, and those
-that it induces elsewhere are dealt by symbol in order. That pays while buckets
-are few, so the string of names is sorted by the same method if it has few names,
-and else by doubling: ranks of 1, 2, 4, ... names, as far as `depth` symbols ask.
+a slice of the array, suffixes that it induces into itself follow in waves, and
+those that it induces elsewhere are put at their buckets' edges in one step. That
+pays while buckets are few, so a string of many names is written with two digits
+a name: twice as long, over the square root of the symbols. Its suffixes that
+begin with a name stand in the order of the names' suffixes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols up to which buckets are handled one by one.
-BUCKETS = 1024
+#: Symbols from which a string is written in digits.
+BUCKETS = 512
 
 
 def _s_types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last is."""
     n = len(t)
-    up = np.zeros(n, bool)
-    up[-1] = True
     differs = np.r_[t[1:] != t[:-1], True]
     # of a run of equal symbols the last decides
     decides = np.where(differs, np.arange(n), n)
@@ -34,54 +34,59 @@ def _s_types(t: np.ndarray) -> np.ndarray:
     return rises[decides]
 
 
-def _deal(found: np.ndarray, symbols: np.ndarray, into: list[list[np.ndarray]]) -> None:
-    """Appends positions to their symbols' buckets, in order."""
-    if not len(found):
-        return
-    order = np.argsort(symbols, kind="stable")
-    found, symbols = found[order], symbols[order]
-    edges = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-    for a, b in zip(edges, [*edges[1:], len(found)]):
-        into[symbols[a]].append(found[a:b])
-
-
-def _waves(t: np.ndarray, first: list[np.ndarray], c: int) -> np.ndarray:
-    """A bucket's positions and those that they induce into it."""
-    now = np.concatenate(first) if first else np.zeros(0, np.int64)
-    out = [now]
-    while len(now):
-        now = now[now > 0] - 1
-        now = now[t[now] == c]
-        out.append(now)
-    return np.concatenate(out)
-
-
 def _induce(t: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, given LMS positions in an order."""
-    starts: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    _deal(lms, t[lms], starts)
-    lower: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    large: list[np.ndarray] = []
-    for c in range(symbols):
-        own = _waves(t, lower[c], c)
-        large.append(own)
-        seen = np.concatenate([own, *starts[c]])
-        before = seen[seen > 0] - 1
+    sizes = np.bincount(t, minlength=symbols)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    used = np.flatnonzero(sizes).tolist()
+    first, last = starts.tolist(), ends.tolist()
+    array, ramp = np.empty(len(t), np.int64), np.arange(len(t))
+    lms = lms[np.argsort(t[lms], kind="stable")]
+    lms_ends = [0, *np.cumsum(np.bincount(t[lms], minlength=symbols)).tolist()]
+    head = starts.copy()
+    for c in used:
+        a, b = first[c], int(head[c])
+        now = array[a:b]
+        while len(now):  # L suffixes before L suffixes of the same symbol
+            now = now[now > 0] - 1
+            now = now[t[now] == c]
+            array[b : b + len(now)] = now
+            b += len(now)
+        # the last symbol, which stands for what is before the first, is not larger
+        before = np.concatenate((array[a:b], lms[lms_ends[c] : lms_ends[c + 1]])) - 1
         s = t[before]
-        _deal(before[s > c], s[s > c], lower)
-        lower[c] = []
-    upper: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    upper[t[-1]].append(np.array([len(t) - 1]))
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * symbols
-    for c in range(symbols - 1, -1, -1):
-        own = _waves(t, upper[c], c)
-        out[c] = np.concatenate([large[c], own[::-1]])
-        seen = np.concatenate([own, large[c][::-1]])
+        larger = s > c
+        before, s = before[larger], s[larger]
+        if len(s):
+            order = s.argsort(kind="stable")
+            s = s[order]
+            counts = np.bincount(s, minlength=symbols)
+            array[(head - counts.cumsum() + counts)[s] + ramp[: len(s)]] = before[order]
+            head += counts
+    tail = ends - 1
+    array[tail[t[-1]]] = len(t) - 1
+    tail[t[-1]] -= 1
+    for c in reversed(used):
+        b, a = last[c], int(tail[c])
+        now = array[a + 1 : b][::-1]
+        while len(now):  # S suffixes before S suffixes of the same symbol
+            now = now[now > 0] - 1
+            now = now[t[now] == c]
+            array[a + 1 - len(now) : a + 1] = now[::-1]
+            a -= len(now)
+        seen = array[first[c] : b][::-1]
         before = seen[seen > 0] - 1
         s = t[before]
-        _deal(before[s < c], s[s < c], upper)
-        upper[c] = []
-    return np.concatenate(out)
+        smaller = s < c
+        before, s = before[smaller], s[smaller]
+        if len(s):
+            order = s.argsort(kind="stable")
+            s = s[order]
+            counts = np.bincount(s, minlength=symbols)
+            array[(tail + counts.cumsum() - counts)[s] - ramp[: len(s)]] = before[order]
+            tail -= counts
+    return array
 
 
 def _names(t: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,36 +105,24 @@ def _names(t: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[False, ~same])
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first `depth` names at least."""
-    rank, reach = names.astype(np.int64), 1
-    n = len(rank)
-    order = np.argsort(rank, kind="stable")
-    while reach < depth:
-        after = np.full(n, 0, np.int64)
-        after[: n - reach] = rank[reach:] + 1
-        key = rank * (rank.max() + 2) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            break
-        reach *= 2
-    return order
-
-
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Order of the suffixes of `t`, whose last symbol is its least and stands there only.
-
-    With `depth`, suffixes that agree in their first `depth` symbols may stand in
-    any order among one another.
-    """
+def _digits(t: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
+    """A string in two digits a symbol, with an end below all digits; and its symbols."""
+    base = int(np.ceil(np.sqrt(symbols)))
+    out = np.zeros(2 * len(t) + 1, np.int16 if base < 32_000 else np.int32)
+    out[:-1:2] = t // base + 1
+    out[1::2] = t % base + 1
+    return out, base + 1
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of `t`, whose last symbol is its least and stands there only."""
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
     symbols = int(t.max()) + 1
+    if symbols > BUCKETS:
+        found = suffix_array(_digits(t, symbols)[0])
+        return found[(found % 2 == 0) & (found < 2 * n)] // 2
     small = _s_types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = small[1:] & ~small[:-1]
@@ -140,15 +133,33 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     ends[lms] = np.r_[lms[1:], n - 1]
     name = np.zeros(n, np.int64)
     name[order] = _names(t, order, ends)
-    reduced = name[lms]
-    names = int(reduced.max()) + 1 if len(reduced) else 0
-    if names == len(lms):
-        ranked = order
-    elif names <= BUCKETS:
-        ranked = lms[suffix_array(reduced, depth)]
-    else:
-        ranked = lms[_doubled(reduced, len(reduced) if depth is None else depth)]
-    return _induce(t, ranked, symbols)
+    return _induce(t, lms[_sorted_names(name[lms])], symbols)
+
+
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names.
+
+    A name that occurs once decides every comparison that reaches it, so of names
+    like it that stand together the first is enough: the others are left out of
+    the string that is sorted in turn.
+    """
+    counts = np.bincount(names)
+    out = np.empty(len(names), np.int64)
+    once = counts[names] == 1
+    slot = (np.cumsum(counts) - counts)[names]
+    out[slot[once]] = np.flatnonzero(once)
+    if once.all():
+        return out
+    kept = ~once
+    kept[1:] |= ~once[:-1]
+    kept[-1] = True  # the end, which is least
+    at = np.flatnonzero(kept)
+    dense = np.cumsum(np.bincount(names[at], minlength=len(counts)) > 0) - 1
+    order = at[suffix_array(dense[names[at]])]
+    free = np.ones(len(names), bool)
+    free[slot[once]] = False
+    out[free] = order[~once[order]]
+    return out
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:

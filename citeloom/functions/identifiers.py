@@ -46,7 +46,7 @@ def source_rank(c: Column) -> Column:
 
 
 def oa_version_rank(c: Column) -> Column:
-    return F.coalesce(lookup(c, dims.OA_VERSION_RANK), F.lit(0))
+    return F.coalesce(lookup(F.lower(F.trim(c)), {k.lower(): v for k, v in dims.OA_VERSION_RANK.items()}), F.lit(0))
 
 
 def short_id(c: Column) -> Column:

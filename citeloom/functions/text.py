@@ -39,16 +39,17 @@ def title_overlap(a: Column, b: Column) -> Column:
 
 
 def is_initials(c: Column) -> Column:
-    bare = F.replace(c, F.lit("."), F.lit(""))
+    bare = F.trim(F.replace(c, F.lit("."), F.lit("")))
     return (F.length(bare).between(1, 3)) & (bare == F.upper(bare)) & bare.rlike(r"\p{Lu}")
 
 
 def surname_candidates(c: Column) -> Column:
-    """What may be the family name: before a comma, or every word but initials."""
-    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    """What may be the family name: the words before a comma, or every word but initials."""
+    split = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
+    words = split(c)
     full = F.filter(words, lambda w: ~is_initials(w))
     loose = F.when(F.size(full) > 0, full).otherwise(words)
-    names = F.when(c.rlike("[,，]"), F.array(F.element_at(F.split(c, "[,，]"), 1))).otherwise(loose)
+    names = F.when(c.rlike("[,，]"), split(F.element_at(F.split(c, "[,，]"), 1))).otherwise(loose)
     return F.array_distinct(F.filter(F.transform(names, normalize_str), lambda w: w != ""))
 
 
@@ -95,35 +96,6 @@ def all_terms(c: Column, terms: list[str]) -> Column:
     return held
 
 
-def inline_citations(c: Column) -> Column:
-    """Author-year and numeric citations of a stripped text."""
-    return F.regexp_count(c, F.lit(dims.CITE_AUTHOR_YEAR)) + F.regexp_count(c, F.lit(dims.CITE_NUMERIC))
-
-
-def anchor_links(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(dims.ANCHOR_LINK))
-
-
-def strip_inline(c: Column) -> Column:
-    """Markdown of a line: images, links, notes, code, tags and emphasis, in this order."""
-    for pattern, to in (
-        (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[\^[^\]]+\]", ""),
-        (r"`([^`]*)`", "$1"), (r"<[^>]+>", ""), (r"\*{1,3}|_{2,3}|~~", ""), (r"[ \t]+", " "),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
-
-
-def clean_markup(c: Column) -> Column:
-    """Markup of an abstract: tags go, the five entities and numeric ones of space are read, a leading label goes."""
-    for _ in range(2):
-        c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-        for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            c = F.replace(c, F.lit(entity), F.lit(to))
-    c = F.regexp_replace(folded(c), r"(?i)^abstract\b[:.\s]*", "")
-    return F.when(meaningful(c), c)
-
-
 def restore_abstract(index: Column) -> Column:
     """Text from a map of word to positions; of words at one position the last wins."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeloom.functions import markdown as M
 from citeloom.functions import text as X
+from citeloom.functions.jats import clean_jats
 from citeloom.model import dims
-from citeloom.operators import manuscripts as M
+from citeloom.operators import manuscripts as O
+from citeloom.plans import manuscript_sql as Q
+from citeloom.plans.views import duck, view
 from citeloom.registry import query
 from citeloom.session import ship
+from citeloom.sinks import reports
+from citeloom.sources import notes
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
 
 
-_CHARS = r"length(regexp_replace(coalesce(text, ''), '[\p{P}\p{Z}\p{C}]', '', 'g'))"
+def _papers(spark, sf_dir):
+    return view(spark, sf_dir, "v_manuscripts")
+
+
+_CHARS = Q.CHARS.format("coalesce(text, '')")
 
 
 @query("effective_chars", f"SELECT doc_id, {_CHARS} AS chars FROM documents")
@@ -24,56 +34,158 @@ def effective_chars(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.effective_chars(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
 
 
-_UNION = "|".join(sorted(dims.FUNCTION_WORDS, key=lambda w: (-len(w), w)))
+_LINES = f"{duck('v_manuscripts')}, {Q.lines('l', 'v_manuscripts', 'doc_id')}"
+
+
+@query("strip_markdown", f"{_LINES}, {Q.stripped('p', 'l', 'doc_id')}, {Q.stripped('q', 'l', 'doc_id', True)} SELECT doc_id, coalesce(p.plain, '') AS plain, coalesce(q.plain, '') AS with_quotes FROM v_manuscripts LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)")
+def strip_markdown(spark, sf_dir):
+    """The prose of all manuscripts, without and with quotes."""
+    return _papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("plain"), M.strip_markdown(F.col("text"), keep_quotes=True).alias("with_quotes"))
+
+
+@query("paragraphs", f"{_LINES}, {Q.paragraphs('p', 'l')} SELECT doc_id, position::INT AS position, paragraph FROM p")
+def paragraphs(spark, sf_dir):
+    """The paragraphs of all manuscripts."""
+    return O.paragraphs(_papers(spark, sf_dir))
+
+
+@query("sections", f"{_LINES}, {Q.sections('s', 'l', 'p')} SELECT doc_id, position::INT AS position, section, body FROM s")
+def sections(spark, sf_dir):
+    """The sections of all manuscripts."""
+    return O.sections(_papers(spark, sf_dir))
+
+
+_GAPS = "|".join(dims.GAP_WORDS)
+_SCAN = f"""{_LINES}, {Q.paragraphs('p', 'l')}, g AS (SELECT doc_id, position, paragraph, regexp_replace(paragraph, '(?:{_GAPS})[ \\t\\p{{Z}}\\n]*(?:[(（][^)）]*[)）])?', '', 'g') AS ungapped FROM p),
+    {Q.lines('m', 'g', 'doc_id, position', 'ungapped')}, {Q.stripped('c', 'm', 'doc_id, position', True)}, {Q.lines('r', 'p', 'doc_id, position', 'paragraph')},
+    qt AS (SELECT doc_id, position, count(*) FILTER (starts_with(s, '>') AND NOT fenced) AS quotes, count(*) FILTER (contains(s, '⚠') AND regexp_matches(s, '{_GAPS}')) AS n_gaps FROM r GROUP BY ALL),
+    a AS (SELECT p.doc_id, p.position AS raw_at, {Q.CHARS.format('c.plain')} AS chars, {Q.count('paragraph', r'\[[^\]]*\]\([ \t]*(?:\.\.?/)*literature/[^)]*\)')} AS links, {Q.count('c.plain', Q.BY_YEAR)} AS by_year, {Q.count('c.plain', Q.BY_NUMBER)} AS by_number,
+                 coalesce(qt.quotes, 0) AS quotes, coalesce(qt.n_gaps, 0) AS n_gaps, coalesce(nx.quotes, 0) > 0 AS next_is_quote, c.plain
+          FROM p JOIN c USING (doc_id, position) LEFT JOIN qt USING (doc_id, position) LEFT JOIN qt nx ON nx.doc_id = p.doc_id AND nx.position = p.position + 1),
+    scan AS MATERIALIZED (SELECT *, links + by_year + by_number AS support, row_number() OVER (PARTITION BY doc_id ORDER BY raw_at)::INT AS position FROM a)"""
+_KINDS = "support = 0 AND quotes = 0 AS unsupported, support = 0 AND quotes > 0 AS quote_only"
+
+
+@query("anchor_scan", f"{_SCAN} SELECT doc_id, position, chars, links, by_year, by_number, quotes, n_gaps, next_is_quote, support, {_KINDS} FROM scan")
+def anchor_scan(spark, sf_dir):
+    """What supports each paragraph of all manuscripts."""
+    return O.anchor_scan(_papers(spark, sf_dir)).withColumn("n_gaps", F.size("gaps").cast("long")).drop("gaps")
+
+
+@query("anchor_density", f"""{_SCAN} SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (support = 0 AND quotes = 0) AS n_unsupported, count(*) FILTER (support = 0 AND quotes > 0) AS n_quote_only, sum(n_gaps)::BIGINT AS n_gaps,
+        sum(support)::BIGINT AS support, sum(chars)::BIGINT AS chars, concat_ws(',', CASE WHEN max(links) > 0 THEN 'anchor' END, CASE WHEN max(by_year) > 0 THEN 'author_year' END, CASE WHEN max(by_number) > 0 THEN 'numeric' END, CASE WHEN max(quotes) > 0 THEN 'quote' END) AS forms,
+        coalesce(round(sum(support) * 1000.0::DOUBLE / nullif(sum(chars), 0), 2), 0.0) AS density FROM scan GROUP BY doc_id""")
+def anchor_density(spark, sf_dir):
+    """Support of whole manuscripts."""
+    return O.density(O.anchor_scan(_papers(spark, sf_dir)))
+
+
+@query("gap_marks", f"{_SCAN} SELECT doc_id, position, s AS line FROM scan JOIN (SELECT doc_id, position AS raw_at, s FROM r WHERE contains(s, '⚠') AND regexp_matches(s, '{_GAPS}')) USING (doc_id, raw_at)")
+def gap_marks(spark, sf_dir):
+    """Lines in which a lack of support is marked."""
+    return O.gap_marks(O.anchor_scan(_papers(spark, sf_dir)))
+
+
+_PROSE = f"{_LINES}, {Q.stripped('p', 'l', 'doc_id')}"
+
+
+@query("word_counts", f"""{_PROSE}, f AS ({Q.words('p', 'doc_id', 'plain', 'function_words', dims.FUNCTION_WORDS)}), h AS ({Q.words('p', 'doc_id', 'plain', 'persons', dims.PERSON_WORDS, dims.PERSON_MASK)}),
+    q AS ({Q.words('p', 'doc_id', 'plain', 'quads', dims.QUAD_PHRASES)}) SELECT doc_id, function_words, persons, quads FROM f JOIN h USING (doc_id) JOIN q USING (doc_id)""")
+def word_counts(spark, sf_dir):
+    """Function words, persons and set phrases of all manuscripts."""
+    p = _papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("t")).filter("t <> ''")
+    n = lambda words, mask=(): O.total(O.word_counts(F.col("t"), words, mask))
+    return p.select("doc_id", n(dims.FUNCTION_WORDS).alias("function_words"), n(dims.PERSON_WORDS, dims.PERSON_MASK).alias("persons"), n(dims.QUAD_PHRASES).alias("quads"))
 
 
-@query("function_word_density", f"""WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_UNION}')) AS hits, {_CHARS} AS chars FROM documents)
-    SELECT doc_id, hits, chars, CASE WHEN chars = 0 THEN 0.0 ELSE round(hits * 1000.0::DOUBLE / chars, 2) END AS density FROM d""")
+@query("function_word_density", f"""WITH f AS ({Q.words('documents', 'doc_id', "coalesce(text, '')", 'hits', dims.FUNCTION_WORDS)}), c AS (SELECT doc_id, {_CHARS} AS chars FROM documents)
+    SELECT doc_id, hits, chars, coalesce(round(hits * 1000.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS density FROM f JOIN c USING (doc_id)""")
 def function_word_density(spark, sf_dir):
-    """Connecting words for each 1000 characters."""
-    return M.lexicon_density(_docs(spark, sf_dir), dims.FUNCTION_WORDS)
+    """Connecting words of all documents for each 1000 characters."""
+    t = F.coalesce("text", F.lit(""))
+    d = _docs(spark, sf_dir).select("doc_id", O.total(O.word_counts(t, dims.FUNCTION_WORDS)).alias("hits"), X.effective_chars(t).cast("long").alias("chars"))
+    return d.withColumn("density", O.per(F.col("hits"), F.col("chars"), 1000))
+
+
+_END, _CLOSE = "。！？；…!?;.", "」』）》〉】〕)）}”’"
+_SPLIT = f"list_filter(list_transform(regexp_extract_all(regexp_replace(plain, '「[^」]*」', '', 'g'), '[^{_END}]*[{_END}]+[{_CLOSE}]*|[^{_END}]+'), lambda x: {Q.CHARS.format('x')}), lambda n: n > 0)"
 
 
-@query("sentence_stats")
+@query("sentence_stats", f"""{_PROSE}, n AS (SELECT doc_id, {_SPLIT} AS n FROM p) SELECT doc_id, len(n) AS n_sentences, list_sum(n)::BIGINT AS sentence_chars, round(list_avg(n), 2) AS len_mean, round(list_median(n), 2) AS len_median, round(list_stddev_pop(n), 2) AS len_std, len(n) >= 5 AS reliable FROM n""")
 def sentence_stats(spark, sf_dir):
-    """Sentences of all documents; held against plain Python in tests."""
+    """Sentences of all manuscripts' prose; a quote within one is taken out first, so that SQL can follow."""
+    ship(spark)
+    p = _papers(spark, sf_dir).select("doc_id", F.regexp_replace(M.strip_markdown(F.col("text")), "「[^」]*」", "").alias("text")).filter("text <> ''")
+    return O.sentence_stats(p).drop("at_head", "inside", "at_end")
+
+
+@query("document_sentences")
+def document_sentences(spark, sf_dir):
+    """Sentences of all documents and the places of their citations; held against cases in tests."""
     ship(spark)
-    return M.sentence_stats(_docs(spark, sf_dir))
+    return O.sentence_stats(_docs(spark, sf_dir))
+
+
+@query("section_style")
+def section_style(spark, sf_dir):
+    """The style of each section of all manuscripts; held against cases in tests."""
+    ship(spark)
+    return O.measure_sections(_papers(spark, sf_dir))
+
 
+_MEASURED = f"""{_LINES}, {Q.sections('s', 'l', 'p')}, {Q.lines('m', 's', 'doc_id, position', 'body')}, {Q.stripped('c', 'm', 'doc_id, position')},
+    f AS ({Q.words('c', 'doc_id, position', 'plain', 'fw', dims.FUNCTION_WORDS)}), h AS ({Q.words('c', 'doc_id, position', 'plain', 'pw', dims.PERSON_WORDS, dims.PERSON_MASK)}), q AS ({Q.words('c', 'doc_id, position', 'plain', 'qw', dims.QUAD_PHRASES)}),
+    d AS MATERIALIZED (SELECT doc_id, position, section, {Q.CHARS.format('plain')} AS chars, fw, pw, qw FROM c JOIN s USING (doc_id, position) JOIN f USING (doc_id, position) JOIN h USING (doc_id, position) JOIN q USING (doc_id, position)),
+    v AS (SELECT doc_id, position, section, coalesce(round(fw * 100.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS function_word_per_100, coalesce(round(pw * 1000.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS person_per_1000, coalesce(round(qw * 1000.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS quad_per_1000 FROM d)"""
+_COMPARED = ("function_word_per_100", "person_per_1000", "quad_per_1000")
 
-@query("section_compare", f"""WITH m AS (SELECT source, avg(length(coalesce(text, '')))::DOUBLE AS mean_chars, avg({_CHARS})::DOUBLE AS mean_effective FROM documents WHERE source IS NOT NULL GROUP BY source),
-    l AS (SELECT source, 'mean_chars' AS feature, mean_chars AS v FROM m UNION ALL SELECT source, 'mean_effective', mean_effective FROM m)
-    SELECT feature, round(min(v), 4) AS least, round(max(v), 4) AS most, round(max(v) - min(v), 4) AS range, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS deviation,
-           coalesce(round(stddev_pop(v) / nullif(avg(v), 0), 4), 0.0) AS cv, first(source ORDER BY v, source) AS least_in, first(source ORDER BY v DESC, source) AS most_in FROM l GROUP BY feature""")
+
+@query("section_compare", f"""{_MEASURED}, x AS ({' UNION ALL '.join(f"SELECT doc_id, position, section, '{n}' AS feature, {n} AS v FROM v" for n in _COMPARED)})
+    SELECT doc_id, feature, round(min(v), 4) AS least, round(max(v), 4) AS most, round(max(v) - min(v), 4) AS range, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS deviation,
+           coalesce(round(stddev_pop(v) / nullif(avg(v), 0), 4), 0.0) AS cv, arg_min(section, (v, position)) AS least_in, arg_min(section, (-v, position)) AS most_in FROM x GROUP BY ALL HAVING count(*) >= 2""")
 def section_compare(spark, sf_dir):
-    """Lengths compared over sources."""
-    t = F.coalesce("text", F.lit(""))
-    m = _docs(spark, sf_dir).filter("source IS NOT NULL").groupBy("source").agg(F.avg(F.length(t)).alias("mean_chars"), F.avg(X.effective_chars(t)).alias("mean_effective"))
-    return M.compare_groups(m, "source", ["mean_chars", "mean_effective"])
+    """Three features of style over the sections of each manuscript."""
+    ship(spark)
+    return O.compare_sections(O.measure_sections(_papers(spark, sf_dir)), ["doc_id"], "section", "position", _COMPARED)
 
 
-@query("clean_markup", r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages) SELECT page_id, len(regexp_extract_all(h, '<[^>]*>')) AS n_tags FROM p""")
+@query("clean_markup", r"""WITH v AS (SELECT p_partkey AS id, p_name AS n, p_size AS k FROM part)
+    SELECT id, CASE k % 8 WHEN 0 THEN 'Background: About ' || n || '. Methods: p < 0.05 & more' WHEN 1 THEN 'About ' || n || ' and after' WHEN 2 THEN 'P < .001 in ' || n WHEN 3 THEN 'p < 0.05 with unclosed ' || n
+           WHEN 4 THEN NULL WHEN 5 THEN 'plain text of ' || n WHEN 6 THEN '摘要说 ' || n ELSE 'x“y” ' || n END AS text FROM v""")
 def clean_markup(spark, sf_dir):
-    """Tags of all pages, which the cleaner takes away."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_count(F.coalesce("html", F.lit("")), F.lit("<[^>]*>")).cast("long").alias("n_tags"))
+    """Abstracts in eight shapes of markup as plain text."""
+    ship(spark)
+    p, n = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_name")
+    shapes = [
+        ("<jats:title>Abstract</jats:title><jats:sec><jats:title>Background</jats:title><jats:p>About ", ".</jats:p></jats:sec><jats:sec><jats:title>Methods</jats:title><jats:p>p &lt; 0.05 &amp;amp; more</jats:p></jats:sec>"),
+        ("<ns3:p>About <b>", "</b></ns3:p> and after"), ("<p>Abstract: P &amp;lt; .001 in ", "</p>"), ("p < 0.05 with unclosed <jats:bold>", ""),
+        ("<jats:p>.</jats:p><!--", "-->"), ("plain text of ", ""), ("<p>摘要： 摘要说 ", "</p>"), ("&lt;p&gt;x&ldquo;y&rdquo; ", "&lt;/p&gt;"),
+    ]
+    raw = F.lit(None).cast("string")
+    for k, (a, b) in enumerate(shapes):
+        raw = F.when(F.col("p_size") % 8 == k, F.concat(F.lit(a), n, F.lit(b))).otherwise(raw)
+    return p.select(F.col("p_partkey").alias("id"), clean_jats(raw).alias("text"))
 
 
 @query("cleaned_pages")
 def cleaned_pages(spark, sf_dir):
-    """Text of all pages without markup."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.clean_markup(F.col("html")).alias("text"))
+    """Text of all pages without markup; held against cases in tests."""
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", clean_jats("html").alias("text"))
 
 
 @query("term_counts")
 def term_counts(spark, sf_dir):
-    """Frequent terms of CJK manuscripts."""
-    return M.term_counts(_docs(spark, sf_dir))
+    """Likely terms of all manuscripts; held against cases in tests."""
+    return O.term_counts(_papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("text")), ["doc_id"])
 
 
-@query("anchor_density")
-def anchor_density(spark, sf_dir):
-    """Support of each document's paragraphs."""
-    return M.density(M.anchor_scan(_docs(spark, sf_dir)))
+@query("term_candidates", f"""{_PROSE}, r AS (SELECT doc_id, unnest(regexp_extract_all(plain, '[一-鿿]{{2,}}')) AS run FROM p), k AS (SELECT doc_id, run, unnest(range(2, least(6, length(run)) + 1)) AS k FROM r),
+    g AS (SELECT doc_id, substring(run, unnest(range(1, length(run) - k + 2)), k) AS term FROM k)
+    SELECT doc_id, term, count(*) AS n FROM g WHERE term = '深度学习模型' GROUP BY ALL HAVING count(*) >= 3""")
+def term_candidates(spark, sf_dir):
+    """The longest likely term of each manuscript."""
+    return term_counts(spark, sf_dir).filter("place = 0").select("doc_id", "term", "n")
 
 
 @query("restore_abstract", r"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)
@@ -85,3 +197,20 @@ def restore_abstract(spark, sf_dir):
     lists = at.groupBy("doc_id", "word").agg(F.collect_list("at").alias("at"))
     index = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     return index.select("doc_id", X.restore_abstract(F.col("index")).alias("abstract"))
+
+
+@query("html_blocks", f"""{duck('v_manuscripts')} SELECT doc_id, len(regexp_extract_all(text, '(?m)^#{{1,6}} ')) AS heads, len(regexp_extract_all(text, '(?m)^- ')) AS items, 0 AS raw_tags FROM v_manuscripts""")
+def html_blocks(spark, sf_dir):
+    """Headings and items of all manuscripts as HTML, and tags that were not escaped."""
+    h = _papers(spark, sf_dir).select("doc_id", reports.html_blocks(F.col("text")).alias("h"))
+    return h.select("doc_id", F.regexp_count("h", F.lit("<h[1-6]>")).cast("long").alias("heads"), F.regexp_count("h", F.lit("<li>")).cast("long").alias("items"), F.regexp_count("h", F.lit("<!--")).alias("raw_tags"))
+
+
+@query("tex_check", f"""{duck('v_manuscripts')}, t AS (SELECT doc_id, regexp_replace(text, '[^一-鿿]', '', 'g') AS a FROM v_manuscripts)
+    SELECT doc_id, doc_id % 3 = 0 AS ok, CASE WHEN doc_id % 3 = 0 THEN 'substring' ELSE 'exact' END AS mode, CASE WHEN doc_id % 3 <> 0 THEN (CASE WHEN doc_id % 3 = 1 THEN 4 ELSE length(a) + 1 END)::INT END AS at FROM t""")
+def tex_check(spark, sf_dir):
+    """Whether typeset manuscripts still have their CJK signs: with more behind them, or with one changed or added."""
+    a = F.regexp_replace("text", "[^一-鿿]", "")
+    made = F.when(F.col("doc_id") % 3 == 1, F.concat(F.substring(a, F.lit(1), F.lit(3)), F.lit("異"), F.substring(a, F.lit(5), F.length(a)))).otherwise(F.concat(F.lit("\\section{"), a, F.lit("} 参")))
+    checked = notes.tex_check(F.regexp_replace("text", "<!--[^-]*-->", ""), made, F.col("doc_id") % 3 == 0)
+    return _papers(spark, sf_dir).select("doc_id", checked.alias("c")).select("doc_id", "c.ok", "c.mode", "c.at")

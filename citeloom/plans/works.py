@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import identifiers as I
 from citeloom.functions import text as X
 from citeloom.model import dims
+from citeloom.operators import batch as B
 from citeloom.operators import works as W
 from citeloom.plans.views import duck, view
 from citeloom.registry import query
@@ -25,17 +26,22 @@ def _fused(source: str = "v_hits") -> str:
         prim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rk, ord) AS rn FROM k) WHERE rn = 1),
         cit AS (SELECT * FROM (SELECT key, source, cited_by_count, row_number() OVER (PARTITION BY key ORDER BY cited_by_count DESC, ord) AS rn FROM k WHERE cited_by_count IS NOT NULL) WHERE rn = 1),
         oa AS (SELECT * FROM (SELECT key, source, oa_status, oa_url, oa_version, row_number() OVER (PARTITION BY key ORDER BY oa_url IS NULL, {_VERSION} DESC, rk, ord) AS rn FROM k WHERE oa_status IS NOT NULL) WHERE rn = 1),
-        ab AS (SELECT * FROM (SELECT key, trim(abstract) AS abstract, row_number() OVER (PARTITION BY key ORDER BY rk, ord) AS rn FROM k WHERE trim(abstract) <> '') WHERE rn = 1),
+        ab AS (SELECT * FROM (SELECT key, source AS abstract_source, trim(abstract) AS abstract, row_number() OVER (PARTITION BY key ORDER BY rk, ord) AS rn FROM k WHERE trim(abstract) <> '') WHERE rn = 1),
         grp AS (SELECT key, count(*) AS n_hits, min(ord) AS first_ord FROM k GROUP BY key),
         src AS (SELECT key, string_agg(source, ',' ORDER BY rk) AS sources, cast(count(*) AS int) AS n_sources FROM (SELECT DISTINCT key, source, rk FROM k) GROUP BY key),
         fused AS MATERIALIZED (SELECT g.key, g.n_hits, g.first_ord, p.title, (SELECT {_DOI} FROM (SELECT p.doi AS doi)) AS doi, p.year, p.venue,
             (SELECT coalesce({_TYPE}, type) FROM (SELECT p.type AS type)) AS type, p.source AS primary_source, cit.cited_by_count, cit.source AS cited_by_source,
-            oa.oa_status, oa.oa_url, oa.oa_version, oa.source AS oa_source, ab.abstract, src.sources, src.n_sources
+            oa.oa_status, oa.oa_url, oa.oa_version, oa.source AS oa_source, ab.abstract, ab.abstract_source, src.sources, src.n_sources, p.date::VARCHAR AS date,
+            'https://doi.org/' || nullif((SELECT {_DOI} FROM (SELECT p.doi AS doi)), '') AS url
             FROM grp g JOIN prim p USING (key) JOIN src USING (key) LEFT JOIN cit USING (key) LEFT JOIN oa USING (key) LEFT JOIN ab USING (key))"""
 
 
+def _hits(spark, sf_dir):
+    return view(spark, sf_dir, "v_hits").drop("n_people", "n_orcids", "direction").withColumn("date", F.col("date").cast("string"))
+
+
 def _works(spark, sf_dir):
-    return W.fuse(view(spark, sf_dir, "v_hits"))
+    return W.fuse(_hits(spark, sf_dir))
 
 
 @query("dedup_works", f"{duck('v_hits')}, {_fused()} SELECT * FROM fused")
@@ -51,10 +57,24 @@ def dedup_works(spark, sf_dir):
 )
 def federated_search(spark, sf_dir):
     """Filter, unite, fuse, rank: the first twenty works."""
-    hits = W.search(view(spark, sf_dir, "v_hits"), ["brand"], ["crossref", "openalex", "semantic_scholar"], year_from=1996, year_to=2000)
+    hits = W.search(_hits(spark, sf_dir), ["brand"], ["crossref", "openalex", "semantic_scholar"], year_from=1996, year_to=2000)
     return W.rank_works(W.fuse(hits), limit=20)
 
 
+@query("fuse_people", f"""{duck('v_hits')}, k AS (SELECT *, {_KEY} AS key, {_RANK} AS rk FROM v_hits),
+        w AS (SELECT key, n_people, least(n_orcids, n_people) AS n, source, row_number() OVER (PARTITION BY key ORDER BY least(n_orcids, n_people) DESC, rk, ord) AS rn FROM k WHERE n_people > 0),
+        f AS (SELECT key, direction, min(ord) AS f FROM k WHERE direction IS NOT NULL GROUP BY ALL), d AS (SELECT key, string_agg(direction, ',' ORDER BY f) AS directions FROM f GROUP BY key)
+        SELECT DISTINCT k.key, w.n_people, w.n AS n_orcids, w.source AS people_source, coalesce(d.directions, '') AS directions FROM k LEFT JOIN (SELECT * FROM w WHERE rn = 1) w USING (key) LEFT JOIN d USING (key)""")
+def fuse_people(spark, sf_dir):
+    """Whose marks of identity a work shows, and in which directions it was met."""
+    person = lambda i: F.struct(i.cast("string").alias("name"), F.when(i <= F.col("n_orcids"), i.cast("string")).alias("orcid"))
+    people = F.when(F.col("n_people") > 0, F.transform(F.sequence(F.lit(1), F.col("n_people")), person))
+    w = W.fuse(view(spark, sf_dir, "v_hits").withColumn("author_details", people))
+    held = F.size(F.filter("author_details", lambda d: d["orcid"].isNotNull()))
+    known = F.col("author_details").isNotNull()
+    return w.select("key", F.when(known, F.size("author_details")).alias("n_people"), F.when(known, held).alias("n_orcids"), F.col("author_details_source").alias("people_source"), F.array_join("directions", ",").alias("directions"))
+
+
 @query("normalize_identifiers", f"{duck('v_hits')} SELECT ord, {_DOI} AS doi, split_part({_DOI}, '/', 1) AS prefix, {_TYPE} AS type, {_NORM} AS norm_title, "
        "(floor(year / 5) * 5)::INT::VARCHAR || '–' || ((floor(year / 5) * 5)::INT + 4)::VARCHAR AS bucket FROM v_hits")
 def normalize_identifiers(spark, sf_dir):
@@ -114,7 +134,7 @@ def search_stats(spark, sf_dir):
 _KNOWN = "known(source, kind, role) AS (VALUES " + ", ".join(f"('{s}', '{k}', '{r}')" for s, k, r, _, _ in dims.SOURCES) + ")"
 _COVER = f"""{duck('v_queries')}, {_KNOWN},
         s AS (SELECT source, count(*) FILTER (outcome = 'hit') AS hit_count, count(*) FILTER (outcome = 'error') AS errors, count(*) AS calls FROM v_queries GROUP BY source),
-        cov AS (SELECT known.*, hit_count, errors, calls, CASE WHEN calls IS NULL THEN 'n/a' WHEN errors = calls THEN 'error' WHEN hit_count = 0 THEN 'empty' WHEN errors > 0 THEN 'degraded' ELSE 'ok' END AS outcome
+        cov AS (SELECT known.*, hit_count, errors, calls, CASE WHEN calls IS NULL THEN 'n/a' WHEN errors = calls THEN 'error' WHEN hit_count = 0 THEN 'empty' WHEN source = 'semantic_scholar' THEN 'degraded' ELSE 'ok' END AS outcome
                 FROM known LEFT JOIN s USING (source))"""
 
 
@@ -131,26 +151,30 @@ def network_status(spark, sf_dir):
     return W.network_status(W.coverage(view(spark, sf_dir, "v_queries")))
 
 
-def _snowball(direction):
+def _snowball(direction, limit=None):
     def run(spark, sf_dir):
-        """One step along citation edges from the works divisible by 50."""
-        seeds = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed_id"))
-        return W.related(seeds, view(spark, sf_dir, "v_edges"), direction)
+        """One step along citation edges from every part."""
+        seeds = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("seed_id"))
+        return W.related(seeds, view(spark, sf_dir, "v_edges"), direction, limit)
 
     return run
 
 
-_BACK = "SELECT src_id AS seed_id, dst_id AS work_id, source, 'backward' AS direction FROM v_edges WHERE src_id IN (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0)"
-_AHEAD = "SELECT dst_id AS seed_id, src_id AS work_id, source, 'forward' AS direction FROM v_edges WHERE dst_id IN (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0)"
+_BACK = "SELECT src_id AS seed_id, dst_id AS work_id, source, 'backward' AS direction FROM v_edges WHERE trim(title) <> '' AND src_id IN (SELECT p_partkey FROM part)"
+_AHEAD = "SELECT dst_id AS seed_id, src_id AS work_id, source, 'forward' AS direction FROM v_edges WHERE trim(title) <> '' AND dst_id IN (SELECT p_partkey FROM part)"
 query("snowball_backward", f"{duck('v_edges')} {_BACK}")(_snowball("backward"))
 query("snowball_forward", f"{duck('v_edges')} {_AHEAD}")(_snowball("forward"))
 query("snowball_both", f"{duck('v_edges')} {_BACK} UNION ALL {_AHEAD}")(_snowball("both"))
+query("snowball_limited", f"{duck('v_edges')} SELECT * FROM ({_BACK} UNION ALL {_AHEAD}) QUALIFY row_number() OVER (PARTITION BY seed_id, source, direction ORDER BY work_id) <= 3")(_snowball("both", 3))
 
 _ORCID = r"nullif(upper(regexp_extract(trim(orcid), '(?i)(\d{4}-\d{4}-\d{4}-\d{3}[\dX])\s*$', 1)), '')"
+_SEEN = "(SELECT string_agg(x, ',' ORDER BY f) FROM (SELECT x, min(o) AS f FROM (SELECT unnest({0}) AS x, unnest(ords) AS o) GROUP BY x))"
 _PEOPLE = f"""{duck('v_authors')}, a AS (SELECT *, {_ORCID} AS o FROM v_authors),
-        m AS MATERIALIZED (SELECT coalesce('orcid:' || o, 'entity:' || source || ':' || entity_id) AS author_key, arg_min(name, ord) AS name, min(o) AS orcid, sum(works_count)::BIGINT AS works_count,
-               string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids, string_agg(DISTINCT affiliation, ',' ORDER BY affiliation) AS affiliations,
-               string_agg(DISTINCT name, ',' ORDER BY name) AS name_variants, bool_or(exact_name_match) AS exact_name_match, count(*) AS n_candidates FROM a GROUP BY 1)"""
+        g AS MATERIALIZED (SELECT coalesce('orcid:' || o, 'entity:' || source || ':' || entity_id) AS author_key, arg_min(name, ord) AS name, min(o) AS orcid, sum(works_count)::BIGINT AS works_count, list(ord ORDER BY ord) AS ords,
+               list(entity_id ORDER BY ord) AS es, list(affiliation ORDER BY ord) AS fs, list(name ORDER BY ord) AS ns, list(topic ORDER BY ord) AS ts, bool_or(exact_name_match) AS exact_name_match,
+               count(*) AS n_candidates, count(DISTINCT entity_id) AS n_entities FROM a GROUP BY 1),
+        m AS MATERIALIZED (SELECT author_key, name, orcid, works_count, {_SEEN.format('es')} AS entity_ids, {_SEEN.format('fs')} AS affiliations, {_SEEN.format('ns')} AS name_variants, {_SEEN.format('ts')} AS topics,
+               exact_name_match, n_candidates, n_entities, coalesce('orcid:' || orcid, 'entity:' || es[1]) AS works_key FROM g)"""
 
 
 @query("merge_authors", f"{_PEOPLE} SELECT * FROM m")
@@ -159,7 +183,76 @@ def merge_authors(spark, sf_dir):
     return W.merge_authors(view(spark, sf_dir, "v_authors"))
 
 
-@query("author_warnings", f"{_PEOPLE} SELECT count(*) AS authors, count(*) FILTER (NOT exact_name_match) AS approximate, count(*) FILTER (orcid IS NULL) AS no_orcid, count(*) FILTER (n_candidates > 1) AS multi_entity FROM m")
+@query("rank_authors", f"{_PEOPLE} SELECT author_key, works_count, name, row_number() OVER (ORDER BY works_count DESC, name DESC, author_key)::INT AS rank FROM m")
+def rank_authors(spark, sf_dir):
+    """People by their number of works."""
+    return W.rank_authors(W.merge_authors(view(spark, sf_dir, "v_authors"))).select("author_key", "works_count", "name", "rank")
+
+
+@query("author_warnings", f"""{_PEOPLE} SELECT count(*) AS authors, count(*) FILTER (NOT exact_name_match) AS approximate,
+        array_to_string(list_sort(list(DISTINCT name) FILTER (NOT exact_name_match))[1:5], ',') AS approximate_names,
+        count(*) FILTER (orcid IS NULL) AS no_orcid, count(*) FILTER (n_entities > 1) AS multi_entity, 5000 > count(*) AS cut FROM m""")
 def author_warnings(spark, sf_dir):
     """Counts that go with merged authors."""
-    return W.author_warnings(W.merge_authors(view(spark, sf_dir, "v_authors")))
+    return W.author_warnings(W.merge_authors(view(spark, sf_dir, "v_authors")), 5000)
+
+
+@query("works_by_author", f"""{duck('v_authors')}, w AS (SELECT o_orderkey AS work_id, entity_id, {_ORCID} AS o FROM orders JOIN v_authors ON o_custkey = ord),
+        k AS (SELECT DISTINCT {_ORCID} AS o, CASE WHEN {_ORCID} IS NULL THEN entity_id END AS e FROM v_authors)
+        SELECT DISTINCT 'orcid:' || o AS author_key, work_id, false AS partial FROM k JOIN w USING (o) UNION ALL SELECT DISTINCT 'entity:' || e, work_id, true FROM k JOIN w ON e = entity_id""")
+def works_by_author(spark, sf_dir):
+    """The works of everyone, by ORCID where there is one, else by entity."""
+    a = view(spark, sf_dir, "v_authors")
+    works = spark.read.parquet(f"{sf_dir}/orders.parquet").join(a, F.col("o_custkey") == F.col("ord")).select(F.col("o_orderkey").alias("work_id"), "entity_id", "orcid")
+    keys = W.merge_authors(a).select(F.col("works_key").alias("author_key"))
+    return W.works_by_author(works, keys)
+
+
+@query("rank_works_all", f"{duck('v_hits')}, {_fused()} SELECT key, row_number() OVER (ORDER BY coalesce(year, 0) DESC, first_ord)::INT AS rank FROM fused")
+def rank_works_all(spark, sf_dir):
+    """All works in their order."""
+    return W.rank_works(_works(spark, sf_dir)).select("key", "rank")
+
+
+_SUPPLIED = "SELECT s_suppkey::VARCHAR AS id, CASE s_nationkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'guided' WHEN 2 THEN 'web' END AS kind, CASE s_suppkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'supplementary' ELSE 'extra' END AS role, CASE WHEN s_acctbal > 0 THEN 'http://x' END AS base_url, CASE WHEN s_suppkey % 2 = 0 THEN 'search' ELSE 'guess' END AS can FROM supplier"
+
+
+def _supplied(spark, sf_dir):
+    s, k, n = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey"), F.col("s_nationkey")
+    return s.select(
+        k.cast("string").alias("id"), F.when(n % 4 == 0, "api").when(n % 4 == 1, "guided").when(n % 4 == 2, "web").alias("kind"), F.when(k % 3 == 0, "core").when(k % 3 == 1, "supplementary").otherwise("extra").alias("role"),
+        F.when(F.col("s_acctbal") > 0, "http://x").alias("base_url"), F.array(F.when(k % 2 == 0, "search").otherwise("guess")).alias("capabilities"),
+    )
+
+
+@query("registry_faults", f"""WITH s AS ({_SUPPLIED}) SELECT id, 'no kind' AS fault FROM s WHERE kind IS NULL UNION ALL SELECT id, 'kind' FROM s WHERE kind = 'web' UNION ALL SELECT id, 'role' FROM s WHERE role = 'extra'
+    UNION ALL SELECT id, 'no base_url' FROM s WHERE kind = 'api' AND base_url IS NULL UNION ALL SELECT id, 'capability guess' FROM s WHERE can = 'guess'""")
+def registry_faults(spark, sf_dir):
+    """What a made-up registry's sources lack."""
+    return B.registry_faults(_supplied(spark, sf_dir))
+
+
+@query("default_sources", f"WITH s AS ({_SUPPLIED}) SELECT id, kind FROM s WHERE role = 'core' AND can = 'search'")
+def default_sources(spark, sf_dir):
+    """The sources of a made-up registry that are searched if none is named."""
+    return B.searched_by_default(_supplied(spark, sf_dir)).select("id", "kind")
+
+
+@query("batch_left_over", "SELECT p_partkey AS ref_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
+def batch_left_over(spark, sf_dir):
+    """References that a batch still has to ask for."""
+    return B.left_over(view(spark, sf_dir, "v_refs"), view(spark, sf_dir, "v_evidence")).select("ref_id")
+
+
+@query("exit_states", "SELECT o_custkey AS run, (CASE WHEN bool_or(o_totalprice > 200000) OR bool_or(o_orderpriority = '1-URGENT') THEN 3 WHEN bool_or(o_orderpriority = '2-HIGH') THEN 1 WHEN bool_or(o_orderpriority = '3-MEDIUM') THEN 2 ELSE 0 END)::INT AS exit_code FROM orders GROUP BY o_custkey")
+def exit_states(spark, sf_dir):
+    """The worst that happened in each run."""
+    o, p = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderpriority")
+    status = F.when(p == "1-URGENT", "verify_failed").when(p == "2-HIGH", "failed").when(p == "3-MEDIUM", "skipped").otherwise("ok")
+    return B.exit_states(o.select(F.col("o_custkey").alias("run"), status.alias("status"), (F.col("o_totalprice") > 200000).alias("source_changed")))
+
+
+@query("concept_overlap", f"""{duck('v_hits')}, c AS (SELECT ord, contains(lower(title), 'widget') OR contains(lower(title), 'bolt') AS a, contains(lower(title), 'brand#1') AS b FROM v_hits) SELECT ord, a AS has_thing, b AS has_maker, a::INT + b::INT AS overlap FROM c""")
+def concept_overlap(spark, sf_dir):
+    """Which of two concepts each title names."""
+    return B.concept_overlap(view(spark, sf_dir, "v_hits").select("ord", "title"), {"thing": ["widget", "bolt"], "maker": ["Brand#1"]}).drop("title")

@@ -31,8 +31,15 @@ def local_session(app: str = "citeloom", cpus: str | None = None, **conf: str) -
     return ship(spark)
 
 
+#: Rows of an Arrow batch, where the session keeps Spark's own 10,000: texts are long, and what
+#: a batch takes beside the heap, in the JVM and in its Python workers, counts against an executor.
+BATCH = "1000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and be sent small batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) not in paths:

@@ -7,11 +7,14 @@ import citeloom.plans  # noqa: F401
 from citeloom import registry
 from citeloom.functions import identifiers as I
 from citeloom.functions import text as X
-from citeloom.operators import manuscripts as M
+from citeloom.operators import batch as B
 from citeloom.operators import screening as S
 from citeloom.operators import verify as V
 from citeloom.operators import works as W
+from citeloom.functions.jats import clean_abstract
+from citeloom.sinks import reports as K
 from citeloom.sources import exports as E
+from citeloom.sources import http as H
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +37,6 @@ def test_titles_and_names(spark):
     assert one(spark, X.norm_title, "AI-based  Search!") == ["aibased search"]
     assert [sorted(x) for x in one(spark, X.title_tokens, "The AI-based search of search")] == [["ai", "based", "search"]]
     assert one(spark, X.surname_candidates, "Smith, J. A.", "J. A. Smith", "A. B.") == [["smith"], ["smith"], ["a", "b"]]
-    assert one(spark, X.clean_markup, "<jats:p>Abstract A &lt; B</jats:p>", "<p>1</p>") == ["A < B", None]
     assert one(spark, X.restore_abstract, {"b": [1], "a": [0, 3], "x": [-1]}, {}, kind="map<string,array<int>>") == ["a b a", None]
 
 
@@ -55,17 +57,93 @@ def test_fusion_keeps_unknown_apart_from_zero(spark):
     assert W.fuse(spark.createDataFrame([], cols)).count() == 0
 
 
-def test_sentences():
-    assert M.sentences_of("It is 3.5 long. See Fig. 2 now! 他说「好。不」。完") == ["It is 3.5 long.", "See Fig. 2 now!", "他说「好。不」。", "完"]
-    assert M.sentences_of("") == []
-
-
-def test_paragraphs_and_sections(spark):
-    text = "lead\n\n# A\none (Li, 2020)\n\n```\nx\n\ny\n```\n# B\n> quote"
-    d = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
-    assert [r.section for r in M.sections(d).orderBy("position").collect()] == ["(lead)", "A", "B"]
-    scan = M.anchor_scan(d).orderBy("position").collect()
-    assert [r.citations for r in scan] == [0, 1, 0] and scan[0].unsupported
+def test_abstracts():
+    cases = {
+        "<jats:p>Abstract A &lt; B</jats:p>": "A < B", "<p>1</p>": None, "<jats:p>.</jats:p>": None, None: None, "  ": None,
+        "<title>Abstract</title><sec><title>Aim</title><p>To <b>see</b>.</p></sec><sec><title>Abstract</title><p>It.</p></sec>": "Aim: To see. It.",
+        "p < 0.05 with unclosed <jats:bold>": "p < 0.05 with unclosed", "plain &amp;amp; simple": "plain & simple", "a &mdash; b <sup>2</sup>": "a — b 2",
+        "&lt;p&gt;twice&lt;/p&gt;": "twice", "loose <p>one</p> between <p>two</p> end": "loose one between two end", "摘要：内容": "摘要：内容", "摘要： 内容": "内容",
+        "<sec><title>T</title> tail <p>body</p></sec>": "T: body", "<sec><p>a</p><sec><title>In</title><p>b</p></sec></sec>": "aInb",
+    }
+    assert {k: clean_abstract(k) for k in cases} == cases
+    assert clean_abstract("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000
+
+
+def test_live_answers_are_tried_again_and_misses_are_no_errors(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            code = 404 if "gone" in self.path else 429 if self.path == "/busy" and asked.count("/busy") < 3 else 500 if "down" in self.path else 200
+            self.send_response(code)
+            if code == 429:
+                self.send_header("Retry-After", "0")
+            self.end_headers()
+            self.wfile.write("漢 ok".encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = [("crossref", k, f"{base}/{k}") for k in ("fine", "gone", "busy", "down")] + [("crossref", "fine", f"{base}/fine")] + [("openalex", "away", "http://127.0.0.1:9/x")]
+    requests = spark.createDataFrame(rows, "source string, key string, url string")
+    cache = spark.createDataFrame([], "source string, key string, payload string")
+    got = {r.key: (r.payload, r.error) for r in H.fetch(H.missing(requests, cache), sleep=_no_wait).collect()}
+    assert got == {"fine": ("漢 ok", None), "gone": (None, None), "busy": ("漢 ok", None), "down": (None, "SERVER_ERROR"), "away": (None, "CONN_FAILED")}
+    assert asked.count("/fine") == 1 and asked.count("/gone") == 1 and asked.count("/busy") == 3 and asked.count("/down") == 5
+    held = spark.createDataFrame([("crossref", "fine", "x")], "source string, key string, payload string")
+    assert {r.key for r in H.missing(requests, held).collect()} == {"gone", "busy", "down", "away"}
+    server.shutdown()
+
+
+def _no_wait(_):
+    pass
+
+
+def test_files_of_two_encodings(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("\ufeff你好\n".encode())
+    (tmp_path / "b.md").write_bytes("你好".encode("gbk"))
+    (tmp_path / "c.md").write_bytes(b"\xff\xff\xff")
+    got = {r.doc_id: r.text for r in E.manuscripts(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": "你好\n", "b.md": "你好", "c.md": None}
+
+
+def test_batches(spark, tmp_path):
+    refs = spark.createDataFrame([(1, "10.1/a", "t"), (2, None, "u"), (3, None, None)], "ref_id int, doi string, title string")
+    B.save_state(refs, refs.filter("ref_id = 1"), str(tmp_path / "s"))
+    B.save_state(refs.orderBy(F.desc("ref_id")), refs.filter("ref_id = 2"), str(tmp_path / "s"))
+    assert [r.ref_id for r in B.left_over(refs, B.load_state(refs, str(tmp_path / "s"))).collect()] == [3]
+    with pytest.raises(ValueError):
+        B.load_state(refs.filter("ref_id < 3"), str(tmp_path / "s"))
+    known = B.known_sources(spark)
+    assert B.registry_faults(known).count() == 0 and {r.source for r in B.clients(known, ["arxiv", "cnki"]).collect()} == {"arxiv"}
+    assert {r.id for r in B.searched_by_default(known).collect()} == {"crossref", "openalex", "semantic_scholar", "arxiv"}
+    (tmp_path / "r.json").write_text('{"id": "x", "kind": "api", "role": "core", "capabilities": ["fly"]}')
+    assert {r.fault for r in B.registry_faults(B.load_registry(spark, str(tmp_path / "r.json"))).collect()} == {"no base_url", "capability fly"}
+    assert one(spark, lambda c: B.trimmed(c, "a int"), '{"a": 1, "b": [2]}') == ['{"a":1}']
+
+
+def test_reports(spark, tmp_path):
+    rows = [(1, "VERIFIED", "a", "", "crossref"), (2, "NOT_FOUND", None, "", ""), (3, "PENDING_MANUAL", "c", "", ""), (4, "METADATA_MISMATCH", "d", "year,title", "x")]
+    j = spark.createDataFrame(rows, "ref_id int, status string, raw_text string, mismatches string, told_by string")
+    head = K.report_head(j, "offline", K.sources_checked()).first().head
+    assert head.index("offline") < head.index("六态分布") and "| ✅ 已核实 | 1 | 25% |" in head and "UNVERIFIED" not in head and "crossref、openalex" in head
+    assert [r.ref_id for r in K.priority_lines(j).orderBy("ref_id").collect()] == [2, 4]
+    blocks = {r.ref_id: r.block for r in K.item_blocks(j).collect()}
+    assert "- 不符字段：year、title" in blocks[4] and "manual_result" in blocks[3] and "\n> " not in blocks[2]
+    K.write_report(j, str(tmp_path / "r"), "degraded")
+    assert "### 1" in "".join(r.value for r in spark.read.text(str(tmp_path / "r" / "items")).collect())
+    K.write_json(j, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    assert one(spark, K.inline_html, "<b> **x** `c` [a](https://u) [z](javascript:y)") == ["&lt;b&gt; <strong>x</strong> <code>c</code> <a href=\"https://u\">a</a> z"]
+    assert one(spark, K.html_blocks, "# T\n- i\n> q\n| a | b |\n|---|---|\ntext") == ["<h1>T</h1>\n<li>i</li>\n<blockquote>q</blockquote>\n<tr><td>a</td><td>b</td></tr>\n<p>text</p>"]
+    assert K.html_report(j).count() == 4
 
 
 def test_conservation_names_a_misspelt_value(spark):
@@ -79,12 +157,13 @@ def test_exports(spark):
     bib = "@article{a, title={A {B} C}, author={X, Y and Z, W}, year=2020, doi={10.1/Q}}\n@book{b, year=1999}\n@misc{c, title={open"
     ris = "TY  - JOUR\nTI  - First\n  line\nAU  - A\nAU  - B\nPY  - 2019\nSP  - 1\nEP  - 9\nER  - \nTY  - BOOK\nPY  - 2000\n"
     f = spark.createDataFrame([("f", bib)], "file string, text string")
-    assert [r.problem for r in E.parse_bibtex(f).orderBy("seq").collect()] == [None, "no title", "unclosed"]
-    b = E.to_export(E.parse_bibtex(f)).first()
+    assert [r.problem for r in E.parse_bibtex(f).orderBy("seq").collect()] == [None, None, "unclosed"]
+    b, without = E.to_export(E.parse_bibtex(f)).orderBy("seq").collect()
+    assert (without.title, without.year, without.type) == (None, 1999, "book")
     assert (b.title, b.authors, b.year, b.doi, b.type) == ("A B C", ["X, Y", "Z, W"], 2020, "10.1/q", "journal-article")
     r = E.to_export(E.parse_ris(spark.createDataFrame([("f", ris)], "file string, text string"))).collect()
     assert [(x.title, x.authors, x.pages) for x in r] == [("First line", ["A", "B"], "1-9")]
-    led = E.parse_ledger(spark.createDataFrame([("f", "|1|a|b|保留|x|y|z|n|\n|2|a|\n|head|")], "file string, text string")).orderBy("line").collect()
+    led = E.parse_ledger(spark.createDataFrame([("f", "|1|a|b|保留|x|y|z|n|\n|2|a|\n|head|\n3|a|b")], "file string, text string")).orderBy("line").collect()
     assert [(x.seq, x.malformed) for x in led] == [(1, False), (2, True)]
 
 
@@ -103,7 +182,7 @@ def rows_of(d):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in "part lineitem orders customer events documents pages".split():
+    for t in "part lineitem orders customer supplier events documents pages nation".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     a, b = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns) and rows_of(a) == rows_of(b)

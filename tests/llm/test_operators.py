@@ -149,14 +149,6 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.find_items(none, bench).count() == 0
 
 
-def test_decontaminate_with_another_benchmark(spark):
-    docs = spark.createDataFrame([(k, f"term{k % 8} stays") for k in range(64)], "doc_id long, text string").repartition(4).localCheckpoint()
-    for k in range(8):
-        bench = spark.createDataFrame([(k, f"term{k}")], "item_id long, text string")
-        hit = {r.doc_id for r in decontaminate.find_items(docs, bench).filter("n_hit > 0").collect()}
-        assert hit == {d for d in range(64) if d % 8 == k}
-
-
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 

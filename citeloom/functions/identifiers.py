@@ -58,12 +58,6 @@ def doi_url(c: Column) -> Column:
     return F.concat(F.lit("https://doi.org/"), c)
 
 
-def arxiv_id(doi: Column) -> Column:
-    """The arXiv id that a DOI names, without its version."""
-    found = F.regexp_extract(normalize_doi(doi), r"^10\.48550/arxiv\.(.+)$", 1)
-    return blank_to_null(F.regexp_replace(found, r"v\d+$", ""))
-
-
 def author_key(c: Column) -> tuple[Column, Column]:
     """(orcid, entity id) that a key such as `orcid:…` or `entity:…` names."""
     text = F.trim(c)
@@ -94,17 +88,3 @@ def date_parts_text(parts: Column) -> Column:
 
 def valid_iso_date(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull(), F.lit(False))
-
-
-def extract_doi(c: Column) -> Column:
-    """The first DOI of a text; ending punctuation and unbalanced closing brackets go."""
-    raw = F.regexp_extract(c, r"10\.\d{4,9}/[^\s\"<>{}]+", 0)
-
-    def trimmed(acc: Column, _: Column) -> Column:
-        opened = F.length(acc) - F.length(F.replace(acc, F.lit("("), F.lit("")))
-        closed = F.length(acc) - F.length(F.replace(acc, F.lit(")"), F.lit("")))
-        cut = acc.rlike(r"[.,;:]$") | (acc.rlike(r"\)$") & (closed > opened))
-        return F.when(cut, F.substring(acc, F.lit(1), F.length(acc) - 1)).otherwise(acc)
-
-    steps = F.sequence(F.lit(0), F.length(F.regexp_extract(raw, r"[.,;:)]*$", 0)))
-    return blank_to_null(F.aggregate(steps, raw, trimmed))

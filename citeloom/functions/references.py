@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
+from citeloom.functions import text as X
 
 _YEARS = r"(?:1[89][0-9]{2}|20[0-9]{2})"
 _TAG = r"(?i)\[(?:[JMDCNRSPG]|EB/OL|J/OL)\]"
@@ -71,7 +72,7 @@ def free_line(line: Column) -> Column:
     tag, stop = _cut(rest, _TAG), _cut(rest, r"\.(?=[ \n]|\z)")
     upto = F.when(tag.isNotNull(), tag).when(stop > 1, stop).otherwise(F.length(rest) + 1)
     title = _strip(F.substring(rest, F.lit(1), upto - 1), _TITLE_ENDS)
-    title = F.when((F.length(title) >= 3) & title.rlike(r"\p{L}"), title)
+    title = F.when(X.valid_title(title), title)
     return _parsed(doi_of(line), title, authors, I.reference_year(line), null, I.blank_to_null(F.regexp_extract(line, _TAG, 0)), line)
 
 

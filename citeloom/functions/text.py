@@ -53,10 +53,6 @@ def surname_candidates(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(names, normalize_str), lambda w: w != ""))
 
 
-def surnames(authors: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(authors, surname_candidates)))
-
-
 def strip_invisible(c: Column) -> Column:
     """Format and control characters go first (line ends too), then space folds."""
     return folded(F.regexp_replace(c, r"[\p{Cf}\p{Cc}]", ""))
@@ -78,10 +74,6 @@ def cjk_sequence(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit(f"({CJK})"), 1), "")
 
 
-def strip_html_comments(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-
-
 def effective_chars(c: Column) -> Column:
     """Code points but punctuation, separators and control characters."""
     return F.length(F.regexp_replace(c, r"[\p{P}\p{Z}\p{C}]", ""))

@@ -334,3 +334,14 @@ def payload_json(spark, sf_dir):
 def exact_ids(spark, sf_dir):
     """DOIs and the arXiv ids in them."""
     return view(spark, sf_dir, "v_requests").select("id", I.normalize_doi(F.col("doi")).alias("doi"), R.doi_to_arxiv_id(F.col("doi")).alias("arxiv_id"))
+
+
+@query("scalar_rules", """SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN '1998' ELSE '1998-0' || (1 + o_custkey % 9) || '-05' END AS day, o_custkey % 3 = 2 AS valid,
+    CASE o_custkey % 3 WHEN 0 THEN 'ris' WHEN 1 THEN 'bibtex' END AS format FROM orders""")
+def scalar_rules(spark, sf_dir):
+    """Dates at the precision given, whether they are whole, and the format of a text."""
+    k = F.col("o_custkey")
+    parts = F.when(k % 3 == 1, F.array(F.lit(1998))).when(k % 3 == 2, F.array(F.lit(1998), (1 + k % 9).cast("int"), F.lit(5)))
+    text = F.when(k % 3 == 0, "x\nTY  - JOUR").when(k % 3 == 1, "see @book {a").otherwise("张三. 标题[J].")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), I.date_parts_text(parts).alias("day"), E.detect_format(text).alias("format"))
+    return o.withColumn("valid", I.valid_iso_date(F.col("day")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
+from citeloom.functions import text as X
 from citeloom.model import dims
 
 _HEAD = r"##\s+(\d{4}-\d{2}-\d{2})[^\n]*?·[ \t]*(paper-[\w-]+)([^\n]*)"
@@ -87,8 +88,7 @@ def skeleton_faults(listing: DataFrame) -> DataFrame:
 def tex_check(source: Column, made: Column, with_bibliography: Column) -> Column:
     """{ok, mode, at}: whether a typeset text still has its source's CJK signs, all of them in
     order, or as a part where a bibliography was added; `at` is the first that differs, from 1."""
-    signs = lambda c: F.regexp_replace(c, "[^一-鿿㐀-䶿豈-﫿]", "")
-    a, b = signs(F.regexp_replace(F.coalesce(source, F.lit("")), r"(?s)<!--.*?-->", "")), signs(F.coalesce(made, F.lit("")))
+    a, b = X.cjk_sequence(F.regexp_replace(F.coalesce(source, F.lit("")), r"(?s)<!--.*?-->", "")), X.cjk_sequence(F.coalesce(made, F.lit("")))
     mode = F.when(a == "", "skipped").when(with_bibliography, "substring").otherwise("exact")
     ok = F.when(mode == "skipped", True).when(mode == "substring", F.contains(b, a)).otherwise(a == b)
     least = F.least(F.length(a), F.length(b))

@@ -12,6 +12,7 @@ from citeloom.operators import screening as S
 from citeloom.operators import verify as V
 from citeloom.operators import works as W
 from citeloom.functions.jats import clean_abstract
+from citeloom.functions.references import doi_of
 from citeloom.sinks import reports as K
 from citeloom.sources import exports as E
 from citeloom.sources import http as H
@@ -28,7 +29,7 @@ def test_identifiers(spark):
     assert one(spark, I.normalize_doi, " https://DOI.org/10.1/A ", "doi:10.2/b", "https://dx.doi.org/10.3/c", None, "") == ["10.1/a", "10.2/b", "https://dx.doi.org/10.3/c", None, ""]
     assert one(spark, I.normalize_orcid, "https://orcid.org/0000-0001-2345-678x", "no") == ["0000-0001-2345-678X", None]
     assert one(spark, I.canonical_type, " Journal-Article", "dataset") == ["journal-article", None]
-    assert one(spark, I.extract_doi, "see (doi 10.1000/ab(c)d).", "10.1000/x.", "none") == ["10.1000/ab(c)d", "10.1000/x", None]
+    assert one(spark, doi_of, "see (doi 10.1000/ab(c)d).", "10.1000/x.", "none", "[a](10.1/b)", "[a](10.1234/b).", "(10.1234/b);") == ["10.1000/ab(c)d", "10.1000/x", None, None, "10.1234/b", "10.1234/b"]
     assert one(spark, I.date_parts_text, [2020, 3], [1999], kind="array<int>") == ["2020-03", "1999"]
     assert one(spark, I.valid_iso_date, "2024-02-29", "2023-02-29", "2024-2-1", None) == [True, False, False, False]
 

@@ -48,6 +48,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def turned(df: DataFrame) -> DataFrame:
+    """`settle` at the end of a loop's turn, as a written table.
+
+    A checkpoint keeps what the planner estimates of it, and its estimate of a join is a
+    product: over the turns of a loop its digits double until planning never ends.
+    """
+    return stored(df, "snappy")
+
+
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Cut lineage as `settle` does, for rows that hold texts: compressed, read by column.
+
+    The folder is under the shared one; it goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(folder)
+    atexit.register(_remove, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # at exit; the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -170,19 +197,25 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     )
 
 
+#: Rows of an edge table that a task holds; tasks that even a small one has.
+EDGES, LEAST_TASKS = 50_000, 8
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b); the root is the component's least node.
 
     Stars are contracted in turns: each node sends its larger neighbours, then
     its smaller ones, to the least node it knows. The number of turns grows with
-    the logarithm of a component's size; what is kept is one table of edges.
+    the logarithm of a component's size; what is kept is one table of edges, in as
+    many parts as its rows ask for.
     """
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    parts = min(partitions(now.sparkSession), max(LEAST_TASKS, -(-now.count() // EDGES)))
     before = None
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        now = _star(settle(both), F.col("u") > F.col("v"))
-        now = _star(now, F.lit(True))
+        now = _star(settle(both.coalesce(parts)), F.col("u") > F.col("v"), parts)
+        now = _star(now, F.lit(True), parts)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -191,32 +224,14 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _star(pairs: DataFrame, moved: Column) -> DataFrame:
+def _star(pairs: DataFrame, moved: Column, parts: int) -> DataFrame:
     """One turn: neighbours u of v that are `moved` go to the least node that v knows."""
-    least = settle(pairs.groupBy("v").agg(F.min("u").alias("least"), F.count(F.lit(1)).alias("n")))
+    least = settle(pairs.groupBy("v").agg(F.min("u").alias("least"), F.count(F.lit(1)).alias("n")).coalesce(parts))
     least = least.withColumn("m", F.least("v", "least"))
     told = with_groups(pairs, least.select("v", "m", "n"), ["v"], "n")
     sent = told.filter(moved & (F.col("u") != F.col("m"))).select(F.greatest("u", "m").alias("v"), F.least("u", "m").alias("u"))
     own = least.filter("v <> m").select("v", F.col("m").alias("u"))
-    return settle(sent.unionByName(own).distinct())
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage as `settle` does, for rows that hold texts: compressed, read by column.
-
-    The folder is under the shared one; it goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    folder = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    atexit.register(_remove, spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # at exit; the JVM may be gone
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return turned(sent.unionByName(own).distinct().coalesce(parts))
 
 
 def one_of_each(docs: DataFrame, kept: DataFrame, row: Column, by_row: bool = True) -> DataFrame:

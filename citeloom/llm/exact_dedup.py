@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import matched, one_of_each, settle, whole_text, with_groups
+from citeloom.llm.common import matched, one_of_each, settle, turned, whole_text, with_groups
 
 #: Bytes of a block. Most documents are one or two blocks; a level halves the rest.
 BLOCK = 2048
@@ -82,7 +82,7 @@ def identities(docs: DataFrame, block: int = BLOCK, hash_sql: str = "xxhash64(bl
         )
         pairs = settle(pairs)
         names = settle(_numbered(pairs.select("a", "b"), ["a", "b"]))
-        live = settle(
+        live = turned(
             with_groups(pairs, names, ["a", "b"], "k")
             .select("doc_id", "row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name")
         )

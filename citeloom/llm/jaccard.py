@@ -5,11 +5,11 @@
    filter), so a set whose beginning is all its own is alike to none.
 2. Sets that are left and whose beginnings meet are candidates of one another;
    connected ones are one candidate group, and no pair crosses groups.
-3. A group is cut into blocks if it is large. For each pair of blocks a signature
-   tree is built over each: leaves are sets, nodes hold the union (and the
-   intersection) of their token bitmaps and ranges of size. A dual traversal
-   drops pairs of nodes whose largest possible overlap is too small, or whose
-   sets are linked already, and counts the overlap of what is left.
+3. A group is cut into blocks if it is large (`linked_sets`). A signature tree is
+   built over a block: leaves are sets, nodes hold the union (and the
+   intersection) of their token bitmaps and ranges of size. A dual traversal of
+   one tree, or of two, drops pairs of nodes whose largest possible overlap is too
+   small, or whose sets are linked already, and counts the overlap of what is left.
 4. Links are contracted to components.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import components, fields, lean, matched, one_of_each, partitions, pieces, settle, with_groups
+from citeloom.llm.common import components, fields, lean, matched, one_of_each, partitions, pieces, settle, stored, with_groups
 from citeloom.llm.exchange import CHUNK, Answer, Chunk, shared_tokens
 
 #: Words of a shingle; the least similarity in hundredths.
@@ -269,30 +269,59 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield close(rows)
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(set_id, grp) of sets whose beginnings meet another's."""
-    begun = settle(sets.select("set_id", F.explode("begin").alias("tok")))
-    hubs = begun.groupBy("tok").agg(F.min("set_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = with_groups(begun, settle(hubs), ["tok"], "n").select(F.col("set_id").alias("a"), "b").distinct()
-    return components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("grp"))
+def _candidates(begun: DataFrame) -> DataFrame:
+    """(set_id, grp, k) of sets whose beginnings meet another's; k sets are in a group."""
+    tokens = settle(begun.select("set_id", F.explode("begin").alias("tok")))
+    hubs = tokens.groupBy("tok").agg(F.min("set_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = with_groups(tokens, settle(hubs), ["tok"], "n").select(F.col("set_id").alias("a"), "b").distinct()
+    found = settle(components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("grp")))
+    return with_groups(found, settle(found.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))), ["grp"], "k")
+
+
+def _run_tasks(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of tasks (task, side, set_id, n, tokens)."""
+    dealt = tasks.repartition(partitions(tasks.sparkSession), "task").sortWithinPartitions("task", "side", "set_id")
+    return settle(dealt.mapInArrow(lean(lambda b: _linked(b, percent)), T.StructType(fields("a binary, b binary"))))
 
 
 def linked_sets(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(node, root) of sets that have a link; `sets` has set_id, n, tokens and begin."""
-    groups = settle(matched(sets.drop("begin"), _candidates(sets), ["set_id"]))
-    counts = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
-    sized = with_groups(groups, settle(counts), ["grp"], "k").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
-    placed = sized.withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    tasks = placed.select(
-        "grp", "set_id", "n", "tokens", "at", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    ).select(
-        F.xxhash64("grp", F.least("at", "other"), F.greatest("at", "other")).alias("task"),
-        (F.col("at") > F.col("other")).cast("int").alias("side"), "set_id", "n", "tokens",
+    """(node, root) of sets that have a link; `sets` has set_id, n, tokens and begin, and may hold a set twice.
+
+    A group of up to `block` candidates is one task. A larger one is dealt into
+    blocks, with one set of it, the guide, in every block. Sets linked to the guide
+    by their block are linked to one another, so no two of them are compared again;
+    only the others meet all blocks. A group of near copies thus costs its size, and
+    only sets that are candidates of many but linked to few cost more.
+    """
+    begun = settle(sets.groupBy("set_id").agg(F.first("begin").alias("begin")))
+    found = settle(
+        _candidates(begun).withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+        .withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     )
-    width = partitions(sets.sparkSession)
-    dealt = tasks.repartition(width, "task").sortWithinPartitions("task", "side", "set_id")
-    links = dealt.mapInArrow(lean(lambda b: _linked(b, percent)), T.StructType(fields("a binary, b binary")))
-    return components(links)
+    held = sets.select("set_id", "n", "tokens").join(found, "set_id").groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("grp", "blocks", "at", "n", "tokens")])
+    groups = stored(held)
+    own = ["set_id", "n", "tokens"]
+    guide = F.col("set_id") == F.col("grp")  # a group is named after its least set
+    homes = F.when(guide, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
+    first = groups.select("grp", *own, F.explode(homes).alias("home")).select(F.xxhash64("grp", "home").alias("task"), F.lit(0).alias("side"), *own)
+    links = _run_tasks(first, percent)
+    large = found.filter("blocks > 1")
+    if large.isEmpty():
+        return components(links)
+    roots = components(links)
+    rooted = large.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = settle(rooted.select("set_id", "grp", "blocks", "root"))
+    guides = settle(rooted.filter("set_id = grp").select("grp", F.col("root").alias("g_root"), F.lit(1).alias("n")))
+    loose = settle(rooted.join(guides.drop("n"), "grp").filter("root <> g_root").select("set_id", "grp"))
+    parts = settle(loose.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    if parts.isEmpty():
+        return roots
+    marked = settle(large.join(parts, "grp").join(loose.select("set_id", F.lit(True).alias("loose")), "set_id", "left").select("set_id", "parts", "loose"))
+    again = groups.join(marked, "set_id").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
+    everyone = again.select("grp", *own, F.lit(1).alias("side"), "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    apart = again.filter("loose").select("grp", *own, F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), "part")
+    tasks = everyone.unionByName(apart).select(F.xxhash64("grp", "at", "part").alias("task"), "side", *own)
+    return components(links.unionByName(_run_tasks(tasks, percent)))
 
 
 def alike(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, by_text: bool = False) -> DataFrame:
@@ -304,7 +333,7 @@ def alike(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, by_text:
     repeat are linked (their sets are equal). Columns beside doc_id and text are
     not read. `by_text` adds `row`, a hash of the text that tells rows of one
     doc_id apart, and makes the component's id that of its first row: (no doc_id,
-    doc_id, row).
+    doc_id, row). doc_id is an integer, a long or a string.
     """
     id_field = docs.schema["doc_id"]
     ids = ["doc_id", "row"] if by_text else ["doc_id"]
@@ -314,12 +343,8 @@ def alike(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, by_text:
     schema = T.StructType([id_field, *fields("row long") * by_text, *fields("n long, set_id binary, tokens binary"), T.StructField("begin", T.ArrayType(T.LongType()))])
     kind = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.int32() if isinstance(id_field.dataType, T.IntegerType) else pa.string()
     chunks = _Chunks(dict(zip(ids, (kind, pa.int64()))))
-    rows = settle(shared_tokens(read, lambda b: chunks(b), lambda a, k: _finish(a, k, percent, names), schema))
-    sets = settle(
-        rows.filter(F.col("tokens").isNotNull()).groupBy("set_id")
-        .agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("begin").alias("begin"))
-    )
-    roots = linked_sets(sets, percent, block).withColumnRenamed("node", "set_id")
+    rows = stored(shared_tokens(read, lambda b: chunks(b), lambda a, k: _finish(a, k, percent, names), schema))
+    roots = linked_sets(rows.filter(F.col("tokens").isNotNull()), percent, block).withColumnRenamed("node", "set_id")
     own = rows.select(*ids, "n", "set_id")
     rooted = settle(own.filter("n > 0").select("set_id").distinct().join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     sized = own.filter("n > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("k"), F.min(first).alias("least"))

@@ -388,13 +388,13 @@ def _classes(kept: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kept.ord[owner[a]], at, at + b - a
 
 
-def _bucket(blobs: list[bytes]) -> pa.RecordBatch:
+def _bucket(blobs: list[bytes], shard: int) -> pa.RecordBatch:
     """All segments of one bucket to runs of passages that stood earlier."""
     kept, lost = _settled(Segments.read(blobs))
     order = np.argsort(kept.route, kind="stable")
     kept = kept.take(order)
     edge = np.flatnonzero(np.r_[True, kept.route[1:] != kept.route[:-1]])
-    done = np.cumsum(np.add.reduceat(kept.sizes, edge)) // SHARD
+    done = np.cumsum(np.add.reduceat(kept.sizes, edge)) // shard
     cuts = edge[np.flatnonzero(np.diff(done)) + 1].tolist()
     for a, b in zip([0, *cuts], [*cuts, len(order)]):
         lost.append(_classes(kept.take(np.arange(a, b))))
@@ -402,7 +402,7 @@ def _bucket(blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ord_, at, stop)], names=["ord", "at", "stop"])
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shard(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
     """Blobs sorted by bucket to runs of passages that stood earlier; settled runs pass."""
     now, blobs = None, []
     for batch in batches:
@@ -414,11 +414,11 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(kind == 0).tolist():
             if deal[k] != now:
                 if blobs:
-                    yield _bucket(blobs)
+                    yield _bucket(blobs, shard)
                 now, blobs = deal[k], []
             blobs.append(column[k].as_buffer().to_pybytes())
     if blobs:
-        yield _bucket(blobs)
+        yield _bucket(blobs, shard)
 
 
 def _remove(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
@@ -451,7 +451,7 @@ def _dropped(batches: Iterator[pa.RecordBatch], names: list[str], with_text: boo
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *made], names=names)
 
 
-def removed(docs: DataFrame, with_text: bool = True, frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
+def removed(docs: DataFrame, with_text: bool = True, frequent: int = FREQUENT, bucket: int = BUCKET, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (where bytes went) of each row.
 
     A byte goes if a LENGTH-byte string over it also starts earlier: in a document
@@ -483,7 +483,7 @@ def removed(docs: DataFrame, with_text: bool = True, frequent: int = FREQUENT, b
     cutter = _Cutter(buckets, frequent)
     cut = texts.select("ord", "text", "segs").mapInArrow(lean(lambda b: cutter(b)), _SENT)
     dealt = cut.repartition(min(buckets, 8 * width), "kind", "deal").sortWithinPartitions("kind", "deal")
-    runs = dealt.mapInArrow(lean(_shard), _RUNS)
+    runs = dealt.mapInArrow(lean(lambda b: _shard(b, shard)), _RUNS)
     per_doc = runs.groupBy("ord").agg(F.collect_list(F.struct("at", "stop")).alias("runs"))  # runs of one document
     left = ["doc_id", "row", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     schema = T.StructType([id_field, *fields("row long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, sharding, substring_dedup, token_counts, toxicity
+from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, secret_scan, sharding, substring_dedup, token_counts, toxicity
 from citeloom.llm.common import crc_mod, table
 from citeloom.session import ship
 
@@ -103,6 +103,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: fixed patterns and windows of high entropy."""
+    ship(spark)
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_shards": op9_shards,
     "op10_substrings": op10_substrings,
+    "op11_secrets": op11_secrets,
 }
 
 def _escapes() -> str:
@@ -167,4 +174,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
     """,
+    "op11_secrets": secret_scan.oracle(),
 }

@@ -131,8 +131,8 @@ def _joined(rows: DataFrame, by: list[str]) -> DataFrame:
         sides[side] = sides[side].select(*by, "k", "front", *[F.col(c).alias(f"{side}_{c}") for c in ("word", "n", "len", "bands", "long")])
     a, b = sides["a"], sides["b"]
     half = "cast(floor(a_len / 2) AS int)"
-    first_band = "array_position(transform(sequence(0, size(a_bands) - 1), i -> a_bands[i] = b_bands[i]), true) - 1"
-    once = F.expr(f"k = {first_band} AND front = (left(a_word, {half}) = left(b_word, {half}))")
+    equal_before = [f"NOT (k > {j} AND a_bands[{j}] = b_bands[{j}])" for j in range(BANDS - 1)]
+    once = F.expr(f"{' AND '.join(equal_before)} AND front = (left(a_word, {half}) = left(b_word, {half}))")
     apart = F.when(F.col("b_long"), F.col("b_len") == F.col("a_len") + 1).otherwise((F.col("b_len") == F.col("a_len")) & (F.col("a_word") < F.col("b_word")))
     return a.join(b, [*by, "k", "front"]).filter(apart & once).select("a_word", "a_n", "b_word", "b_n")
 

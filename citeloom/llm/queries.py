@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, secret_scan, sharding, spelling, substring_dedup, token_counts, toxicity
+from citeloom.llm import chat, decontaminate, exact_dedup, jaccard, language_id, packing, prefix_trie, secret_scan, sharding, spelling, substring_dedup, token_counts, toxicity
 from citeloom.llm.common import crc_mod, table
 from citeloom.session import ship
 
@@ -109,6 +109,12 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with openings that families share."""
+    ship(spark)
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the near word that is far more common."""
     ship(spark)
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shards": op9_shards,
     "op10_substrings": op10_substrings,
     "op11_secrets": op11_secrets,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
 }
 
@@ -182,5 +189,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
     """,
     "op11_secrets": secret_scan.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
     "op13_spelling": spelling.oracle(),
 }

@@ -34,6 +34,9 @@ from citeloom.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of a passage and of an anchor.
 LENGTH, GRAM = 100, 32
+#: Bits of a place: of hashes the others are compared, however long the text is, and of equals the
+#: first counts. A text has less than 2 GB.
+PLACE = np.uint64(32)
 #: Anchors of a chunk; count from which an anchor is frequent; passages of its short segments.
 CHUNK, FREQUENT, SHORT = 500_000, 500, 8
 #: Bytes of text in one suffix array, and of the segments of one bucket.
@@ -67,15 +70,14 @@ def anchors(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(b) < LENGTH:
         return none, none, none, np.zeros(0, np.uint64)
     h = _gram_hashes(b)
-    place = np.uint64(max(1, int(len(h) - 1).bit_length()))
-    low = (h >> place << place) | np.arange(len(h), dtype=np.uint64)
+    low = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
     size, width = 1, LENGTH - GRAM + 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < width:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-    at = (low & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    at = (low & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     ends = np.r_[starts[1:], len(b)]
     valid = np.zeros(len(at) + 1, np.int64)
     long = ends - starts >= LENGTH

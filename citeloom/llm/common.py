@@ -171,15 +171,29 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
-    """Of rows with a doc_id, at most those of the n doc_ids first in the order of a hash.
+def bounded_keys(keys: DataFrame, n: int, strata: list[str] | None = None) -> DataFrame:
+    """At most n distinct rows of `keys` (doc_id, h: a text's hash, strata), in the order of a hash.
 
-    Ids are chosen without the columns beside them, so texts that are not chosen
-    never leave their tasks.
+    Null ids are never chosen. With strata, each gives its first row before any gives its second,
+    so a rare one is not missed; a stratum is cut to n before its rows meet.
     """
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(n)
-    chosen = rows.sparkSession.createDataFrame([(r.doc_id,) for r in ids.collect()], T.StructType([rows.schema["doc_id"]]))
-    return matched(rows, F.broadcast(chosen), ["doc_id"], "left_semi")
+    known = keys.filter("doc_id IS NOT NULL").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    if strata:
+        turn = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
+        known = known.withColumn("_turn", turn).filter(F.col("_turn") <= n)
+        order = [F.col("_turn"), *order]
+    chosen = known.orderBy(*order).limit(n).select(*keys.columns)
+    return keys.sparkSession.createDataFrame(chosen.collect(), keys.schema)
+
+
+def rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (doc_id, text and the keys' strata) that `keys` (see `bounded_keys`) names, once each.
+
+    Keys are broadcast, so texts that are not chosen never leave their tasks.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    return matched(hashed, F.broadcast(keys), keys.columns, "left_semi").dropDuplicates(keys.columns).drop("h")
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import bounded_sample, crc_mod, fields, lean, pieces
+from citeloom.llm.common import bounded_keys, crc_mod, fields, lean, pieces, rows_of
 
 #: Rows the model is fitted on, at most, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 4000, 8192
@@ -176,15 +176,16 @@ def predict(texts: list[str | None], vectors: Vectors) -> tuple[list[str], np.nd
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from at most SAMPLE rows of at most SAMPLE_BYTES.
+    """A model from at most SAMPLE rows of at most SAMPLE_BYTES, as many of each language as there are.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from, nor rows
-    with a null text or language. Languages not in the sample are not predicted.
+    with a null id, text or language. Languages not in the sample are not predicted.
     """
     ours = docs.select("doc_id", "text", "lang").filter(
         (crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
     )
-    return train(sorted((r.lang, r.text) for r in bounded_sample(ours, SAMPLE).select("lang", "text").collect()))
+    keys = bounded_keys(ours.select("doc_id", F.xxhash64("text").alias("h"), "lang"), SAMPLE, ["lang"])
+    return train(sorted((r.lang, r.text) for r in rows_of(ours, keys).select("lang", "text").collect()))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

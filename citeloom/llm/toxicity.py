@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import bounded_sample, crc_mod, fresh, lean, matched, pieces, settle
+from citeloom.llm.common import bounded_keys, crc_mod, fresh, lean, pieces, rows_of, settle
 
 #: Labelled rows of each class that the field is fitted on, at most, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 1500, 8192
@@ -272,12 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     ours = labels.filter((crc_mod("doc_id", 3) != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id")
     ours = ours.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     short = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (crc_mod("doc_id", 3) != 1))
-    labelled = settle(short.select("doc_id").join(ours, "doc_id"))
+    labelled = settle(short.select("doc_id", F.xxhash64("text").alias("h")).join(ours, "doc_id"))
     rows: set[tuple[str, int]] = set()
     for label in (0, 1):
-        chosen = bounded_sample(labelled.filter(F.col("toxic") == label), SAMPLE).select("doc_id").distinct()
-        ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-        rows |= {(r.text, label) for r in matched(short, F.broadcast(ids), ["doc_id"], "left_semi").select("text").collect()}
+        keys = bounded_keys(labelled.filter(F.col("toxic") == label).select("doc_id", "h"), SAMPLE)
+        rows |= {(r.text, label) for r in rows_of(short, keys).select("text").collect()}
     return train(sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r)))
 
 

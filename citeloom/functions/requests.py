@@ -120,6 +120,47 @@ def doi_url(source: Column, base: Column, doi: Column) -> Column:
     )
 
 
+#: What Semantic Scholar is asked to say of a paper (fixed values; another list is another SCHOLAR_VERSION).
+SCHOLAR_FIELDS = "title,authors,year,venue,externalIds,publicationTypes,citationCount,abstract"
+
+
+def match_url(source: Column, base: Column, title: Column, limit: int = 5) -> Column:
+    """Where a title is matched; the provider ranks, and at most `limit` answers come."""
+    q, n = quoted(title), str(limit)
+    tail = lambda head, *rest: F.concat(base, F.lit(head), q, *map(F.lit, rest))
+    return (
+        F.when(source == "crossref", tail("/works?query.bibliographic=", "&rows=", n))
+        .when(source == "openalex", tail("/works?filter=title.search:", "&per-page=", n))
+        .when(source == "semantic_scholar", tail("/graph/v1/paper/search?query=", "&limit=", n, "&fields=", SCHOLAR_FIELDS))
+        .when(source == "arxiv", tail("/query?search_query=ti:", "&max_results=", n))
+        .when(source == "pubmed", tail("/esearch.fcgi?db=pubmed&term=", "&retmode=json&retmax=", n))
+        .when(source == "eric", tail("/?search=", "&format=json&rows=", n))
+    )
+
+
+def search_url(source: Column, base: Column, query: Column, limit: Column, year_from: Column, year_to: Column, kind: Column, date_from: Column, date_to: Column) -> Column:
+    """Where a keyword search is sent, with the filters that its provider applies itself."""
+    q, n = quoted(query), limit.cast("string")
+    years = (year_from, year_to, kind)
+    return (
+        F.when(source == "crossref", F.concat(base, F.lit("/works?query="), q, F.lit("&rows="), n, crossref_filters(*years)))
+        .when(source == "openalex", F.concat(base, F.lit("/works?search="), q, F.lit("&per-page="), n, openalex_filters(*years)))
+        .when(source == "semantic_scholar", F.concat(base, F.lit("/graph/v1/paper/search?query="), q, F.lit("&limit="), n, F.lit(f"&fields={SCHOLAR_FIELDS}"), scholar_filters(*years)))
+        .when(source == "arxiv", F.concat(base, F.lit("/query?"), arxiv_query(query, date_from, date_to, limit)))
+        .when(source == "pubmed", F.concat(base, F.lit("/esearch.fcgi?db=pubmed&term="), q, F.lit("&retmode=json&retmax="), n))
+        .when(source == "eric", F.concat(base, F.lit("/?search="), q, F.lit("&format=json&rows="), n))
+    )
+
+
+def ids_url(source: Column, base: Column, ids: Column, what: Column) -> Column:
+    """Where many records are fetched at once: OpenAlex works, PubMed summaries or articles (`what`)."""
+    return (
+        F.when(source == "openalex", F.concat(base, F.lit("/works?filter=openalex_id:"), F.array_join(ids, "|"), F.lit("&per-page="), F.size(ids).cast("string")))
+        .when(what == "summary", F.concat(base, F.lit("/esummary.fcgi?db=pubmed&id="), F.array_join(ids, ","), F.lit("&retmode=json")))
+        .when(what == "article", F.concat(base, F.lit("/efetch.fcgi?db=pubmed&id="), F.array_join(ids, ","), F.lit("&retmode=xml")))
+    )
+
+
 def applied_filters(source: Column, filtered: Column) -> Column:
     """Who applied the filters: no one, the provider, or we."""
     return F.when(~filtered, "none").when(source.isin(*dims.NATIVE_YEAR), "native").otherwise("client_side")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import identifiers as I
 from citeloom.functions import text as X
 from citeloom.model import dims
+from citeloom.session import settled
 
 
 def postfilter(hits: DataFrame, year_from: int | None = None, year_to: int | None = None, date_from: str | None = None, date_to: str | None = None, type: str | None = None) -> DataFrame:
@@ -48,6 +49,8 @@ def dedup_key(doi: Column, title: Column, ord: Column) -> Column:
     return F.coalesce(by_doi, by_title, F.concat(F.lit("uniq:"), ord.cast("string")))
 
 
+#: Ways along citation edges, by what a hit may be marked with.
+DIRECTIONS = ("references", "cited_by", "backward", "forward")
 #: Fields of a hit that a work takes from its primary record as they are.
 _PRIMARY = ("title", "authors", "doi", "year", "date", "venue", "type", "source", "from_cache", "retraction")
 
@@ -75,8 +78,9 @@ def fuse(hits: DataFrame) -> DataFrame:
         more.append(best(F.struct(d.alias("people"), "source"), marked, *arrival, where=F.coalesce(F.size(d) > 0, F.lit(False))).alias("who"))
         shown += [F.col("who.people").alias("author_details"), F.col("who.source").alias("author_details_source")]
     if "direction" in hits.columns:
-        more.append(F.collect_set(F.when(F.col("direction").isNotNull(), F.struct("ord", "direction"))).alias("_ways"))
-        shown.append(F.array_distinct(F.transform(F.array_sort("_ways"), lambda x: x["direction"])).alias("directions"))
+        more += [F.min(F.when(F.col("direction") == w, F.col("ord"))).alias(f"_{w}") for w in DIRECTIONS]
+        ways = F.array(*[F.when(F.col(f"_{w}").isNotNull(), F.struct(F.col(f"_{w}").alias("ord"), F.lit(w).alias("way"))) for w in DIRECTIONS])
+        shown.append(F.transform(F.array_sort(F.array_compact(ways)), lambda x: x["way"]).alias("directions"))
     g = r.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_hits"),
         F.min("ord").alias("first_ord"),
@@ -117,8 +121,11 @@ def rank_works(works: DataFrame, by: str = "year_desc", limit: int | None = None
 
 
 def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """`rows` with their 1-based place in a total order, without a task that holds them all."""
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """`rows` with their 1-based place in a total order, without a task that holds them all.
+
+    Rows are settled with the part they were dealt to: dealt twice, they could part elsewhere.
+    """
+    dealt = settled(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_part").orderBy(*order)
@@ -216,11 +223,14 @@ def merge_authors(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumn("_orcid", orcid).withColumn("author_key", F.coalesce(F.concat(F.lit("orcid:"), "_orcid"), F.concat_ws(":", F.lit("entity"), "source", "entity_id")))
     seen = lambda name: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", name))), lambda x: x[name])), ",")
     more = [seen("topic").alias("topics")] if "topic" in candidates.columns else []
+    # lists are made of distinct rows only, however many candidates say the same
+    same = [n for n in ("author_key", "_orcid", "name", "entity_id", "affiliation", "topic") if n in c.columns]
+    c = c.groupBy(*same).agg(F.min("ord").alias("ord"), F.sum("works_count").alias("works_count"), F.bool_or("exact_name_match").alias("exact_name_match"), F.count(F.lit(1)).alias("_n"))
     g = c.groupBy("author_key").agg(
         F.min_by("name", "ord").alias("name"), F.first("_orcid").alias("orcid"), F.sum("works_count").alias("works_count"),
         F.min_by("entity_id", "ord").alias("_first"), seen("entity_id").alias("entity_ids"), seen("affiliation").alias("affiliations"),
         seen("name").alias("name_variants"), *more, F.bool_or("exact_name_match").alias("exact_name_match"),
-        F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("entity_id").alias("n_entities"),
+        F.sum("_n").alias("n_candidates"), F.count_distinct("entity_id").alias("n_entities"),
     )
     key = F.coalesce(F.concat(F.lit("orcid:"), "orcid"), F.concat(F.lit("entity:"), "_first"))
     return g.withColumn("works_key", key).drop("_first")

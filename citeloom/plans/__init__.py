@@ -1,5 +1,5 @@
 """Registered queries: operators over the views, and the SQL that states them."""
 
-from citeloom.plans import providers, screening, texts, verification, works
+from citeloom.plans import lookups, providers, screening, texts, verification, works
 
-__all__ = ["providers", "screening", "texts", "verification", "works"]
+__all__ = ["lookups", "providers", "screening", "texts", "verification", "works"]

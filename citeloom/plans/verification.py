@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.model import dims
+from citeloom.operators import matching as M
 from citeloom.operators import verify as V
 from citeloom.plans.views import duck, view
 from citeloom.registry import query
@@ -30,7 +31,7 @@ def _names(c: str) -> str:
     return f"list_distinct(list_filter(list_transform({chosen}, lambda w: {plain}), lambda w: w <> ''))"
 
 
-_PAIRS = f"""{duck('v_refs', 'v_evidence', 'v_queries')},
+_JUDGED = f"""
     t AS (SELECT r.ref_id, r.doi AS rd, h.doi AS hd, r.year AS ry, h.year AS hy, {_VENUE.format('r.venue')} AS rv, {_VENUE.format('h.venue')} AS hv, r.title <> '' AND h.title <> '' AS both_t,
                  h.ord, h.retracted, h.retraction_dated, h.source, {_names('r.author')} AS ra, {_names('h.author')} AS ha, {_tokens('r.title')} AS x, {_tokens('h.title')} AS y FROM v_refs r JOIN v_evidence h USING (ref_id)),
     o AS (SELECT *, CASE WHEN least(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / least(len(x), len(y)) ELSE 0.0 END::DOUBLE AS overlap FROM t),
@@ -50,6 +51,14 @@ _PAIRS = f"""{duck('v_refs', 'v_evidence', 'v_queries')},
         FROM v_refs r LEFT JOIN best USING (ref_id) LEFT JOIN err USING (ref_id) LEFT JOIN gone USING (ref_id) LEFT JOIN held USING (ref_id))"""
 
 
+def judged_sql(views: str) -> str:
+    """The rules over `views`, which name v_refs, v_evidence and v_queries."""
+    return f"{views},{_JUDGED}"
+
+
+_PAIRS = judged_sql(duck("v_refs", "v_evidence", "v_queries"))
+
+
 def _refs(spark, sf_dir):
     return view(spark, sf_dir, "v_refs").withColumn("authors", F.array("author"))
 
@@ -171,3 +180,22 @@ def query_outcomes(spark, sf_dir):
     by_doi = e.groupBy("source", "doi").agg(F.min("ord").alias("hit")).select("source", "doi", "hit", none)
     by_title = e.select("source", "title", F.col("ord").alias("place"), F.col("ord").alias("hit"), none)
     return V.outcomes(V.tasks(V.route(view(spark, sf_dir, "v_refs"))), by_doi, by_title).drop("error")
+
+
+def _title_key(c: str) -> str:
+    return f"array_to_string(list_sort({_tokens(c)}), ' ')"
+
+
+_MATCHED = f"""rk AS MATERIALIZED (SELECT ref_id, {_title_key('title')} AS l FROM v_refs), hk AS MATERIALIZED (SELECT source, ord, {_title_key('title')} AS r FROM v_hits),
+    h5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, source ORDER BY ord) AS k FROM hk WHERE r <> '') WHERE k <= 5),
+    lt AS (SELECT l, unnest(string_split(l, ' ')) AS t FROM (SELECT DISTINCT l FROM rk WHERE l <> '')), rt AS (SELECT r, unnest(string_split(r, ' ')) AS t FROM (SELECT DISTINCT r FROM h5)),
+    both_k AS (SELECT l, r, count(*) AS c FROM lt JOIN rt USING (t) GROUP BY l, r),
+    alike AS (SELECT l, r, c / least(len(string_split(l, ' ')), len(string_split(r, ' '))) AS overlap FROM both_k WHERE c / least(len(string_split(l, ' ')), len(string_split(r, ' '))) >= 0.8),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY l, source ORDER BY overlap DESC, ord) AS place FROM alike JOIN h5 USING (r)),
+    matched AS (SELECT ref_id, source, place::INT AS place, ord, overlap FROM placed JOIN rk USING (l) WHERE place <= 5)"""
+
+
+@query("title_matches", f"{duck('v_refs', 'v_hits')}, {_MATCHED} SELECT * FROM matched")
+def title_matches(spark, sf_dir):
+    """For every reference the five hits of each source whose titles are most like its own."""
+    return M.title_matches(view(spark, sf_dir, "v_refs"), view(spark, sf_dir, "v_hits"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -45,3 +49,21 @@ def ship(spark: SparkSession) -> SparkSession:
     if str(ROOT) not in paths:
         env["PYTHONPATH"] = os.pathsep.join([str(ROOT), *paths])
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` worked out once, in the folder that the driver and all executors share.
+
+    What reads it again sees the same rows in the same parts, whatever the planner makes of it.
+    A folder of our own is set only where the session names none and runs in one process.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="citeloom-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

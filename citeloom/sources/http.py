@@ -16,9 +16,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.model import dims
+
 ANSWER = "source STRING, key STRING, payload STRING, error STRING, fetched_at TIMESTAMP"
 #: Seconds between requests of a source, without and with a credential; others wait OTHER.
 PAUSE = {"crossref": (1.0, 0.5), "openalex": (1.0, 0.5), "semantic_scholar": (1.0, 0.1), "arxiv": (3.0, 3.0), "pubmed": (0.34, 0.1)}
@@ -73,6 +75,16 @@ def missing(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["source", "key"]).join(cache.select("source", "key"), ["source", "key"], "left_anti")
 
 
+#: Tasks for sources that the engine does not know.
+OTHERS = 8
+
+
+def task_of(source: Column) -> Column:
+    """A task for each known source, so that one that waits keeps no other waiting; `OTHERS` for the rest."""
+    known = F.create_map(*[F.lit(x) for k, s in enumerate(s for s, *_ in dims.SOURCES) for x in (s, k)])
+    return F.coalesce(F.try_element_at(known, source), F.pmod(F.xxhash64(source), F.lit(OTHERS)).cast("int") + len(dims.SOURCES))
+
+
 def fetch(requests: DataFrame, agent: str = "citeloom/1", credentials: dict[str, str] | None = None, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Answers to requests (source, key, url, and accept where it matters); a miss has neither
     payload nor error."""
@@ -98,4 +110,5 @@ def fetch(requests: DataFrame, agent: str = "citeloom/1", credentials: dict[str,
                 rows.append((source, key, payload, error, pd.Timestamp.now(tz="UTC").tz_localize(None)))
             yield pd.DataFrame(rows, columns=["source", "key", "payload", "error", "fetched_at"])
 
-    return asked.select("source", "key", "url", "accept").repartition("source").mapInPandas(run, ANSWER)
+    dealt = asked.select("source", "key", "url", "accept").repartitionById(len(dims.SOURCES) + OTHERS, task_of(F.col("source")))
+    return dealt.mapInPandas(run, ANSWER)

@@ -36,7 +36,7 @@ from citeloom.llm.common import fields, fresh, lean, settle, stored, whole_text,
 #: Names in a block that is named in turn.
 WIDE = 64
 #: Entries of a block of the LCP array, and how many blocks there are at most (then they grow).
-BLOCK, MOST_BLOCKS = 4096, 65_536
+BLOCK, MOST_BLOCKS = 256, 65_536
 #: Depths of a node's unary path that are joined at once.
 DEPTHS = 64
 #: Ids that are written as one string before a digest reads them.

@@ -38,6 +38,8 @@ ODDS = 199
 BANDS = 3
 #: Words that may share a key before they are dealt again.
 GROUP = 64
+#: Keys (numbers) that are broadcast; more are joined by a shuffle.
+BROADCAST = 500_000
 #: Distinct words that a task gathers before it hands on their counts.
 GATHERED = 1 << 17
 
@@ -83,7 +85,7 @@ def vocabulary(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     return occurrences(docs).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def _band(k: int) -> Column:
+def _band(word: Column, k: int) -> Column:
     """Band k of a word's mask: the parities of every third letter."""
     code = lambda c: F.ascii(c)  # noqa: E731  the code point
     place = lambda c: F.when(code(c) < 128, code(c) - 97).otherwise(code(c) - 192 + 26)
@@ -91,59 +93,65 @@ def _band(k: int) -> Column:
     def flipped(mask: Column, c: Column) -> Column:
         return F.when(place(c) % BANDS == k, mask.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.floor(place(c) / BANDS).cast("int")))).otherwise(mask)
 
-    return F.aggregate(F.split("word", ""), F.lit(0), flipped)
+    return F.aggregate(F.split(word, ""), F.lit(0), flipped)
 
 
 def keyed(words: DataFrame) -> DataFrame:
-    """A row for each word, length of a shorter word (its own, or one less), half and band:
-    word, n, len, bands, long (whether the word is the longer one), front, k, rest, key."""
-    shaped = words.withColumn("len", F.length("word")).withColumn("bands", F.array(*[_band(k) for k in range(BANDS)]))
-    by_length = shaped.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("long")).withColumn("m", F.col("len") - F.col("long").cast("int"))
-    cut = by_length.withColumn("half", F.floor(F.col("m") / 2).cast("int")).withColumn("tail", F.col("m") - F.col("half"))
-    front = F.struct(F.lit(True).alias("front"), F.expr("left(word, half)").alias("kept"), F.expr("substring(word, half + 1)").alias("rest"))
-    back = F.struct(F.lit(False).alias("front"), F.expr("right(word, tail)").alias("kept"), F.expr("left(word, len - tail)").alias("rest"))
-    return (
-        cut.select("word", "n", "len", "bands", "long", "m", F.explode(F.array(front, back)).alias("h"))
-        .select("word", "n", "len", "bands", "long", "m", "h.*", F.posexplode("bands").alias("k", "band"))
-        .withColumn("key", F.xxhash64("m", "front", "kept", "k", "band"))
-        .drop("kept", "m", "band")
-    )
+    """A row (key, word, n, slot) for each word, length of a shorter word (its own, or one less), half
+    and band. The slot is four times the band, two for the front half, one for the longer word."""
+    by_length = words.select("word", "n", F.length("word").alias("len"), F.explode(F.array(F.lit(0), F.lit(1))).alias("long"), F.array(*[_band(F.col("word"), k) for k in range(BANDS)]).alias("bands"))
+    cut = by_length.withColumn("m", F.col("len") - F.col("long")).withColumn("half", F.floor(F.col("m") / 2).cast("int"))
+    front = F.struct(F.lit(2).alias("front"), F.expr("left(word, half)").alias("kept"))
+    back = F.struct(F.lit(0).alias("front"), F.expr("right(word, m - half)").alias("kept"))
+    spread = cut.select("word", "n", "long", "m", "bands", F.explode(F.array(front, back)).alias("h")).select("word", "n", "long", "m", "h.*", F.posexplode("bands").alias("k", "band"))
+    return spread.select(F.xxhash64("m", "front", "kept", "k", "band").alias("key"), "word", "n", (F.col("k") * 4 + F.col("front") + F.col("long")).alias("slot"))
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """`rows` by what an edit in the rest of the word leaves of it: the rest without one letter,
     and its place if the letter is replaced."""
+    longer = F.col("slot") % 2 == 1
+    m = F.length("word") - F.col("slot") % 2
+    half = F.floor(m / 2).cast("int")
+    rest = F.when(F.floor(F.col("slot") / 2) % 2 == 1, F.substring("word", half + 1, F.length("word"))).otherwise(F.left("word", F.length("word") - m + half))
     without = "concat(left(rest, i), substring(rest, i + 2))"
     spots = "CASE WHEN length(rest) = 0 THEN array() ELSE sequence(0, length(rest) - 1) END"
     replaced = F.expr(f"transform({spots}, i -> struct(i AS spot, {without} AS left_over))")
     deleted = F.expr(f"array_distinct(transform({spots}, i -> struct(-1 AS spot, {without} AS left_over)))")
     own = F.expr("array(struct(-1 AS spot, rest AS left_over))")
-    ways = F.when(F.col("long"), deleted).otherwise(F.concat(replaced, own))
-    return rows.select("*", F.explode(ways).alias("way")).select(*rows.columns, "way.*")
+    ways = F.when(longer, deleted).otherwise(F.concat(replaced, own))
+    return rows.withColumn("rest", rest).select(*rows.columns, F.explode(ways).alias("way")).select(*rows.columns, F.xxhash64("key", "way.spot", "way.left_over").alias("way"))
+
 
+def _met(rows: DataFrame, by: str) -> DataFrame:
+    """Near pairs of a word (a) and one as long or longer by one letter (b) among rows that share `by`,
+    once each: at the first band that they share, and at the front half if they share it.
 
-def _joined(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs of a word (a) and one as long or longer by one letter (b) that share `by`,
-    once each: at the first band that they share, and at the front half if they share it."""
-    sides = {}
-    for side in "ab":
-        sides[side] = rows.filter(~F.col("long")) if side == "a" else rows
-        sides[side] = sides[side].select(*by, "k", "front", *[F.col(c).alias(f"{side}_{c}") for c in ("word", "n", "len", "bands", "long")])
-    a, b = sides["a"], sides["b"]
-    half = "cast(floor(a_len / 2) AS int)"
-    equal_before = [f"NOT (k > {j} AND a_bands[{j}] = b_bands[{j}])" for j in range(BANDS - 1)]
-    once = F.expr(f"{' AND '.join(equal_before)} AND front = (left(a_word, {half}) = left(b_word, {half}))")
-    apart = F.when(F.col("b_long"), F.col("b_len") == F.col("a_len") + 1).otherwise((F.col("b_len") == F.col("a_len")) & (F.col("a_word") < F.col("b_word")))
-    return a.join(b, [*by, "k", "front"]).filter(apart & once).select("a_word", "a_n", "b_word", "b_n")
+    `by` has few rows: `GROUP`, or what one letter can make of a word.
+    """
+    groups = rows.groupBy(by).agg(F.collect_list(F.struct("word", "n", "slot")).alias("g")).filter(F.size("g") > 1)
+    pairs = groups.select(F.explode(F.filter("g", lambda x: x["slot"] % 2 == 0)).alias("a"), "g").select("a", F.explode("g").alias("b"))
+    named = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("word", "n", "slot")])
+    longer = F.col("b_slot") % 2 == 1
+    apart = F.when(longer, F.length("b_word") == F.length("a_word") + 1).otherwise((F.length("b_word") == F.length("a_word")) & (F.col("a_word") < F.col("b_word")))
+    same = F.floor(F.col("a_slot") / 2) == F.floor(F.col("b_slot") / 2)
+    half = "cast(floor(length(a_word) / 2) AS int)"
+    at_front = F.expr(f"(floor(a_slot / 2) % 2 = 1) = (left(a_word, {half}) = left(b_word, {half}))")
+    near = named.filter(apart & same).filter("levenshtein(a_word, b_word, 1) = 1").filter(at_front)
+    for j in range(BANDS - 1):
+        near = near.filter((F.col("a_slot") < 4 * (j + 1)) | (_band(F.col("a_word"), j) != _band(F.col("b_word"), j)))
+    return near.select("a_word", "a_n", "b_word", "b_n")
 
 
 def near_pairs(words: DataFrame, group: int = GROUP) -> DataFrame:
     """(a_word, a_n, b_word, b_n): each two words that an edit parts, once. Settle `words` first."""
     rows = keyed(words)
     full = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > group).select("key"))
-    few = _joined(rows.join(full, "key", "left_anti"), ["key"])
-    many = _joined(_dealt(rows.join(full, "key", "left_semi")), ["key", "spot", "left_over"])
-    return few.unionByName(many).filter("levenshtein(a_word, b_word, 1) = 1")
+    if full.count() <= BROADCAST:
+        full = F.broadcast(full)
+    few = _met(rows.join(full, "key", "left_anti"), "key")
+    many = _met(_dealt(rows.join(full, "key", "left_semi")), "way")
+    return few.unionByName(many)
 
 
 def with_forms(words: DataFrame, group: int = GROUP, times: int = TIMES) -> DataFrame:

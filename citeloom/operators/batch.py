@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +67,50 @@ def fingerprint(refs: DataFrame) -> DataFrame:
     return s.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("fingerprint"))
 
 
-def save_state(refs: DataFrame, done: DataFrame, path: str) -> None:
-    """Writes what is done of a batch, and of which batch."""
-    fingerprint(refs).write.mode("overwrite").parquet(f"{path}/fingerprint")
-    done.write.mode("append").parquet(f"{path}/done")
+def _read(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
+    """A written table, or None where nothing has been written yet."""
+    try:
+        return spark.read.schema(ddl).parquet(path) if ddl else spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+#: A commit names an attempt whose rows are whole, and the batch that they are of.
+COMMIT = "attempt STRING, fingerprint STRING"
+
 
+def save_state(refs: DataFrame, done: DataFrame, path: str) -> None:
+    """Adds what is done of a batch (ref_id and whatever goes with it) to its state.
 
-def load_state(refs: DataFrame, path: str) -> DataFrame:
-    """What is done of the batch; another batch's state is an error."""
+    Rows go to a folder of their own and count once a commit names it, so a save that breaks off
+    adds nothing, and one that is made again adds nothing twice: references that are in the
+    state already are left out, and one row of each stays. Another batch's state is an error.
+    """
     spark = refs.sparkSession
-    if spark.read.parquet(f"{path}/fingerprint").first() != fingerprint(refs).first():
+    own, held = fingerprint(refs).first().fingerprint, load_state(refs, path)
+    new = (left_over(done, held) if held is not None else done).dropDuplicates(["ref_id"])
+    attempt = uuid.uuid4().hex
+    new.write.parquet(f"{path}/attempts/{attempt}")
+    spark.createDataFrame([(attempt, own)], COMMIT).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def load_state(refs: DataFrame, path: str) -> DataFrame | None:
+    """What is done of the batch, None if nothing has been saved; another batch's state is an error.
+
+    Of two savers at a time, both may have done a reference; it is in the state once.
+    """
+    commits = _read(refs.sparkSession, f"{path}/commits", COMMIT)
+    if commits is None:
+        return None
+    own = fingerprint(refs).first().fingerprint
+    attempts = commits.collect()  # a row a save
+    if any(c.fingerprint != own for c in attempts):
         raise ValueError(f"{path} is the state of other references")
-    return spark.read.parquet(f"{path}/done")
+    if not attempts:
+        return None
+    return refs.sparkSession.read.parquet(*[f"{path}/attempts/{c.attempt}" for c in attempts]).dropDuplicates(["ref_id"])
 
 
 def left_over(refs: DataFrame, done: DataFrame) -> DataFrame:
@@ -82,6 +118,25 @@ def left_over(refs: DataFrame, done: DataFrame) -> DataFrame:
     return refs.join(done.select("ref_id").distinct(), "ref_id", "left_anti")
 
 
+def resumed(refs: DataFrame, path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The whole batch's results: what its state holds, and `work` done on the references left over,
+    saved before it is returned."""
+    held = load_state(refs, path)
+    left = refs if held is None else left_over(refs, held)
+    if not left.isEmpty():
+        save_state(refs, work(left), path)
+    return load_state(refs, path)
+
+
+def source_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(run, item, source_changed): whether an item's text is another after a step than before it, or
+    there on one side only. Both have run, item and text; null texts are equal to each other only."""
+    told = lambda df, name: df.select("run", "item", F.md5(F.col("text").cast("binary")).alias(name), F.lit(True).alias(f"{name}_there"))
+    both = told(before, "b").join(told(after, "a"), ["run", "item"], "full_outer")
+    same = F.coalesce("b_there", F.lit(False)) & F.coalesce("a_there", F.lit(False)) & F.col("b").eqNullSafe(F.col("a"))
+    return both.select("run", "item", (~same).alias("source_changed"))
+
+
 def trimmed(payload: Column, ddl: str) -> Column:
     """A payload with some of its fields only, as evidence to be kept."""
     return F.to_json(F.from_json(payload, ddl))

@@ -169,6 +169,25 @@ def request_urls(spark, sf_dir):
     )
 
 
+_FIELDS_ASKED = "'&fields=title,authors,year,venue,externalIds,publicationTypes,citationCount,abstract'"
+
+
+@query("search_urls", f"""{duck('v_requests')}, u AS (SELECT *, {_Q} AS q,
+        {_list_filter('from-pub-date', 'until-pub-date', _natively("WHEN 'journal-article' THEN 'journal-article' WHEN 'thesis' THEN 'dissertation'"))} AS cf,
+        {_list_filter('from_publication_date', 'to_publication_date', _natively("WHEN 'journal-article' THEN 'article' WHEN 'thesis' THEN 'dissertation' WHEN 'review' THEN 'review'"))} AS of,
+        CASE WHEN {_YEARS} THEN '&year=' || coalesce(year_from::VARCHAR, '') || '-' || coalesce(year_to::VARCHAR, '') ELSE '' END || CASE type WHEN 'journal-article' THEN '&publicationTypes=JournalArticle' WHEN 'review' THEN '&publicationTypes=Review' ELSE '' END AS sf FROM v_requests)
+    SELECT id, CASE source WHEN 'crossref' THEN 'B/works?query=' || q || '&rows=20' || cf WHEN 'openalex' THEN 'B/works?search=' || q || '&per-page=20' || of WHEN 'semantic_scholar' THEN 'B/graph/v1/paper/search?query=' || q || '&limit=20' || {_FIELDS_ASKED} || sf
+        WHEN 'pubmed' THEN 'B/esearch.fcgi?db=pubmed&term=' || q || '&retmode=json&retmax=20' WHEN 'eric' THEN 'B/?search=' || q || '&format=json&rows=20'
+        ELSE CASE WHEN {_DATED} THEN 'B/query?search_query=' || replace({_QUOTED.format(f"{_TERMS} || {_WINDOW}")}, ']', '%5D') || '&max_results=20&sortBy=submittedDate&sortOrder=descending' ELSE 'B/query?search_query=all:' || q || '&max_results=20' END END AS search_url,
+    CASE source WHEN 'crossref' THEN 'B/works?query.bibliographic=' || q || '&rows=5' WHEN 'openalex' THEN 'B/works?filter=title.search:' || q || '&per-page=5' WHEN 'semantic_scholar' THEN 'B/graph/v1/paper/search?query=' || q || '&limit=5' || {_FIELDS_ASKED}
+        WHEN 'pubmed' THEN 'B/esearch.fcgi?db=pubmed&term=' || q || '&retmode=json&retmax=5' WHEN 'eric' THEN 'B/?search=' || q || '&format=json&rows=5' ELSE 'B/query?search_query=ti:' || q || '&max_results=5' END AS match_url FROM u""")
+def search_urls(spark, sf_dir):
+    """Where keyword searches and title matches are sent."""
+    c = [F.col(n) for n in ("year_from", "year_to", "type", "date_from", "date_to")]
+    base, source = F.lit("B"), F.col("source")
+    return view(spark, sf_dir, "v_requests").select("id", R.search_url(source, base, F.col("query"), F.lit(20), *c).alias("search_url"), R.match_url(source, base, F.col("query")).alias("match_url"))
+
+
 @query("cached_lookups", f"""WITH p AS ({_PART}) SELECT id, CASE WHEN k > 25 THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN k > 25 THEN n END AS title FROM p""")
 def cached_lookups(spark, sf_dir):
     """Lookups by DOI that a cache of answers can serve: keys joined with the answers that still hold."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import markdown as M
+from citeloom.functions import spans
 from citeloom.functions import text as X
 from citeloom.functions.jats import clean_jats
 from citeloom.model import dims
@@ -94,8 +95,9 @@ _PROSE = f"{_LINES}, {Q.stripped('p', 'l', 'doc_id')}"
 def word_counts(spark, sf_dir):
     """Function words, persons and set phrases of all manuscripts."""
     p = _papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("t")).filter("t <> ''")
-    n = lambda words, mask=(): O.total(O.word_counts(F.col("t"), words, mask))
-    return p.select("doc_id", n(dims.FUNCTION_WORDS).alias("function_words"), n(dims.PERSON_WORDS, dims.PERSON_MASK).alias("persons"), n(dims.QUAD_PHRASES).alias("quads"))
+    ship(spark)
+    p = p.select("doc_id", O.STYLE(F.col("t")).alias("w"))
+    return p.select("doc_id", *[spans.total(F.col(f"w.{n}")).alias(n) for n in ("function_words", "persons", "quads")])
 
 
 @query("function_word_density", f"""WITH f AS ({Q.words('documents', 'doc_id', "coalesce(text, '')", 'hits', dims.FUNCTION_WORDS)}), c AS (SELECT doc_id, {_CHARS} AS chars FROM documents)
@@ -103,7 +105,8 @@ def word_counts(spark, sf_dir):
 def function_word_density(spark, sf_dir):
     """Connecting words of all documents for each 1000 characters."""
     t = F.coalesce("text", F.lit(""))
-    d = _docs(spark, sf_dir).select("doc_id", O.total(O.word_counts(t, dims.FUNCTION_WORDS)).alias("hits"), X.effective_chars(t).cast("long").alias("chars"))
+    ship(spark)
+    d = _docs(spark, sf_dir).select("doc_id", spans.total(O.STYLE(t)["function_words"]).alias("hits"), X.effective_chars(t).cast("long").alias("chars"))
     return d.withColumn("density", O.per(F.col("hits"), F.col("chars"), 1000))
 
 
@@ -126,17 +129,54 @@ def document_sentences(spark, sf_dir):
     return O.sentence_stats(_docs(spark, sf_dir))
 
 
-@query("section_style")
-def section_style(spark, sf_dir):
-    """The style of each section of all manuscripts; held against cases in tests."""
-    ship(spark)
-    return O.measure_sections(_papers(spark, sf_dir))
-
-
 _MEASURED = f"""{_LINES}, {Q.sections('s', 'l', 'p')}, {Q.lines('m', 's', 'doc_id, position', 'body')}, {Q.stripped('c', 'm', 'doc_id, position')},
     f AS ({Q.words('c', 'doc_id, position', 'plain', 'fw', dims.FUNCTION_WORDS)}), h AS ({Q.words('c', 'doc_id, position', 'plain', 'pw', dims.PERSON_WORDS, dims.PERSON_MASK)}), q AS ({Q.words('c', 'doc_id, position', 'plain', 'qw', dims.QUAD_PHRASES)}),
     d AS MATERIALIZED (SELECT doc_id, position, section, {Q.CHARS.format('plain')} AS chars, fw, pw, qw FROM c JOIN s USING (doc_id, position) JOIN f USING (doc_id, position) JOIN h USING (doc_id, position) JOIN q USING (doc_id, position)),
     v AS (SELECT doc_id, position, section, coalesce(round(fw * 100.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS function_word_per_100, coalesce(round(pw * 1000.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS person_per_1000, coalesce(round(qw * 1000.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS quad_per_1000 FROM d)"""
+_SENTENCE = f"list_filter(list_transform(regexp_extract_all(plain, '[^{_END}]*[{_END}]+[{_CLOSE}]*|[^{_END}]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _cited(pattern: str) -> str:
+    """Places of a pattern in each sentence: what lies before the i-th match, and its length."""
+    return f"""SELECT doc_id, position, size, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS len
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, position, size, regexp_extract_all(s, '{pattern}') AS m, regexp_split_to_array(s, '{pattern}') AS g FROM st))"""
+
+
+_TERMS = f"""tr AS (SELECT doc_id, position, unnest(regexp_extract_all(plain, '[一-鿿]{{2,}}')) AS run, unnest(range(len(regexp_extract_all(plain, '[一-鿿]{{2,}}')))) AS run_at FROM c),
+    tk AS (SELECT *, unnest(range(2, least(6, length(run)) + 1)) AS k FROM tr), tg AS (SELECT doc_id, position, run_at, place, substring(run, place, k) AS term FROM (SELECT *, unnest(range(1, length(run) - k + 2)) AS place FROM tk)),
+    tc AS MATERIALIZED (SELECT doc_id, position, term, count(*) AS n, min((run_at, place)) AS met FROM tg WHERE term NOT IN ({', '.join(f"'{w}'" for w in (*dims.NOISE_WORDS, *dims.FUNCTION_WORDS, *dims.PERSON_WORDS))})
+        AND NOT regexp_matches(term, '^[{dims.TRIM_HEAD}]|[{dims.TRIM_TAIL}]$|{'|'.join(dims.PERSON_WORDS)}') GROUP BY ALL HAVING count(*) >= 3),
+    tp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY length(term) DESC, n DESC, met) AS place FROM tc a
+        WHERE NOT EXISTS (SELECT 1 FROM tc b WHERE b.doc_id = a.doc_id AND b.position = a.position AND b.term <> a.term AND contains(b.term, a.term) AND a.n <= b.n)),
+    tt AS (SELECT doc_id, position, sum(n)::BIGINT AS terms FROM tp WHERE place <= 20 GROUP BY ALL)"""
+_STYLE = f"""{_MEASURED}, {_TERMS}, se AS MATERIALIZED (SELECT doc_id, position, {_SENTENCE} AS ss FROM c),
+    st AS MATERIALIZED (SELECT doc_id, position, s, length(regexp_replace(s, '[{_END}{_CLOSE}\\]}}]+$', '')) AS size FROM (SELECT doc_id, position, unnest(ss) AS s FROM se)),
+    ci AS (SELECT doc_id, position, CASE WHEN size - a - len <= 2 THEN 2 WHEN a <= 8 OR a <= 0.15 * greatest(1, size) THEN 0 ELSE 1 END AS wh FROM ({_cited(Q.BY_YEAR)} UNION ALL {_cited(Q.BY_NUMBER)})),
+    cc AS (SELECT doc_id, position, count(*) FILTER (wh = 0) AS at_head, count(*) FILTER (wh = 1) AS inside, count(*) FILTER (wh = 2) AS at_end FROM ci GROUP BY ALL),
+    sn AS (SELECT doc_id, position, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda x: {Q.CHARS.format('x')}), lambda n: n > 0) AS n FROM se),
+    style AS MATERIALIZED (SELECT doc_id, position::INT AS position, section, chars, n_sentences::INT AS n_sentences, list_sum(n)::BIGINT AS sentence_chars, round(list_avg(n), 2) AS len_mean, round(list_median(n), 2) AS len_median, round(list_stddev_pop(n), 2) AS len_std, n_sentences >= 5 AS reliable,
+        coalesce(at_head, 0) AS at_head, coalesce(inside, 0) AS inside, coalesce(at_end, 0) AS at_end, fw AS function_words, pw AS persons, qw AS quads, coalesce(terms, 0) AS terms, function_word_per_100, person_per_1000, quad_per_1000,
+        coalesce(round(coalesce(terms, 0) * 100.0::DOUBLE / nullif(chars, 0), 2), 0.0) AS term_density_per_100, coalesce(round(at_end / nullif(at_head + inside + at_end, 0), 4), 0.0)::DOUBLE AS citation_end_ratio
+        FROM d JOIN v USING (doc_id, position, section) JOIN sn USING (doc_id, position) LEFT JOIN cc USING (doc_id, position) LEFT JOIN tt USING (doc_id, position))"""
+_TOPS = ("function_word_top", "quad_top", "term_top", "person_counts", "term_source")
+
+
+@query("section_style", f"{_STYLE} SELECT * FROM style")
+def section_style(spark, sf_dir):
+    """The style of each section of all manuscripts."""
+    ship(spark)
+    return O.measure_sections(_papers(spark, sf_dir)).drop(*_TOPS)
+
+
+@query("feature_order", f"""{_STYLE}, x AS ({' UNION ALL '.join(f"SELECT doc_id, position, section, '{n}' AS feature, {k} AS o, {n}::DOUBLE AS v FROM style" for k, n in enumerate(O.FEATURES))}),
+    y AS (SELECT doc_id, feature, o, min(v) AS least, max(v) AS most, avg(v) AS mean, stddev_pop(v) AS deviation, coalesce(round(stddev_pop(v) / nullif(avg(v), 0), 4), 0.0) AS cv, arg_min(section, (v, position)) AS least_in, arg_min(section, (-v, position)) AS most_in FROM x GROUP BY doc_id, feature, o HAVING count(*) >= 2)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY cv DESC, o))::INT AS place, feature, round(least, 4) AS least, round(most, 4) AS most, round(most - least, 4) AS range, round(mean, 4) AS mean, round(deviation, 4) AS deviation, cv, least_in, most_in FROM y""")
+def feature_order(spark, sf_dir):
+    """All eight features over the sections of each manuscript, in the order of their variation."""
+    ship(spark)
+    return O.compare_sections(O.measure_sections(_papers(spark, sf_dir)), ["doc_id"], "section", "position")
+
+
 _COMPARED = ("function_word_per_100", "person_per_1000", "quad_per_1000")
 
 
@@ -146,7 +186,42 @@ _COMPARED = ("function_word_per_100", "person_per_1000", "quad_per_1000")
 def section_compare(spark, sf_dir):
     """Three features of style over the sections of each manuscript."""
     ship(spark)
-    return O.compare_sections(O.measure_sections(_papers(spark, sf_dir)), ["doc_id"], "section", "position", _COMPARED)
+    return O.compare_sections(O.measure_sections(_papers(spark, sf_dir)), ["doc_id"], "section", "position", _COMPARED).drop("place")
+
+
+def _top_sql(listed: tuple[str, ...]) -> str:
+    """Counts of each listed word by itself, as SQL: the rest of the text is what longer words leave."""
+    sql, before = "", "plain"
+    parts = []
+    for k, w in enumerate(sorted(listed, key=len, reverse=True)):
+        parts.append(f"SELECT doc_id, position, '{w}' AS word, {k} AS o, (length({before}) - length(replace({before}, '{w}', ''))) // {len(w)} AS n FROM c")
+        before = f"replace({before}, '{w}', repeat(chr(1), {len(w)}))"
+    return " UNION ALL ".join(parts)
+
+
+_TOP5 = "(SELECT doc_id, position, string_agg(word || ':' || n, ',' ORDER BY n DESC, o) AS top FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY n DESC, o) AS r FROM ({}) WHERE n > 0) WHERE r <= {} GROUP BY ALL)"
+
+
+@query("section_tops", f"""{_MEASURED}, {_TERMS} SELECT c.doc_id, c.position::INT AS position, coalesce(qt.top, '') AS quad_top, coalesce(tm.top, '') AS term_top, 'repeats' AS term_source FROM c
+    LEFT JOIN {_TOP5.format(_top_sql(dims.QUAD_PHRASES), 5)} qt USING (doc_id, position) LEFT JOIN {_TOP5.format("SELECT doc_id, position, term AS word, place AS o, n FROM tp WHERE place <= 20", 8)} tm USING (doc_id, position)""")
+def section_tops(spark, sf_dir):
+    """The most frequent set phrases and likely terms of each section; function words are held against cases in tests."""
+    ship(spark)
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["word"], F.lit(":"), x["n"].cast("string"))), ",")
+    return O.measure_sections(_papers(spark, sf_dir)).select("doc_id", "position", said("quad_top").alias("quad_top"), said("term_top").alias("term_top"), "term_source")
+
+
+@query("terms_by_glossary", f"""{_PROSE}, gl AS (SELECT p_partkey AS doc_id, unnest(['深度学习', '模型', p_type, '学习模型']) AS term FROM part WHERE p_size % 2 = 0),
+    m1 AS (SELECT p.doc_id, plain, term FROM p JOIN gl USING (doc_id)), long AS (SELECT doc_id, plain, replace(replace(plain, '学习模型', repeat(chr(1), 4)), '深度学习', repeat(chr(1), 4)) AS left_over FROM p)
+    SELECT doc_id, term, ((length(x) - length(replace(x, term, ''))) // length(term))::BIGINT AS n
+    FROM (SELECT doc_id, term, CASE WHEN term = '模型' THEN left_over WHEN term = '深度学习' THEN replace(plain, '学习模型', repeat(chr(1), 4)) ELSE plain END AS x FROM m1 JOIN long USING (doc_id, plain)) WHERE contains(x, term)""")
+def terms_by_glossary(spark, sf_dir):
+    """Terms of the manuscripts that have a glossary, each with its own words."""
+    ship(spark)
+    papers = _papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("text"))
+    words = F.array(F.lit("深度学习"), F.lit("模型"), F.col("p_type"), F.lit("学习模型"))
+    glossary = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.explode(words).alias("term"))
+    return O.listed_terms(O.glossary_terms(papers, glossary, ["doc_id"]), ["doc_id"]).select("doc_id", "term", "n")
 
 
 @query("clean_markup", r"""WITH v AS (SELECT p_partkey AS id, p_name AS n, p_size AS k FROM part)
@@ -174,18 +249,14 @@ def cleaned_pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", clean_jats("html").alias("text"))
 
 
-@query("term_counts")
-def term_counts(spark, sf_dir):
-    """Likely terms of all manuscripts; held against cases in tests."""
-    return O.term_counts(_papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("text")), ["doc_id"])
+_DOC_TERMS = _TERMS.replace("doc_id, position", "doc_id").replace("b.position = a.position AND ", "").replace("FROM c)", "FROM p)")
 
 
-@query("term_candidates", f"""{_PROSE}, r AS (SELECT doc_id, unnest(regexp_extract_all(plain, '[一-鿿]{{2,}}')) AS run FROM p), k AS (SELECT doc_id, run, unnest(range(2, least(6, length(run)) + 1)) AS k FROM r),
-    g AS (SELECT doc_id, substring(run, unnest(range(1, length(run) - k + 2)), k) AS term FROM k)
-    SELECT doc_id, term, count(*) AS n FROM g WHERE term = '深度学习模型' GROUP BY ALL HAVING count(*) >= 3""")
-def term_candidates(spark, sf_dir):
-    """The longest likely term of each manuscript."""
-    return term_counts(spark, sf_dir).filter("place = 0").select("doc_id", "term", "n")
+@query("term_counts", f"{_PROSE}, {_DOC_TERMS} SELECT doc_id, (place - 1)::INT AS place, term, n FROM tp WHERE place <= 20")
+def term_counts(spark, sf_dir):
+    """Likely terms of all manuscripts."""
+    prose = _papers(spark, sf_dir).select("doc_id", M.strip_markdown(F.col("text")).alias("text"))
+    return O.listed_terms(O.likely_terms(prose, ["doc_id"]), ["doc_id"])
 
 
 @query("restore_abstract", r"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)

@@ -252,6 +252,19 @@ def exit_states(spark, sf_dir):
     return B.exit_states(o.select(F.col("o_custkey").alias("run"), status.alias("status"), (F.col("o_totalprice") > 200000).alias("source_changed")))
 
 
+@query("source_changes", "SELECT source AS run, doc_id AS item, coalesce(text <> replace(text, 'token', 'key'), false) AS source_changed FROM documents")
+def source_changes(spark, sf_dir):
+    """Documents whose text a step changed, by digests before and after it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("run"), F.col("doc_id").alias("item"), "text")
+    return B.source_changes(docs, docs.withColumn("text", F.replace("text", F.lit("token"), F.lit("key"))))
+
+
+@query("changed_runs", "SELECT source AS run, CASE WHEN bool_or(text LIKE '%token%') THEN 3 ELSE 0 END AS exit_code FROM documents GROUP BY source")
+def changed_runs(spark, sf_dir):
+    """The exit codes of runs by what the digests say."""
+    return B.exit_states(source_changes(spark, sf_dir).withColumn("status", F.lit("ok")))
+
+
 @query("concept_overlap", f"""{duck('v_hits')}, c AS (SELECT ord, contains(lower(title), 'widget') OR contains(lower(title), 'bolt') AS a, contains(lower(title), 'brand#1') AS b FROM v_hits) SELECT ord, a AS has_thing, b AS has_maker, a::INT + b::INT AS overlap FROM c""")
 def concept_overlap(spark, sf_dir):
     """Which of two concepts each title names."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.functions.text import bound
 from citeloom.model import dims
 
 #: Blanks within a line, as a class's inside.
@@ -23,14 +24,6 @@ W = r" \t\p{Z}"
 CUT, MARK = "\u0002", "\u0001"
 
 _FENCE = rf"(?m)^[{W}]*(?:```|~~~)[^\n]*$"
-_INNER = "[^()（）]"
-#: A bracket with a year of 19xx or 20xx in it; a bracket of numbers.
-AUTHOR_YEAR = rf"[(（]{_INNER}{{0,60}}?(?:19|20)[0-9]{{2}}{_INNER}{{0,20}}[)）]"
-NUMERIC = r"\[[0-9]+(?:[ \t]*[-,–，][ \t]*[0-9]+)*\]"
-#: A markdown link into the literature folder.
-ANCHOR = r"\[[^\]]*\]\([ \t]*(?:\.\.?/)*literature/[^)]*\)"
-
-
 def plain_lines(c: Column) -> Column:
     """The text with one kind of line end and without the signs used here."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]", "\n"), f"[{MARK}{CUT}]", "")
@@ -103,12 +96,12 @@ def without_gap_words(c: Column) -> Column:
 
 def citation_counts(c: Column) -> tuple[Column, Column]:
     """Author-year and numeric citations of a stripped text."""
-    return F.regexp_count(c, F.lit(AUTHOR_YEAR)), F.regexp_count(c, F.lit(NUMERIC))
+    return F.regexp_count(c, F.lit(dims.CITED_BY_YEAR)), F.regexp_count(c, F.lit(dims.CITED_BY_NUMBER))
 
 
 def anchor_links(c: Column) -> Column:
     """Links into the literature folder, of a text that is not stripped."""
-    return F.regexp_count(c, F.lit(ANCHOR))
+    return F.regexp_count(c, F.lit(dims.LITERATURE_LINK))
 
 
 def paragraphs(c: Column) -> Column:
@@ -122,13 +115,19 @@ def paragraphs(c: Column) -> Column:
 def sections(c: Column) -> Column:
     """[{name, body}] cut at the shallowest level of headings that is used twice, else the
     shallowest; what is before the first cut counts if it has prose."""
-    body = without_front_matter(plain_lines(c))
-    heads = F.regexp_extract_all(outside(parted(body)), F.lit(rf"(?m)^[{W}]*(#{{1,6}})[{W}]+[^\n]*[^\n{W}]"), 1)
-    counts = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.struct(n.alias("n"), F.size(F.filter(heads, lambda h: F.length(h) == n)).alias("k")))
-    least = lambda k: F.array_min(F.transform(F.filter(counts, lambda x: x["k"] >= k), lambda x: x["n"]))
-    level = F.coalesce(least(2), least(1))
+    return bound(without_front_matter(plain_lines(c)), lambda body: bound(parted(body), lambda pieces: bound(_cut_level(pieces), lambda level: _sections(body, pieces, level))))
+
+
+def _cut_level(pieces: Column) -> Column:
+    heads = F.regexp_extract_all(outside(pieces), F.lit(rf"(?m)^[{W}]*(#{{1,6}})[{W}]+[^\n]*[^\n{W}]"), 1)
+    counts = bound(F.transform(heads, F.length), lambda sizes: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.size(F.filter(sizes, lambda h: h == n))))
+    # the least level with so many headings; array_position is 0 without one
+    return bound(counts, lambda k: F.coalesce(*[F.nullif(F.array_position(F.transform(k, lambda x: x >= least), F.lit(True)), F.lit(0)) for least in (2, 1)]))
+
+
+def _sections(body: Column, pieces: Column, level: Column) -> Column:
     cut_at = F.concat(F.lit(rf"(?m)^([{W}]*#{{"), level.cast("string"), F.lit(rf"}}[{W}]+[^\n]*[^\n{W}])"))
-    cut = on_outside(parted(body), lambda p: F.regexp_replace(p, cut_at, F.lit(f"{CUT}$1")))
+    cut = on_outside(pieces, lambda p: F.regexp_replace(p, cut_at, F.lit(f"{CUT}$1")))
     made = F.transform(F.split(cut, CUT), lambda s, i: F.struct(
         F.when(i == 0, "（篇首）").otherwise(F.regexp_extract(s, rf"\A[{W}]*#{{1,6}}[{W}]+([^\n]*[^\n{W}])", 1)).alias("name"),
         F.regexp_replace(s, r"\n\z", "").alias("body"),
@@ -143,7 +142,7 @@ _OPEN, _CLOSE, _END = (re.escape(s) for s in (dims.OPENERS, dims.CLOSERS, dims.S
 #: an opening or a closing sign, a straight quote.
 _SIGNS = re.compile(rf"(?P<end>[{_END}]+)(?P<after>[{_CLOSE}]*)|(?P<open>[{_OPEN}]+)|(?P<close>[{_CLOSE}]+)|\"")
 _LETTERS = re.compile(r"[A-Za-z]{1,12}\Z")
-_CITED = [re.compile(p) for p in (AUTHOR_YEAR, NUMERIC)]
+_CITED = [re.compile(p) for p in (dims.CITED_BY_YEAR, dims.CITED_BY_NUMBER)]
 
 
 def _stops(text: str, at: int) -> bool:

@@ -1,8 +1,8 @@
-"""References as people write them: parsing and format rules, as column expressions."""
+"""References as people write them: parsing, a step at a time, and format rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
@@ -16,7 +16,8 @@ _TITLE_ENDS = " .,，"
 #: Full-width marks that a reference writes half-width.
 FULL_WIDTH = "。，；：！？（）、"
 
-PARSED = "struct<doi:string,title:string,authors:array<string>,year:int,venue:string,type:string,raw_text:string,parse_status:string>"
+#: Fields of a parsed reference.
+PARSED = ("doi", "title", "authors", "year", "venue", "type", "raw_text", "parse_status")
 
 
 def _strip(c: Column, signs: str) -> Column:
@@ -37,43 +38,38 @@ def is_bib(c: Column) -> Column:
 def doi_of(c: Column) -> Column:
     """The first DOI of a text; marks behind it and brackets that it did not open go."""
     raw = F.regexp_replace(F.regexp_extract(c, _DOI, 0), "[.,;:]+$", "")
-    spare = F.length(F.regexp_replace(raw, r"[^)]", "")) - F.length(F.regexp_replace(raw, r"[^(]", ""))
-    shorter = lambda x, _: F.when(x.endswith(")") & (F.regexp_count(x, F.lit(r"\)")) > F.regexp_count(x, F.lit(r"\("))), F.regexp_replace(x, r"\)[.,;:]*$|[.,;:]+$", "")).otherwise(x)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), spare))
-    closed = F.aggregate(steps, raw, lambda x, i: F.regexp_replace(shorter(x, i), "[.,;:]+$", ""))
-    return I.blank_to_null(closed)
-
-
-def _parsed(doi: Column, title: Column, authors: Column, year: Column, venue: Column, kind: Column, raw: Column) -> Column:
-    known = doi.isNotNull() | title.isNotNull()
-    return F.struct(
-        doi.alias("doi"), title.alias("title"), F.coalesce(authors, F.array()).cast("array<string>").alias("authors"), year.cast("int").alias("year"),
-        venue.cast("string").alias("venue"), kind.cast("string").alias("type"), raw.alias("raw_text"), F.when(known, "ok").otherwise("unparsed").alias("parse_status"),
-    )
+    more = lambda x: F.regexp_count(x, F.lit(r"\)")) - F.regexp_count(x, F.lit(r"\("))
+    shorter = lambda x: F.when(x.endswith(")") & (more(x) > 0), F.regexp_replace(x, r"\)[.,;:]*$|[.,;:]+$", "")).otherwise(x)
+    closed = lambda r: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), more(r))), r, lambda x, _: F.regexp_replace(shorter(x), "[.,;:]+$", ""))
+    return I.blank_to_null(X.bound(raw, closed))
 
 
-def free_line(line: Column) -> Column:
-    """A line in a numbered or author-year style.
+def _with_line(rows: DataFrame) -> DataFrame:
+    """Adds what a line (`_line`) in a numbered or author-year style says, a step at a time.
 
     Authors stand before a bracketed year if there is one, else before the first dot that
     ends a word; the title comes next, up to a type tag or a dot.
     """
-    null = F.lit(None).cast("string")
-    body = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(line), r"^\s*\[[0-9]+\]\s*", "")), _DOI, ""))
-    year_mark = rf"[（(]\s*{_YEARS}[a-z]?\s*[）)]\s*\.?\s*"
-    marked, dot = _cut(body, year_mark), _cut(body, r"\.(?=[ \n]|\z)")
+    line, body, head, rest, marked, dot = (F.col(f"_{n}") for n in ("line", "body", "head", "rest", "marked", "dot"))
+    year_mark, word_end = rf"[（(]\s*{_YEARS}[a-z]?\s*[）)]\s*\.?\s*", r"\.(?=[ \n]|\z)"
     by_year, by_dot = F.coalesce(marked > 1, F.lit(False)), F.coalesce(dot > 1, F.lit(False))
-    head = F.when(by_year, _strip(F.substring(body, F.lit(1), marked - 1), _TITLE_ENDS)).when(by_dot, _strip(F.substring(body, F.lit(1), dot - 1), " ,，"))
-    room = F.when(by_year, 300).otherwise(80)
-    authors = F.when((head != "") & ~head.rlike(r"^[0-9]") & (F.length(head) < room), F.array(head))
     behind = F.when(by_year, F.trim(F.substring(body, marked + F.length(F.regexp_extract(body, year_mark, 0)), F.length(body))))
     behind = behind.when(by_dot, F.trim(F.substring(body, dot + 1, F.length(body)))).otherwise(body)
-    rest = _strip(F.regexp_replace(behind, rf"(?<![0-9]){_YEARS}(?![0-9])", ""), " .,，()")
-    tag, stop = _cut(rest, _TAG), _cut(rest, r"\.(?=[ \n]|\z)")
+    named = F.when((head != "") & ~head.rlike(r"^[0-9]") & (F.length(head) < F.when(by_year, 300).otherwise(80)), F.array(head))
+    tag, stop = F.col("_tag"), F.col("_stop")
     upto = F.when(tag.isNotNull(), tag).when(stop > 1, stop).otherwise(F.length(rest) + 1)
-    title = _strip(F.substring(rest, F.lit(1), upto - 1), _TITLE_ENDS)
-    title = F.when(X.valid_title(title), title)
-    return _parsed(doi_of(line), title, authors, I.reference_year(line), null, I.blank_to_null(F.regexp_extract(line, _TAG, 0)), line)
+    steps = [
+        {"_body": F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(line), r"^\s*\[[0-9]+\]\s*", "")), _DOI, ""))},
+        {"_marked": _cut(body, year_mark), "_dot": _cut(body, word_end)},
+        {"_head": F.when(by_year, _strip(F.substring(body, F.lit(1), marked - 1), _TITLE_ENDS)).when(by_dot, _strip(F.substring(body, F.lit(1), dot - 1), " ,，")), "_behind": behind},
+        {"_authors": named, "_rest": _strip(F.regexp_replace("_behind", rf"(?<![0-9]){_YEARS}(?![0-9])", ""), " .,，()")},
+        {"_tag": _cut(rest, _TAG), "_stop": _cut(rest, word_end)},
+        {"_title": _strip(F.substring(rest, F.lit(1), upto - 1), _TITLE_ENDS)},
+        {"_title": F.when(X.valid_title(F.col("_title")), F.col("_title")), "_type": I.blank_to_null(F.regexp_extract(line, _TAG, 0))},
+    ]
+    for s in steps:
+        rows = rows.withColumns(s)
+    return rows
 
 
 def bib_entries(c: Column) -> Column:
@@ -85,35 +81,53 @@ def bib_entries(c: Column) -> Column:
 _FIELD = r"(?s)(\w+)\s*=\s*(?:\{(.*?)\}|\"(.*?)\")"
 
 
-def bib_entry(entry: Column) -> Column:
-    """One entry; of fields that repeat the first counts."""
-    names = F.transform(F.regexp_extract_all(entry, F.lit(_FIELD), 1), F.lower)
-    braced, quoted = (F.regexp_extract_all(entry, F.lit(_FIELD), k) for k in (2, 3))
-    field = lambda n: F.trim(F.concat(F.get(braced, (F.array_position(names, n) - 1).cast("int")), F.get(quoted, (F.array_position(names, n) - 1).cast("int"))))
-    given = lambda n: I.blank_to_null(F.when(F.array_contains(names, n), field(n)))
-    authors = F.filter(F.transform(F.split(given("author"), r"\s+and\s+"), lambda x: F.trim(x)), lambda a: a != "")
-    year = F.when(given("year").rlike(r"^[0-9]+$"), given("year").try_cast("int")).otherwise(I.reference_year(given("year")))
-    return _parsed(given("doi"), given("title"), authors, year, F.coalesce(given("journal"), given("booktitle")), F.lit(None), entry)
+def _with_entry(rows: DataFrame) -> DataFrame:
+    """Adds the fields of a BibTeX entry (`_entry`) as columns; of fields that repeat the first counts."""
+    entry, names = F.col("_entry"), F.col("_names")
+    rows = rows.withColumns({"_names": F.transform(F.regexp_extract_all(entry, F.lit(_FIELD), 1), F.lower), **{f"_value{k}": F.regexp_extract_all(entry, F.lit(_FIELD), k) for k in (2, 3)}})
+    at = lambda n: (F.array_position(names, n) - 1).cast("int")
+    value = lambda n: F.trim(F.concat(F.get("_value2", at(n)), F.get("_value3", at(n))))
+    wanted = ("doi", "title", "author", "year", "journal", "booktitle")
+    return rows.withColumns({f"_b_{n}": I.blank_to_null(F.when(F.array_contains(names, n), value(n))) for n in wanted})
+
+
+def units(c: Column) -> Column:
+    """What a text is parsed as, [{kind, token}]: BibTeX entries (bib) if it has some, a line each
+    (line) if it has several, else the whole (single)."""
+    each = lambda tokens, kind: F.transform(tokens, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token")))
+
+    def cut(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+        by_line = X.bound(lines, lambda ls: F.when(F.size(ls) > 1, each(ls, "line")).otherwise(each(F.array(t), "single")))
+        whole = X.bound(bib_entries(t), lambda e: F.when(is_bib(t) & (F.size(e) > 0), each(e, "bib")).otherwise(by_line))
+        return F.when(t != "", whole)
 
+    return X.bound(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""), cut)
 
-def single(token: Column) -> Column:
-    """One reference: a bare DOI, one BibTeX entry, or a line."""
-    t = F.trim(F.regexp_replace(token, r"^\s+|\s+$", ""))
-    doi, null = doi_of(t), F.lit(None).cast("string")
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """`rows` (kind and token, see `units`) with the fields of PARSED in their place.
+
+    A step adds a few columns and the next reads them, so no expression holds another twice.
+    """
+    own = [c for c in rows.columns if c not in ("kind", "token")]
+    t, doi, kind, entry = F.col("_t"), F.col("_doi"), F.col("_kind"), F.col("_entry")
+    single = F.col("kind") == "single"
+    r = rows.withColumn("_t", F.when(single, F.trim(F.regexp_replace("token", r"^\s+|\s+$", ""))).otherwise(F.col("token")))
+    r = r.withColumn("_doi", F.when(F.col("kind") != "bib", doi_of(t)))
     bare = doi.isNotNull() & (F.lower(_strip(t, ".,;) ")) == F.lower(doi))
-    failed = _parsed(null, null, F.lit(None), F.lit(None), null, null, t)
-    bib = F.coalesce(F.get(F.transform(bib_entries(t), bib_entry), 0), failed)
-    return F.when(t == "", failed).when(bare, _parsed(doi, null, F.lit(None), F.lit(None), null, null, t)).when(t.rlike("^" + _ENTRY), bib).otherwise(free_line(t))
-
-
-def parse(c: Column) -> Column:
-    """The references of a text: BibTeX if it has entries, else a line each."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
-    entries = F.transform(bib_entries(t), bib_entry)
-    lines = F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
-    by_line = F.when(F.size(lines) > 1, F.transform(lines, free_line)).otherwise(F.array(single(t)))
-    none = F.array().cast(f"array<{PARSED}>")
-    return F.when(t == "", none).when(is_bib(t) & (F.size(entries) > 0), entries).otherwise(by_line)
+    r = r.withColumn("_kind", F.when(single, F.when(t == "", "none").when(bare, "doi").when(t.rlike("^" + _ENTRY), "bib").otherwise("line")).otherwise(F.col("kind")))
+    r = r.withColumns({"_entry": F.when(kind == "bib", F.when(single, F.get(bib_entries(t), 0)).otherwise(t)), "_line": F.when(kind == "line", t)})
+    r = _with_entry(_with_line(r))
+    year = F.when(F.col("_b_year").rlike(r"^[0-9]+$"), F.col("_b_year").try_cast("int")).otherwise(I.reference_year(F.col("_b_year")))
+    authors = F.filter(F.transform(F.split("_b_author", r"\s+and\s+"), lambda x: F.trim(x)), lambda a: a != "")
+    pick = lambda bib, line: F.when(kind == "bib", bib).when(kind == "line", line)
+    r = r.select(
+        *own, F.when(kind == "bib", F.col("_b_doi")).when(kind != "none", doi).alias("doi"), pick(F.col("_b_title"), F.col("_title")).alias("title"),
+        F.coalesce(pick(authors, F.col("_authors")), F.array().cast("array<string>")).alias("authors"), pick(year, I.reference_year(F.col("_line"))).cast("int").alias("year"),
+        F.when(kind == "bib", F.coalesce("_b_journal", "_b_booktitle")).alias("venue"), F.col("_type").alias("type"), F.coalesce(entry, t).alias("raw_text"),
+    )
+    return r.withColumn("parse_status", F.when(F.col("doi").isNotNull() | F.col("title").isNotNull(), "ok").otherwise("unparsed"))
 
 
 def format_issues(raw: Column, authors: Column) -> Column:

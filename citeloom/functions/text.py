@@ -10,6 +10,11 @@ from citeloom.model import dims
 CJK = r"[㐀-䶿一-鿿豈-﫿]"
 
 
+def bound(c: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def folded(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

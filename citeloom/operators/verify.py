@@ -201,8 +201,8 @@ def batch_stats(queries: DataFrame) -> DataFrame:
 
 def parse_references(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The references of each text, numbered from r1, in the order they stand."""
-    rows = texts.select(key, F.posexplode(R.parse(F.col(text))).alias("at", "r"))
-    return rows.select(key, F.concat(F.lit("r"), (F.col("at") + 1).cast("string")).alias("ref_id"), "r.*")
+    rows = texts.select(key, F.posexplode(R.units(F.col(text))).alias("at", "u"))
+    return R.parsed(rows.select(key, F.concat(F.lit("r"), (F.col("at") + 1).cast("string")).alias("ref_id"), "u.*"))
 
 
 def check_format(refs: DataFrame, key: list[str] | None = None) -> DataFrame:

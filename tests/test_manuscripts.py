@@ -1,9 +1,12 @@
 """Manuscript text against its rules, case by case."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import markdown as M
+from citeloom.functions import spans
 from citeloom.operators import manuscripts as O
 
 
@@ -69,11 +72,37 @@ def test_gap_marks(on):
 
 
 def test_words_and_terms(spark, on):
-    words = on(lambda c: O.word_counts(c, ("本文", "值得注意的是", "是"), ("本文献",)), "值得注意的是，本文献与本文都是好的")
-    assert {w.word: w.n for w in words} == {"值得注意的是": 1, "本文": 1, "是": 1}
+    count = spans.counter({"a": (("本文", "值得注意的是", "是"), ("本文献",)), "b": (("本文献",), ())})
+    words = on(lambda c: count(c), "值得注意的是，本文献与本文都是好的")
+    assert [(w.word, w.n) for w in words.a] == [("值得注意的是", 1), ("本文", 1), ("是", 1)] and [(w.word, w.n) for w in words.b] == [("本文献", 1)]
     text = "卷积神经网络很好。卷积神经网络很强。卷积神经网络的用处。研究研究研究。神经，神经。"
-    rows = O.term_counts(spark.createDataFrame([(1, text)], "doc_id int, text string"), ["doc_id"]).orderBy("place").collect()
+    texts = spark.createDataFrame([(1, text), (2, "AB BCD ABC")], "doc_id int, text string")
+    rows = O.listed_terms(O.likely_terms(texts, ["doc_id"]), ["doc_id"]).orderBy("place").collect()
     assert [(r.term, r.n) for r in rows] == [("卷积神经网络", 3), ("神经", 5)]
+    glossary = spark.createDataFrame([(2, "AB"), (2, "BCD"), (2, "ABC"), (2, ""), (3, "x")], "doc_id int, term string")
+    exact = O.listed_terms(O.glossary_terms(texts, glossary, ["doc_id"]), ["doc_id"]).collect()
+    assert [(r.doc_id, r.term, r.n) for r in exact] == [(2, "ABC", 1), (2, "BCD", 1), (2, "AB", 1)]
+
+
+def chained(text, words, mask):
+    """The longest word first, each place blanked before the next word is counted."""
+    for m in sorted(mask, key=len, reverse=True):
+        text = text.replace(m, "\0" * len(m))
+    out = {}
+    for w in sorted(words, key=len, reverse=True):
+        if n := text.count(w):
+            out[w] = n
+            text = text.replace(w, "\0" * len(w))
+    return out
+
+
+def test_one_pass_counts_as_a_chain_of_replacements_does():
+    rnd = random.Random(2)
+    for _ in range(400):
+        words = tuple({"".join(rnd.choices("abc", k=rnd.randint(1, 5))) for _ in range(rnd.randint(1, 8))})
+        mask = tuple({"".join(rnd.choices("abc", k=rnd.randint(2, 4))) for _ in range(rnd.randint(0, 2))} - set(words))
+        text = "".join(rnd.choices("abc ", k=60))
+        assert {x["word"]: x["n"] for x in spans.Lists({"w": (words, mask)}).count(text)["w"]} == chained(text, words, mask)
 
 
 def test_anchor_scan(spark):

@@ -166,7 +166,7 @@ def coverage(attempts: DataFrame, scholar_key: bool = False) -> DataFrame:
     )
     outcome = F.when(F.col("calls").isNull(), "n/a").when(F.col("errors") == F.col("calls"), "error").when(F.col("hit_count") == 0, "empty")
     outcome = outcome.when((F.col("source") == "semantic_scholar") & F.lit(not scholar_key), "degraded").otherwise("ok")
-    return known.join(F.broadcast(seen), "source", "left").withColumn("outcome", outcome)
+    return known.join(seen, "source", "left").withColumn("outcome", outcome)
 
 
 def network_status(covered: DataFrame, core_only: bool = True) -> DataFrame:

@@ -77,7 +77,7 @@ def doi_meta_hits(spark, sf_dir):
     return _flat(P.doi_meta(view(spark, sf_dir, "v_csl")))
 
 
-@query("arxiv_hits", f"""WITH p AS (SELECT DISTINCT p_size AS id, p_size AS k FROM part), e AS (SELECT *, 0 AS place FROM p UNION ALL SELECT *, 1 FROM p)
+@query("arxiv_hits", f"""WITH p AS (SELECT p_partkey AS id, p_size AS k FROM part), e AS (SELECT *, 0 AS place FROM p UNION ALL SELECT *, 1 FROM p)
     SELECT id, place::INT AS place, CASE WHEN place = 1 THEN '2001.1' ELSE '1706.0' || k END AS arxiv_id, CASE WHEN place = 0 THEN 'cs.CL' END AS category, {_said(title="CASE WHEN place = 1 THEN 'Second' ELSE 'Size ' || k END", authors="CASE WHEN place = 0 THEN 'Ann Lee;Bo' ELSE '' END",
     year="CASE WHEN place = 0 THEN CASE WHEN k % 4 = 0 THEN 2017 ELSE 2000 + k END END::INT", date="CASE WHEN place = 0 AND k % 4 <> 0 THEN '20' || lpad(k::VARCHAR, 2, '0') || '-06-12' END", doi="CASE WHEN place = 0 AND k % 2 = 0 THEN '10.5555/arx' END", type="'preprint'",
     abstract="CASE WHEN place = 0 THEN 'Two lines' END", details="''", oa_status="'green'", oa_host="'preprint'", oa_version="'submittedVersion'", oa_url="CASE WHEN place = 1 THEN 'http://arxiv.org/abs/2001.1v1' WHEN k % 3 = 0 THEN 'http://arxiv.org/pdf/x' ELSE 'http://arxiv.org/abs/1706.0' || k || 'v5' END",
@@ -106,7 +106,7 @@ def referenced_works(spark, sf_dir):
     return P.referenced(view(spark, sf_dir, "v_openalex"))
 
 
-@query("edge_papers", "SELECT DISTINCT p_size AS id, place::INT AS place, CASE WHEN place = 1 THEN 'T' || p_size ELSE 'U' END AS title FROM part, (VALUES (1), (3)) r(place)")
+@query("edge_papers", "SELECT p_partkey AS id, place::INT AS place, CASE WHEN place = 1 THEN 'T' || p_size ELSE 'U' END AS title FROM part, (VALUES (1), (3)) r(place)")
 def edge_papers(spark, sf_dir):
     """Papers at the ends of edges; stubs go."""
     ends = P.edge_papers(view(spark, sf_dir, "v_edges_page"), "citedPaper")
@@ -232,8 +232,7 @@ def import_ris(spark, sf_dir):
 @query("import_warnings", "SELECT 2 * count(*) AS parsed, count(*) AS marked, (SELECT '知网 ' || p_brand FROM part ORDER BY p_partkey::VARCHAR LIMIT 1) AS first_marked, 2 * count(*) AS without_doi FROM part")
 def import_warnings(spark, sf_dir):
     """What a reader of imported rows must see."""
-    x = _ris(spark, sf_dir).withColumn("seq", F.lit(0))
-    return E.import_warnings(x)
+    return E.import_warnings(_ris(spark, sf_dir))
 
 
 @query("import_union", f"""{duck('v_hits')}, h AS (SELECT DISTINCT lower(trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS t FROM v_hits)
@@ -241,7 +240,8 @@ def import_warnings(spark, sf_dir):
     UNION ALL SELECT 'title:知网 ' || lower(replace(p_brand, '#', '')), count(*), 'cnki' FROM part GROUP BY 1""")
 def import_union(spark, sf_dir):
     """Imported rows united with hits and fused: the works that only the import knows."""
-    rows = E.to_results(_ris(spark, sf_dir), "cnki").withColumn("ord", F.expr("uuid()"))
+    # a row's place in its file is its arrival, the same whenever it is worked out
+    rows = E.to_results(_ris(spark, sf_dir), "cnki").withColumn("ord", F.concat_ws(":", "file", F.lpad(F.col("seq").cast("string"), 10, "0")))
     hits = view(spark, sf_dir, "v_hits").select("ord", "source", "doi", "title", "year", "venue", "type", "cited_by_count", "abstract", "oa_status", "oa_url", "oa_version")
     both = rows.select(*hits.columns).unionByName(hits)
     return W.fuse(both).filter("primary_source = 'cnki'").select("key", "n_hits", "primary_source")
@@ -260,6 +260,7 @@ def import_ledger(spark, sf_dir):
 _REFS = f"""WITH p AS ({_PART}), r AS (
     SELECT id, 'r1' AS ref_id, NULL AS doi, 'A study of ' || n AS title, l || ', ' || f AS authors, 1990 + k AS year, NULL AS venue, '[J]' AS type, 'ok' AS parse_status FROM p WHERE k % 4 = 0
     UNION ALL SELECT id, 'r2', NULL, 'The ' || t || ' book', l || ' A, B, C, D', 2019, NULL, NULL, 'ok' FROM p WHERE k % 4 = 0
+    UNION ALL SELECT id, 'r3', NULL, 'On ' || n, l, 2018, NULL, '[J/OL]', 'ok' FROM p WHERE k % 4 = 0 UNION ALL SELECT id, 'r4', NULL, 'Of ' || n, l, 2017, NULL, '[J]', 'ok' FROM p WHERE k % 4 = 0
     UNION ALL SELECT id, 'r1', '10.5555/S(' || id || ')9-0', 'About ' || n, l || ', A. J., & Murch, S', 1950 + k, NULL, NULL, 'ok' FROM p WHERE k % 4 = 1
     UNION ALL SELECT id, 'r2', NULL, NULL, '', NULL, NULL, NULL, 'unparsed' FROM p WHERE k % 4 = 1
     UNION ALL SELECT id, 'r1', '10.5555/p' || id, NULL, '', NULL, NULL, NULL, 'ok' FROM p WHERE k % 4 = 2
@@ -275,7 +276,8 @@ def parse_references(spark, sf_dir):
 
 
 @query("format_issues", f"""{_REFS} SELECT id AS doc_id, ref_id, 'type_tag' AS category, '' AS signs FROM r WHERE type IS NULL UNION ALL SELECT id, ref_id, 'punctuation', '。' FROM r JOIN p USING (id) WHERE k % 4 = 1 AND ref_id = 'r1'
-    UNION ALL SELECT id, ref_id, 'authors', '' FROM r WHERE len(string_split(authors, ',')) >= 4""")
+    UNION ALL SELECT id, ref_id, 'authors', '' FROM r WHERE len(string_split(authors, ',')) >= 4
+    UNION ALL SELECT id, ref_id, 'eb_ol', '' FROM r WHERE type = '[J/OL]' UNION ALL SELECT id, ref_id, 'pages', '' FROM r WHERE type = '[J]' AND ref_id = 'r4'""")
 def format_issues(spark, sf_dir):
     """Format rules that the references of all lists break."""
     return V.check_format(V.parse_references(view(spark, sf_dir, "v_reflists")), ["doc_id", "ref_id"])

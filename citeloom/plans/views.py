@@ -132,8 +132,8 @@ VIEWS = {
             '"authors":[{{{{"name":"', {_FIRST}, ' ', {_LAST}, '"}}}},{{{{"name":""}}}}],"publicationTypes":', CASE WHEN p_size % 4 = 0 THEN 'null' ELSE '["JournalArticle","Review"]' END, ',"citationCount":', CASE WHEN p_size % 5 = 0 THEN 'null' ELSE cast(p_size as string) END, ',"abstract":""}}}}') AS payload
         FROM {{part}}""",
     "v_edges_page": """
-        SELECT p_size AS id, concat('{{"data":[{{"citedPaper":{{"paperId":null}}}},{{"citedPaper":{{"title":"T', cast(p_size as string), '","year":2001}}}},{{"citedPaper":{{"title":""}}}},{{"citedPaper":{{"title":"U"}}}}]}}') AS payload
-        FROM {part} GROUP BY p_size""",
+        SELECT p_partkey AS id, concat('{{"data":[{{"citedPaper":{{"paperId":null}}}},{{"citedPaper":{{"title":"T', cast(p_size as string), '","year":2001}}}},{{"citedPaper":{{"title":""}}}},{{"citedPaper":{{"title":"U"}}}}]}}') AS payload
+        FROM {part}""",
     "v_eric": f"""
         SELECT p_partkey AS id, concat('{{{{"title":"', p_name, '","author":["', {_LAST}, ', ', {_FIRST}, '"],"publicationdateyear":', cast(1990 + p_size % 30 as string), ',"publication":"', p_type, '"', CASE WHEN p_size % 2 = 0 THEN ',"publicationtype":["Journal Articles","Reports"]' ELSE '' END, '}}}}') AS payload
         FROM {{part}}""",
@@ -142,10 +142,10 @@ VIEWS = {
             '"author":[{{{{"given":"宋长青"}}}},{{{{"literal":"A Group"}}}},{{{{"given":"', {_FIRST}, '","family":"', {_LAST}, '"}}}}],"issued":{{{{"date-parts":[[', CASE p_size % 3 WHEN 0 THEN '"2015"' WHEN 1 THEN '2016' ELSE '"n.d."' END, ']]}}}},"abstract":"<p id=C2>x &lt; ', p_name, '</p>"}}}}') AS payload
         FROM {{part}}""",
     "v_atom": f"""
-        SELECT p_size AS id, concat('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/1706.0', cast(p_size as string), 'v5</id><title>Size ', cast(p_size as string), '</title><summary>  Two', {_NL}, '   lines </summary>',
+        SELECT p_partkey AS id, concat('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/1706.0', cast(p_size as string), 'v5</id><title>Size ', cast(p_size as string), '</title><summary>  Two', {_NL}, '   lines </summary>',
             '<published>', CASE WHEN p_size % 4 = 0 THEN '2017' ELSE concat('20', lpad(cast(p_size as string), 2, '0'), '-06-12T17:57:34Z') END, '</published><author><name>Ann Lee</name></author><author><name> Bo </name></author>', CASE WHEN p_size % 2 = 0 THEN '<arxiv:doi>10.5555/ARX</arxiv:doi>' ELSE '' END,
             CASE WHEN p_size % 3 = 0 THEN '<link title="pdf" href="http://arxiv.org/pdf/x" rel="related"/>' ELSE '<link href="http://arxiv.org/abs/x" rel="alternate"/>' END, '<arxiv:primary_category term="cs.CL"/></entry><entry><id>http://arxiv.org/abs/2001.1v1</id><title>Second</title></entry></feed>') AS payload
-        FROM {{part}} GROUP BY p_size""",
+        FROM {{part}}""",
     "v_pubmed": f"""
         SELECT p_partkey AS id, concat('{{{{"result":{{{{"uids":["', cast(p_partkey as string), '"],"', cast(p_partkey as string), '":{{{{"title":"', p_name, '","authors":[{{{{"name":"', {_LAST}, ' AJ"}}}}],"pubdate":"', CASE WHEN p_size % 4 = 0 THEN 'Spring' ELSE concat(cast(1990 + p_size % 30 as string), ' Jul') END, '","fulljournalname":"', p_type, '",',
             '"articleids":[', CASE WHEN p_size % 2 = 0 THEN concat('{{{{"idtype":"doi","value":"10.5555/P', cast(p_partkey as string), '"}}}},') ELSE '' END, CASE WHEN p_size % 3 = 0 THEN '{{{{"idtype":"pmc","value":"PMC77"}}}},' ELSE '' END, '{{{{"idtype":"pmcid","value":"pmc-id: PMC77;"}}}}],"pubtype":["Clinical Trial"', CASE WHEN p_size % 7 = 0 THEN ',"Retracted Publication"' ELSE '' END, ']}}}}}}}}}}}}') AS payload
@@ -175,7 +175,7 @@ VIEWS = {
         FROM {{part}}""",
     "v_reflists": f"""
         SELECT p_partkey AS doc_id, CASE p_size % 4
-            WHEN 0 THEN concat('[1] ', {_LAST}, ', ', {_FIRST}, '. A study of ', p_name, '[J]. Journal, ', cast(1990 + p_size as string), ', 1(2): 3-9.', {_NL}, '[2] ', {_LAST}, ' A, B, C, D. The ', p_type, ' book. 2019.')
+            WHEN 0 THEN concat('[1] ', {_LAST}, ', ', {_FIRST}, '. A study of ', p_name, '[J]. Journal, ', cast(1990 + p_size as string), ', 1(2): 3-9.', {_NL}, '[2] ', {_LAST}, ' A, B, C, D. The ', p_type, ' book. 2019.', {_NL}, '[3] ', {_LAST}, '. On ', p_name, '[J/OL]. Web, 2018.', {_NL}, '[4] ', {_LAST}, '. Of ', p_name, '[J]. Press, 2017.')
             WHEN 1 THEN concat({_LAST}, ', A. J., & Murch, S. (', cast(1950 + p_size as string), 'b). About ', p_name, '. Lancet。 https://doi.org/10.5555/S(', cast(p_partkey as string), ')9-0.', {_NL}, '12')
             WHEN 2 THEN concat('10.5555/p', cast(p_partkey as string), '.')
             ELSE concat('@article{{{{k, title={{{{On ', p_name, '}}}}, author={{{{', {_LAST}, ' and Li Wei}}}}, year="', cast(1990 + p_size as string), '", doi={{{{10.5555/b', cast(p_partkey as string), '}}}}, journal={{{{', p_type, '}}}}}}}} @misc{{{{z, note={{{{n}}}}}}}}') END AS text

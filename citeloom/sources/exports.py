@@ -130,7 +130,7 @@ def parse_ris(files: DataFrame) -> DataFrame:
     keywords repeat, of other fields the last counts. Records without a title are told."""
     field = r"(?m)^([A-Z][A-Z0-9])  ?-[ \t]?(.*)$"
     records = F.split(_ris_text(F.col("text")), r"(?m)^(?=TY  ?-)|^ER  ?-.*$")
-    rec = files.select("file", F.explode(F.filter(records, lambda r: r.rlike(field))).alias("rec"))
+    rec = files.select("file", F.posexplode(F.filter(records, lambda r: r.rlike(field))).alias("seq", "rec"))
     pair = lambda g: F.regexp_extract_all("rec", F.lit(field), g)
     named = F.zip_with(pair(1), pair(2), lambda t, v: F.struct(I.lookup(t, dims.RIS_FIELD, "").alias("k"), F.trim(v).alias("v"), t.alias("t")))
     out = rec.withColumn("_p", named)
@@ -138,7 +138,7 @@ def parse_ris(files: DataFrame) -> DataFrame:
     of = lambda k: F.transform(F.filter("_p", lambda p: p["k"] == k), lambda p: p["v"])
     joined = F.transform(names, lambda k: F.struct(k.alias("key"), F.when(k.isin("author", "keyword"), F.array_join(of(k), " and ")).otherwise(F.element_at(of(k), -1)).alias("value")))
     kind = F.coalesce(F.upper(F.get(F.filter("_p", lambda p: p["t"] == "TY"), 0)["v"]), F.lit(""))
-    out = out.select("file", kind.alias("kind"), F.map_from_entries(joined).alias("fields")).filter(F.size("fields") > 0)
+    out = out.select("file", "seq", kind.alias("kind"), F.map_from_entries(joined).alias("fields")).filter(F.size("fields") > 0)
     return out.withColumn("problem", F.when(F.coalesce(F.try_element_at("fields", F.lit("title")), F.lit("")) == "", "no title"))
 
 
@@ -161,8 +161,9 @@ def to_results(exported: DataFrame, source: str) -> DataFrame:
     """Export rows in the shape of hits, so that they can be united with them and fused. An
     export tells no day, retraction or openness: these are null, which is not "none"."""
     null = F.lit(None)
+    keys = [c for c in ("file", "seq") if c in exported.columns]
     return exported.select(
-        "title", "authors", "year", null.cast("date").alias("date"), "venue", "doi", "type", F.coalesce("url", I.doi_url(F.col("doi"))).alias("url"), "volume", "issue", "pages",
+        *keys, "title", "authors", "year", null.cast("date").alias("date"), "venue", "doi", "type", F.coalesce("url", I.doi_url(F.col("doi"))).alias("url"), "volume", "issue", "pages",
         F.lit(source).alias("source"), F.lit(False).alias("from_cache"), null.cast("string").alias("retraction"), null.cast("string").alias("oa_status"), null.cast("string").alias("oa_url"),
         null.cast("string").alias("oa_version"), null.cast("bigint").alias("cited_by_count"), null.cast("string").alias("abstract"), F.lit("user_export").alias("coverage_mode"),
     )

@@ -46,10 +46,12 @@ def report_head(c: Column) -> Column:
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
     title = F.trim(F.regexp_extract(t, r"\A\s*# ([^\n]*)", 1))
     below = F.regexp_replace(t, r"\A\s*# [^\n]*\n?", "")
-    rows = F.filter(F.split(F.regexp_extract(below, r"\A\s*((?:[ \t]*\|[^\n]*\|[ \t]*(?:\n|\z)){1,200})", 1), "\n"), lambda r: F.trim(r) != "")
+    lines = F.split(F.regexp_replace(below, r"\A\s*", ""), "\n")
+    leave = lambda ls: F.array_position(F.transform(ls, lambda r: ~r.rlike(r"\A[ \t]*\|.*\|[ \t]*\z")), F.lit(True))  # noqa: E731  the first line that is none of the table
+    rows = X.bound(lines, lambda ls: X.bound(leave(ls), lambda k: F.slice(ls, F.lit(1), F.when(k > 0, k - 1).otherwise(F.size(ls)).cast("int"))))
     cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)))
     body = F.filter(cells, lambda x: ~F.array_join(x, "").rlike(r"^[-: ]+$"))
-    meta = F.transform(F.slice(body, 2, 1000), lambda x: F.struct(F.get(x, 0).alias("key"), F.get(x, 1).alias("value")))
+    meta = F.transform(F.slice(body, F.lit(2), F.size(body)), lambda x: F.struct(F.get(x, 0).alias("key"), F.get(x, 1).alias("value")))
     none = F.array().cast("array<struct<key:string,value:string>>")
     return F.struct(title.alias("title"), F.when(F.forall(body, lambda x: F.size(x) == 2) & (F.size(body) > 1), meta).otherwise(none).alias("meta"))
 

@@ -8,13 +8,13 @@ from citeloom.functions import markdown as M
 from citeloom.functions import spans
 from citeloom.functions import text as X
 from citeloom.functions.jats import clean_jats
+from citeloom.functions.markup import html_of
 from citeloom.model import dims
 from citeloom.operators import manuscripts as O
 from citeloom.plans import manuscript_sql as Q
 from citeloom.plans.views import duck, view
 from citeloom.registry import query
 from citeloom.session import ship
-from citeloom.sinks import reports
 from citeloom.sources import notes
 
 
@@ -270,11 +270,32 @@ def restore_abstract(spark, sf_dir):
     return index.select("doc_id", X.restore_abstract(F.col("index")).alias("abstract"))
 
 
-@query("html_blocks", f"""{duck('v_manuscripts')} SELECT doc_id, len(regexp_extract_all(text, '(?m)^#{{1,6}} ')) AS heads, len(regexp_extract_all(text, '(?m)^- ')) AS items, 0 AS raw_tags FROM v_manuscripts""")
+def _html_inline(c: str) -> str:
+    for sign, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = f"replace({c}, '{sign}', '{to}')"
+    for pattern, to in ((r"`([^`]+)`", r"<code>\1</code>"), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), (r"\[([^\]]*)\]\(((?:https?|mailto):[^)\s]*|[#./][^)\s]*)\)", r'<a href="\2">\1</a>'), (r"\[([^\]]*)\]\([^)]*\)", r"\1")):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return c
+
+
+_ROW_CELLS = "list_transform(string_split(regexp_replace(s, '^[|]+|[|]+$', '', 'g'), '|'), lambda x: '<{0}>' || " + _html_inline("trim(x)") + " || '</{0}>')"
+_HTML = f"""{duck('v_manuscripts')}, a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM v_manuscripts), b AS (SELECT *, trim(raw) AS s FROM a),
+    c AS (SELECT *, sum(starts_with(s, '```')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS f FROM b),
+    k AS (SELECT *, CASE WHEN starts_with(s, '```') THEN CASE WHEN f % 2 = 1 THEN 'open' ELSE 'shut' END WHEN f % 2 = 1 THEN 'code' WHEN starts_with(s, '>') THEN 'quote' WHEN regexp_matches(s, '^[|].*[|]$') THEN 'row' WHEN regexp_matches(s, '^[-*+]\\s') THEN 'item' ELSE 'alone' END AS kind FROM c),
+    n AS (SELECT *, coalesce(lag(kind) OVER w, '') AS before, coalesce(lead(kind) OVER w, '') AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    h AS (SELECT doc_id, i, CASE kind WHEN 'open' THEN '<pre><code>' WHEN 'shut' THEN '</code></pre>' WHEN 'code' THEN replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10)
+        WHEN 'quote' THEN CASE WHEN before <> 'quote' THEN '<blockquote>' ELSE '' END || '<p>' || {_html_inline("regexp_replace(s, '^> ?', '')")} || '</p>' || CASE WHEN after <> 'quote' THEN '</blockquote>' ELSE '' END
+        WHEN 'row' THEN CASE WHEN before <> 'row' THEN '<table><thead><tr>' || array_to_string({_ROW_CELLS.format('th')}, '') || '</tr></thead><tbody>' WHEN regexp_matches(s, '^[-|: ]+$') THEN '' ELSE '<tr>' || array_to_string({_ROW_CELLS.format('td')}, '') || '</tr>' END || CASE WHEN after <> 'row' THEN '</tbody></table>' ELSE '' END
+        WHEN 'item' THEN CASE WHEN before <> 'item' THEN '<ul>' ELSE '' END || '<li>' || {_html_inline("regexp_replace(s, '^[-*+]\\s+', '')")} || '</li>' || CASE WHEN after <> 'item' THEN '</ul>' ELSE '' END
+        ELSE CASE WHEN regexp_matches(s, '^#{{1,6}}\\s') THEN '<h' || length(regexp_extract(s, '^(#+)', 1)) || '>' || {_html_inline("regexp_replace(s, '^#+\\s+', '')")} || '</h' || length(regexp_extract(s, '^(#+)', 1)) || '>'
+            WHEN starts_with(s, '⚠') OR contains(s, '不等于') THEN '<div class="notice">' || {_html_inline('s')} || '</div>' WHEN s = '' OR starts_with(s, '---') THEN '' ELSE '<p>' || {_html_inline('s')} || '</p>' END END AS h FROM n)"""
+
+
+@query("html_blocks", f"{_HTML} SELECT doc_id, string_agg(h, '' ORDER BY i) AS html FROM h GROUP BY doc_id")
 def html_blocks(spark, sf_dir):
-    """Headings and items of all manuscripts as HTML, and tags that were not escaped."""
-    h = _papers(spark, sf_dir).select("doc_id", reports.html_blocks(F.col("text")).alias("h"))
-    return h.select("doc_id", F.regexp_count("h", F.lit("<h[1-6]>")).cast("long").alias("heads"), F.regexp_count("h", F.lit("<li>")).cast("long").alias("items"), F.regexp_count("h", F.lit("<!--")).alias("raw_tags"))
+    """All manuscripts as HTML."""
+    ship(spark)
+    return _papers(spark, sf_dir).select("doc_id", html_of("text").alias("html"))
 
 
 @query("tex_check", f"""{duck('v_manuscripts')}, t AS (SELECT doc_id, regexp_replace(text, '[^一-鿿]', '', 'g') AS a FROM v_manuscripts)

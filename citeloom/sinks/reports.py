@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
+from citeloom.functions.markup import SAFE_SCHEMES, html_of
 from citeloom.model import dims
 
 #: A state's sign and name in reports.
@@ -17,7 +18,6 @@ LABELS = {
     "VERIFIED": "✅ 已核实", "METADATA_MISMATCH": "⚠️ 元数据不符", "RETRACTED": "🚫 已撤稿", "NOT_FOUND": "❓ 未找到（疑似不存在）",
     "UNVERIFIED": "⏳ 无法核实", "PENDING_MANUAL": "🔍 待人工核对",
 }
-SAFE_SCHEMES = ("http", "https", "mailto")
 
 
 def payload(rows: DataFrame, out: str = "json") -> DataFrame:
@@ -91,27 +91,9 @@ def inline_html(c: Column) -> Column:
     return F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
 
 
-def html_blocks(c: Column) -> Column:
-    """The lines of a markdown text as HTML: headings, list items, quotes, table rows, paragraphs."""
-
-    def line(raw: Column) -> Column:
-        s = F.trim(raw)
-        level = F.length(F.regexp_extract(s, r"^(#{1,6})\s", 1)).cast("string")
-        body = lambda pattern: inline_html(F.regexp_replace(s, pattern, ""))
-        cells = F.transform(F.split(F.regexp_replace(s, r"^\||\|$", ""), r"\|"), lambda x: F.concat(F.lit("<td>"), inline_html(F.trim(x)), F.lit("</td>")))
-        return (
-            F.when(s.rlike(r"^#{1,6}\s"), F.concat(F.lit("<h"), level, F.lit(">"), body(r"^#{1,6}\s+"), F.lit("</h"), level, F.lit(">")))
-            .when(s.rlike(r"^\|[-:| ]+\|$"), "").when(s.rlike(r"^\|.*\|$"), F.concat(F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>")))
-            .when(s.rlike(r"^[-*+]\s"), F.concat(F.lit("<li>"), body(r"^[-*+]\s+"), F.lit("</li>"))).when(s.startswith(">"), F.concat(F.lit("<blockquote>"), body(r"^>\s*"), F.lit("</blockquote>")))
-            .when(s == "", "").otherwise(F.concat(F.lit("<p>"), inline_html(s), F.lit("</p>")))
-        )
-
-    return F.array_join(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), line), lambda x: x != ""), "\n")
-
-
 def html_report(judged: DataFrame) -> DataFrame:
     """(ref_id, html): each reference's block as HTML, for states that occur."""
-    return item_blocks(judged).select("ref_id", html_blocks(F.col("block")).alias("html"))
+    return item_blocks(judged).select("ref_id", html_of("block").alias("html"))
 
 
 _STEPS = (("识别：记录总数", "identified", "去重删除", "duplicates_removed"), ("标题摘要筛选", "after_dedup", "标题摘要阶段排除", "ta_excluded"), ("寻求全文", "sought", "全文不可得", "not_retrieved"), ("全文评估合格性", "ft_assessed", "全文阶段排除", "ft_excluded"), ("纳入综述", "included", None, None))

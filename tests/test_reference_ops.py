@@ -15,6 +15,7 @@ from citeloom.functions.jats import clean_abstract
 from citeloom.functions.references import doi_of
 from citeloom.sinks import reports as K
 from citeloom.sources import exports as E
+from citeloom.functions.markup import html_of, to_html
 from citeloom.sources import http as H
 
 SF = "/root/testdata/sf0.001"
@@ -143,10 +144,34 @@ def test_reports(spark, tmp_path):
     K.write_json(j, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 4
     assert one(spark, K.inline_html, "<b> **x** `c` [a](https://u) [z](javascript:y)") == ["&lt;b&gt; <strong>x</strong> <code>c</code> <a href=\"https://u\">a</a> z"]
-    assert one(spark, K.html_blocks, "# T\n- i\n> q\n| a | b |\n|---|---|\ntext") == ["<h1>T</h1>\n<li>i</li>\n<blockquote>q</blockquote>\n<tr><td>a</td><td>b</td></tr>\n<p>text</p>"]
+    whole = "<h1>T</h1><ul><li>i</li></ul><blockquote><p>q</p></blockquote><table><thead><tr><th>a</th><th>b</th></tr></thead><tbody></tbody></table><p>text</p>"
+    assert one(spark, html_of, "# T\n- i\n> q\n| a | b |\n|---|---|\ntext", None) == [whole, ""]
     assert K.html_report(j).count() == 4
 
 
+@pytest.mark.parametrize(
+    ("markdown", "html"),
+    [
+        ("- a\n  1. b\n  2) c\n    - d\n- e\n\nf", "<ul><li>a<ol><li>b</li><li>c<ul><li>d</li></ul></li></ol></li><li>e</li></ul><p>f</p>"),
+        ("- a\n1. b", "<ul><li>a</li></ul><ol><li>b</li></ol>"),
+        ("  - a\n- b", "<ul><li>a</li></ul><ul><li>b</li></ul>"),
+        ("```py\n<b>\n- x\n```\n~~~\nopen", "<pre><code>&lt;b&gt;\n- x\n</code></pre><pre><code>open\n</code></pre>"),
+        ("> a\n> > b\n> - c\nd", "<blockquote><p>a</p><blockquote><p>b</p></blockquote><ul><li>c</li></ul></blockquote><p>d</p>"),
+        ("| a | b |\n|:-|-:|\n| `x` | **y** |\n- i", "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td><code>x</code></td><td><strong>y</strong></td></tr></tbody></table><ul><li>i</li></ul>"),
+        ("⚠️ mind\nmissing 不等于 none\n*made by*\n---\n**b**", '<div class="notice">⚠️ mind</div><div class="notice">missing 不等于 none</div><footer>made by</footer><p><strong>b</strong></p>'),
+        ("[a](https://u?x=1&y) [z](javascript:y) it's", '<p><a href="https://u?x=1&amp;y">a</a> z it\'s</p>'),
+        ("", ""),
+    ],
+)
+def test_markdown_as_html(markdown, html):
+    assert to_html(markdown) == html
+
+
+def test_deep_quotes_and_long_texts_end():
+    assert to_html(">" * 5000 + " x").count("<p>") == 1
+    assert to_html("- a\n" * 50_000).count("<li>") == 50_000
+
+
 def test_conservation_names_a_misspelt_value(spark):
     rows = [(1, "保留", "进入全文", "纳入", ""), (2, "保 留", "", "", ""), (3, "重复#1", "", "", "")]
     led = spark.createDataFrame(rows, "seq int, dedup string, ta_screen string, ft_screen string, exclude_code string")

@@ -11,6 +11,7 @@ from citeloom.operators import batch as B
 from citeloom.operators import works as W
 from citeloom.plans.views import duck, view
 from citeloom.registry import query
+from citeloom.sinks import payloads
 
 _DOI = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(doi), '(?i)^https://doi[.]org/', ''), '(?i)^http://doi[.]org/', ''), '(?i)^doi[.]org/', ''), '(?i)^doi:', '')))"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -214,6 +215,18 @@ def rank_works_all(spark, sf_dir):
     return W.rank_works(_works(spark, sf_dir)).select("key", "rank")
 
 
+@query("search_payload", f"""{_COVER.replace(duck('v_queries'), duck('v_hits', 'v_queries'))}, {_fused()}
+    SELECT row_number() OVER (ORDER BY coalesce(year, 0) DESC, first_ord)::INT AS place, key, n_hits FROM fused
+    UNION ALL SELECT 0, (SELECT CASE WHEN bool_and(outcome = 'error') FILTER (calls IS NOT NULL AND role = 'core') THEN 'offline' WHEN bool_or(calls IS NOT NULL AND outcome IN ('error', 'degraded')) THEN 'degraded' ELSE 'ok' END FROM cov), count(*) FROM fused""")
+def search_payload(spark, sf_dir):
+    """A search's document over all works, read back from its lines."""
+    lines = payloads.search_payload("all", _works(spark, sf_dir), view(spark, sf_dir, "v_queries")).filter(F.col("part") < payloads.TAIL)
+    head = F.from_json(F.concat(F.col("line"), F.lit("]}")), "network_status string, stats struct<after_dedup:bigint>")
+    row = F.from_json(F.regexp_replace("line", r"\A,", ""), "key string, n_hits bigint")
+    read = lines.select(F.col("place").cast("int").alias("place"), F.when(F.col("part") == payloads.HEAD, F.struct(head["network_status"].alias("key"), head["stats"]["after_dedup"].alias("n_hits"))).otherwise(row).alias("r"))
+    return read.select("place", "r.*")
+
+
 _SUPPLIED = "SELECT s_suppkey::VARCHAR AS id, CASE s_nationkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'guided' WHEN 2 THEN 'web' END AS kind, CASE s_suppkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'supplementary' ELSE 'extra' END AS role, CASE WHEN s_acctbal > 0 THEN 'http://x' END AS base_url, CASE WHEN s_suppkey % 2 = 0 THEN 'search' ELSE 'guess' END AS can FROM supplier"
 
 

@@ -1,5 +1,6 @@
 """Title matches, whole lookups, and batches that break off and are taken up again."""
 
+import json
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ from citeloom.operators import batch as B
 from citeloom.operators import lookups as L
 from citeloom.operators import matching as M
 from citeloom.operators import works as W
+from citeloom.sinks import payloads as P
 
 STOP = {"the", "of", "and", "in", "on", "for", "a", "an", "to", "with", "by"}
 
@@ -144,3 +146,36 @@ def test_source_changes(spark):
     assert got == {("r", 1): False, ("r", 2): True, ("r", 3): False, ("s", 1): True, ("s", 2): True, ("s", 3): True}
     steps = B.source_changes(before, after).withColumn("status", F.lit("ok"))
     assert {r.run: r.exit_code for r in B.exit_states(steps).collect()} == {"r": 3, "s": 3}
+
+
+def written(path):
+    return json.loads("".join(f.read_text() for f in sorted(path.glob("part-*"))))
+
+
+def test_payloads_are_one_document(spark, tmp_path):
+    works = spark.range(5000).select(
+        F.concat(F.lit("k"), F.col("id")).alias("key"), F.lit(2).cast("long").alias("n_hits"), F.col("id").cast("string").alias("first_ord"), F.when(F.col("id") % 3 > 0, 1990 + F.col("id") % 30).cast("int").alias("year"),
+        F.lit(1).alias("n_sources"), F.lit('a "title"\n').alias("title"), F.lit("v").alias("venue"), F.lit("book").alias("type"), F.lit("crossref").alias("primary_source"),
+    ).repartition(7)
+    attempts = spark.createDataFrame([("crossref", "hit", None), ("openalex", "error", "TIMEOUT")], "source string, outcome string, error string")
+    P.write_document(P.search_payload('a "query"', works, attempts), str(tmp_path / "s"))
+    got = written(tmp_path / "s")
+    assert (got["query"], got["network_status"], got["stats"]["raw_hits"], got["stats"]["after_dedup"]) == ('a "query"', "degraded", 10_000, 5000)
+    assert {c["source"]: c["outcome"] for c in got["coverage"]}["openalex"] == "error" and {a["dim"] for a in got["advisories"]} == {"venue", "type", "source"}
+    assert [w["rank"] for w in got["works"]] == list(range(1, 5001)) and got["works"][0]["title"] == 'a "title"\n'
+    years = [w["year"] or 0 for w in got["works"]]
+    assert years == sorted(years, reverse=True) and got["works"][-1]["year"] is None
+    P.write_document(P.search_payload("none", works.limit(0), attempts, 5), str(tmp_path / "e"))
+    assert written(tmp_path / "e")["works"] == []
+
+
+def test_author_and_verify_payloads(spark, tmp_path):
+    people = spark.createDataFrame([(1, "openalex", "A B", "E1", "0000-0001-2345-6789", 5, "U", True), (2, "openalex", "A. B", "E2", "0000-0001-2345-6789", 2, "U", False), (3, "openalex", "C", "E3", None, 9, None, False)], "ord int, source string, name string, entity_id string, orcid string, works_count long, affiliation string, exact_name_match boolean")
+    P.write_document(P.author_payload("A B", people, reported=10), str(tmp_path / "a"))
+    got = written(tmp_path / "a")
+    assert [(c["rank"], c["name"], c["n_entities"]) for c in got["candidates"]] == [(1, "C", 1), (2, "A B", 2)] and got["warnings"]["cut"] and got["total_found"] == 10
+    judged = spark.createDataFrame([(2, "VERIFIED"), (1, "NOT_FOUND"), (3, "VERIFIED")], "ref_id int, status string")
+    queries = spark.createDataFrame([(1, "crossref", "miss", None, True), (2, "crossref", "hit", None, False)], "ref_id int, source string, outcome string, error string, from_cache boolean")
+    P.write_document(P.verify_payload(judged, queries), str(tmp_path / "v"))
+    got = written(tmp_path / "v")
+    assert [i["ref_id"] for i in got["items"]] == [1, 2, 3] and got["stats"]["calls"] == 2 and {s["status"]: s["n"] for s in got["by_status"]} == {"VERIFIED": 2, "NOT_FOUND": 1}

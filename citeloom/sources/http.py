@@ -8,12 +8,14 @@ to it, and a request that the cache can answer is never sent.
 
 from __future__ import annotations
 
+import os
 import random
 import socket
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,9 +38,32 @@ class Failed(Exception):
         self.code, self.after = code, after
 
 
-def open_url(url: str, agent: str, accept: str) -> str | None:
+#: Environment variables that hold a source's key, and the one with an address to be told.
+KEYS = {"semantic_scholar": "SEMANTIC_SCHOLAR_API_KEY", "pubmed": "NCBI_API_KEY"}
+MAILTO = "CITELOOM_MAILTO"
+
+
+def credentials(environ: Mapping[str, str] = os.environ) -> dict[str, str]:
+    """Keys of the sources that have one in the environment; read on the driver, blank is none."""
+    return {s: environ[name].strip() for s, name in KEYS.items() if environ.get(name, "").strip()}
+
+
+def agent_name(name: str = "citeloom/1", environ: Mapping[str, str] = os.environ) -> str:
+    """How requests name themselves, with an address where the environment has one."""
+    mail = environ.get(MAILTO, "").strip()
+    return f"{name} (mailto:{mail})" if mail else name
+
+
+def signed(source: str, url: str, key: str | None) -> tuple[str, dict[str, str]]:
+    """A request's URL and headers with the source's key in the place where it is read."""
+    if key and source == "pubmed":
+        return f"{url}{'&' if '?' in url else '?'}api_key={quote(key)}", {}
+    return url, {"x-api-key": key} if key and source == "semantic_scholar" else {}
+
+
+def open_url(url: str, agent: str, accept: str, headers: dict[str, str] | None = None) -> str | None:
     """The text at a URL, or None where there is nothing."""
-    request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept": accept})
+    request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept": accept, **(headers or {})})
     try:
         with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
             return answer.read().decode("utf-8")
@@ -87,8 +112,8 @@ def task_of(source: Column) -> Column:
 
 def fetch(requests: DataFrame, agent: str = "citeloom/1", credentials: dict[str, str] | None = None, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Answers to requests (source, key, url, and accept where it matters); a miss has neither
-    payload nor error."""
-    held = set(credentials or {})
+    payload nor error. A key goes into the request itself, never into what is kept of it."""
+    held = dict(credentials or {})
     asked = requests if "accept" in requests.columns else requests.withColumn("accept", F.lit("application/json, application/atom+xml;q=0.9, */*;q=0.8"))
     call = opener or open_url
 
@@ -99,12 +124,14 @@ def fetch(requests: DataFrame, agent: str = "citeloom/1", credentials: dict[str,
             for source, key, url, accept in zip(b["source"], b["key"], b["url"], b["accept"]):
                 pause = PAUSE.get(source, (OTHER, OTHER))[source in held]
 
-                def once(source=source, url=url, accept=accept, pause=pause) -> str | None:
+                url, headers = signed(source, url, held.get(source))
+
+                def once(source=source, url=url, accept=accept, pause=pause, headers=headers) -> str | None:
                     wait = last.get(source, float("-inf")) + pause - time.monotonic()
                     if wait > 0:
                         sleep(wait)
                     last[source] = time.monotonic()
-                    return call(url, agent, accept)
+                    return call(url, agent, accept, headers) if headers else call(url, agent, accept)
 
                 payload, error = tried(once, sleep, random.random)
                 rows.append((source, key, payload, error, pd.Timestamp.now(tz="UTC").tz_localize(None)))

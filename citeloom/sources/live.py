@@ -25,7 +25,7 @@ from pyspark.sql.datasource import (
 
 from citeloom.functions.requests import SCHOLAR_FIELDS
 from citeloom.model import dims
-from citeloom.sources.http import OTHER, PAUSE, Failed, open_url, tried
+from citeloom.sources.http import OTHER, PAUSE, Failed, open_url, signed, tried
 
 SCHEMA = "source STRING, page INT, place INT, title STRING, doi STRING, year INT, type STRING, payload STRING"
 SEARCHED = ("crossref", "openalex", "semantic_scholar", "arxiv", "pubmed", "eric")
@@ -180,9 +180,9 @@ class SearchReader(DataSourceReader):
     def read(self, partition: Pages) -> Iterator[tuple]:
         source, w = partition.source, self.wanted
         base = self.options.get(f"base.{source}", f"https://{source}")
-        held = source in self.options.get("credentials", "").split(",")
-        pause = PAUSE.get(source, (OTHER, OTHER))[held] * partition.shared * float(self.options.get("patience", "1"))
-        ask = _asking(pause, self.options.get("agent", "citeloom/1"))
+        key = self.options.get(f"key.{source}")
+        pause = PAUSE.get(source, (OTHER, OTHER))[key is not None] * partition.shared * float(self.options.get("patience", "1"))
+        ask = _asking(source, key, pause, self.options.get("agent", "citeloom/1"))
         for page in range(partition.first, partition.last):
             text = ask(_url(source, base, w, page * self.rows, self.rows))
             if source == "pubmed" and text is not None:
@@ -200,18 +200,20 @@ class SearchReader(DataSourceReader):
                 return
 
 
-def _asking(pause: float, agent: str) -> Callable[[str], str | None]:
+def _asking(source: str, key: str | None, pause: float, agent: str) -> Callable[[str], str | None]:
     """A call that waits between requests and tries again; an error that stays ends the task."""
     last = float("-inf")
 
     def ask(url: str) -> str | None:
+        url, headers = signed(source, url, key)
+
         def once() -> str | None:
             nonlocal last
             wait = last + pause - time.monotonic()
             if wait > 0:
                 time.sleep(wait)
             last = time.monotonic()
-            return open_url(url, agent, "application/json, application/atom+xml;q=0.9, */*;q=0.8")
+            return open_url(url, agent, "application/json, application/atom+xml;q=0.9, */*;q=0.8", headers)
 
         text, error = tried(once, lambda s: time.sleep(s * min(1.0, pause)), random.random)
         if error:

@@ -88,6 +88,8 @@ def test_sources_and_pages_that_are_not_wanted_are_not_asked(spark):
         assert sorted(int(parse_qs(urlparse(p).query)["offset"][0]) for p in asked if p.startswith("/crossref")) == [0, 2, 4, 6]
         assert search(spark, base, ["arxiv"]).filter("year = 2002").first().title == "A"
         assert search(spark, base, ["eric"]).count() == 0
+        search(spark, base, ["pubmed"], **{"key.pubmed": "k1"}).collect()
+        assert asked[-1].endswith("&retmode=json&api_key=k1")
 
 
 def test_a_search_needs_a_query_and_sources_that_can(spark):
@@ -105,3 +107,22 @@ def test_every_source_has_a_task_of_its_own(spark):
     tasks = {r.source: {x.task for x in dealt.collect() if x.source == r.source} for r in rows.select("source").distinct().collect()}
     assert len(tasks) == 7 and all(len(t) == 1 for t in tasks.values()) and len(set.union(*tasks.values())) == 7
     assert 0 <= spark.range(1).select(H.task_of(F.lit("of no registry"))).first()[0] - len(dims.SOURCES) < H.OTHERS
+
+
+def test_keys_come_from_the_environment_and_go_where_they_are_read(spark):
+    env = {"NCBI_API_KEY": "k 1", "SEMANTIC_SCHOLAR_API_KEY": " s2 ", "CITELOOM_MAILTO": "a@b.org"}
+    held = H.credentials(env)
+    assert held == {"pubmed": "k 1", "semantic_scholar": "s2"} and H.credentials({"NCBI_API_KEY": " "}) == {}
+    assert H.agent_name(environ=env) == "citeloom/1 (mailto:a@b.org)" and H.agent_name(environ={}) == "citeloom/1"
+    assert H.signed("pubmed", "http://x/e?db=p", "k 1") == ("http://x/e?db=p&api_key=k%201", {}) and H.signed("crossref", "u", None) == ("u", {})
+
+    def opener(url, agent, accept, headers=None):
+        return f"{url}|{(headers or {}).get('x-api-key')}"
+
+    rows = spark.createDataFrame([(s, s, f"http://{s}?q=1") for s in ("pubmed", "semantic_scholar", "crossref")], "source string, key string, url string")
+    got = {r.key: r.payload for r in H.fetch(rows, credentials=held, opener=opener, sleep=_no_wait).collect()}
+    assert got == {"pubmed": "http://pubmed?q=1&api_key=k%201|None", "semantic_scholar": "http://semantic_scholar?q=1|s2", "crossref": "http://crossref?q=1|None"}
+
+
+def _no_wait(_):
+    pass

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.session import dealt
+
 _ORD = (
     "md5(concat_ws('|', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), "
     "cast(cast(round(l_quantity) as bigint) as string), cast(cast(round(l_extendedprice * 100) as bigint) as string), "
@@ -185,11 +187,13 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the Parquet tables of `sf_dir`."""
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A view over the Parquet tables of `sf_dir`, whose rows are dealt over all tasks first where
+    short rows become long texts (`spread`)."""
     sql = VIEWS[name]
     used = set(re.findall(r"(?<![{])[{](\w+)[}]", sql))
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    return spark.sql(sql, **{t: dealt(df) if spread else df for t, df in tables.items()})
 
 
 def duck(*names: str) -> str:

@@ -51,6 +51,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` dealt anew over as many tasks as a shuffle has, and four a core at least: for rows that
+    are few bytes, so that one task would read them all, and much work each."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` worked out once, in the folder that the driver and all executors share.
 

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,9 @@ from citeloom.functions import text as X
 from citeloom.model import dims
 
 ENTRY = "file STRING, seq INT, kind STRING, fields MAP<STRING,STRING>, problem STRING"
+#: The same for Arrow, and how many entries are sent back at once.
+_ENTRY = pa.schema([("file", pa.string()), ("seq", pa.int32()), ("kind", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("problem", pa.string())])
+ENTRIES = 1000
 _CJK_SIGN = "[一-鿿㐀-䶿　-〿]"
 
 
@@ -104,16 +108,23 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
-def parse_bibtex(files: DataFrame) -> DataFrame:
-    """Entries of (file, text) rows, with those that cannot be used and why."""
+def entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, text) as entries, `ENTRIES` at once, of many small files or of one large one."""
+    found: list[dict] = []
+    for b in batches:
+        for file, text in zip(*(c.to_pylist() for c in b.columns)):
+            for seq, (kind, fields, problem) in enumerate(bibtex_entries(text or "")):
+                found.append({"file": file, "seq": seq, "kind": kind, "fields": list(fields.items()), "problem": problem})
+                if len(found) == ENTRIES:
+                    yield pa.RecordBatch.from_pylist(found, _ENTRY)
+                    found = []
+    if found:
+        yield pa.RecordBatch.from_pylist(found, _ENTRY)
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, text in zip(b["file"], b["text"]):
-                rows = [(file, i, k, f, p) for i, (k, f, p) in enumerate(bibtex_entries(text or ""))]
-                yield pd.DataFrame(rows, columns=["file", "seq", "kind", "fields", "problem"])
 
-    return files.select("file", "text").mapInPandas(parts, ENTRY)
+def parse_bibtex(files: DataFrame) -> DataFrame:
+    """Entries of (file, text) rows, with those that cannot be used and why."""
+    return files.select("file", "text").mapInArrow(entry_batches, ENTRY)
 
 
 def _ris_text(c: Column) -> Column:

@@ -1,5 +1,6 @@
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,15 @@ def test_exports(spark):
     assert [(x.seq, x.malformed) for x in led] == [(1, False), (2, True)]
 
 
+def test_bibtex_entries_come_back_many_at_once(spark):
+    entry = "@article{a, title={A {B} C}, year=2020}\n"
+    for files in ([(str(k), entry) for k in range(2 * E.ENTRIES + 1)], [("one", entry * (2 * E.ENTRIES + 1))], [("x", None), ("y", entry * E.ENTRIES)], []):
+        got = list(E.entry_batches(iter([pa.RecordBatch.from_pylist([{"file": f, "text": t} for f, t in files[k : k + 1000]], pa.schema([("file", pa.string()), ("text", pa.string())])) for k in range(0, len(files), 1000)])))
+        assert [b.num_rows for b in got] == ([E.ENTRIES, E.ENTRIES, 1] if len(files) > 2 or len(files) == 1 else [E.ENTRIES] if files else [])
+    # and a small table of many files is read by all tasks
+    assert registry.QUERIES["import_bibtex"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()

@@ -8,9 +8,9 @@ looked at by themselves.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +24,14 @@ W = r" \t\p{Z}"
 CUT, MARK = "\u0002", "\u0001"
 
 _FENCE = rf"(?m)^[{W}]*(?:```|~~~)[^\n]*$"
+_BREAKS = "\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+
+
 def plain_lines(c: Column) -> Column:
-    """The text with one kind of line end and without the signs used here."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]", "\n"), f"[{MARK}{CUT}]", "")
+    """The text with one kind of line end and without the signs used here; most texts are so
+    already, and one look tells."""
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, f"\r\n|[{_BREAKS}]", "\n"), f"[{MARK}{CUT}]", "")
+    return bound(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(f"[{_BREAKS}{MARK}{CUT}]"), plain(t)).otherwise(t))
 
 
 def without_front_matter(c: Column) -> Column:
@@ -142,6 +147,7 @@ _OPEN, _CLOSE, _END = (re.escape(s) for s in (dims.OPENERS, dims.CLOSERS, dims.S
 #: an opening or a closing sign, a straight quote.
 _SIGNS = re.compile(rf"(?P<end>[{_END}]+)(?P<after>[{_CLOSE}]*)|(?P<open>[{_OPEN}]+)|(?P<close>[{_CLOSE}]+)|\"")
 _LETTERS = re.compile(r"[A-Za-z]{1,12}\Z")
+_DIGIT = re.compile(r"\d")
 _CITED = [re.compile(p) for p in (dims.CITED_BY_YEAR, dims.CITED_BY_NUMBER)]
 
 
@@ -174,6 +180,8 @@ def sentences_of(text: str) -> list[str]:
 def cited_at(sentence: str) -> tuple[int, int, int]:
     """Citations at the beginning, in the middle and at the end of a sentence."""
     found = [0, 0, 0]
+    if not _DIGIT.search(sentence):  # both patterns hold one
+        return tuple(found)
     size = len(sentence.rstrip(dims.SENTENCE_END + "." + dims.CLOSERS))
     for pattern in _CITED:
         for m in pattern.finditer(sentence):
@@ -181,12 +189,16 @@ def cited_at(sentence: str) -> tuple[int, int, int]:
     return tuple(found)
 
 
-_SENTENCE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("at_head", "inside", "at_end")]]))
+_PLACES = ("at_head", "inside", "at_end")
+_SENTENCE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in _PLACES]]))
 
 
-@F.pandas_udf(_SENTENCE)
-def sentences(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(_SENTENCE)
+def sentences(texts: pa.Array) -> pa.Array:
     """Sentences with their citations' places. Needs open brackets counted, which no
     regular expression does; it looks at signs only, not at letters."""
-    for s in parts:
-        yield s.map(lambda t: [dict(zip(("text", "at_head", "inside", "at_end"), (x, *cited_at(x)))) for x in sentences_of(t or "")])
+    found = [sentences_of(t or "") for t in texts.to_pylist()]
+    flat = [x for s in found for x in s]
+    places = zip(*map(cited_at, flat)) if flat else ((), (), ())
+    rows = pa.StructArray.from_arrays([pa.array(flat, pa.string()), *[pa.array(p, pa.int32()) for p in places]], names=["text", *_PLACES])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), rows)

@@ -23,7 +23,7 @@ def _docs(spark, sf_dir):
 
 
 def _papers(spark, sf_dir):
-    return view(spark, sf_dir, "v_manuscripts")
+    return view(spark, sf_dir, "v_manuscripts", spread=True)
 
 
 _CHARS = Q.CHARS.format("coalesce(text, '')")

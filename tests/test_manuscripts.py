@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import citeloom.plans  # noqa: F401
+from citeloom import registry
 from citeloom.functions import markdown as M
 from citeloom.functions import spans
 from citeloom.operators import manuscripts as O
@@ -125,3 +127,12 @@ def test_style(spark):
     assert (m["B"].n_sentences, m["B"].len_mean, m["B"].len_std) == (6, 2.0, 0.0) and m["B"].reliable
     c = O.compare_sections(O.measure_sections(spark.createDataFrame([(1, text)], "doc_id int, text string")), ["doc_id"], "section", "position").collect()
     assert {r.feature: (r.least_in, r.most_in) for r in c}["len_mean"] == ("B", "A") and len(c) == len(O.FEATURES)
+
+
+def test_sections_are_measured_where_they_lie(spark):
+    """No string of a text is shuffled, a document's sections meet once, and a small table of long texts is dealt over all tasks."""
+    plan = registry.QUERIES["feature_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange RoundRobinPartitioning") == 1
+    texts = spark.createDataFrame([(1, "研究深度研究深度研究深度"), (2, None), (3, "深度。深度，深度")], "doc_id int, text string")
+    assert {r.doc_id: [(t.term, t.n) for t in r.terms] for r in O.likely_terms(texts, ["doc_id"]).collect()} == {i: [(t["term"], t["n"]) for t in O.terms_of(x)] for i, x in [(1, "研究深度研究深度研究深度"), (2, ""), (3, "深度。深度，深度")]}
+    assert [(t["term"], t["n"]) for t in O.terms_of("深度。深度，深度")] == [("深度", 3)]

@@ -30,9 +30,8 @@ def normalize_str(c: Column) -> Column:
 
 def title_tokens(c: Column) -> Column:
     """Distinct words but stop words; punctuation parts words here."""
-    words = F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]", " "), r"\s+")
-    stop = F.array(*[F.lit(w) for w in dims.TITLE_STOPWORDS])
-    return F.array_distinct(F.filter(F.array_except(words, stop), lambda w: w != ""))
+    stop = F.array(*[F.lit(w) for w in ("", *dims.TITLE_STOPWORDS)])
+    return F.array_except(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), stop)
 
 
 def title_overlap(a: Column, b: Column) -> Column:

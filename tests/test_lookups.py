@@ -45,6 +45,29 @@ def test_title_matches_against_brute_force(spark, postings, monkeypatch):
     assert {(r.ref_id, r.source, r.place): (r.ord, round(r.overlap, 9)) for r in got.collect()} == plain_matches(refs, hits)
 
 
+@pytest.mark.parametrize("rare", [0, 2, 40, 10_000])
+def test_titles_by_classes_against_brute_force(spark, rare):
+    rnd = random.Random(rare)
+    # three frequent words and a number that one or two titles have: all titles of a kind are alike
+    title = lambda: " ".join([rnd.choice(["red", "blue"]), rnd.choice(["bolt", "ring"]), "brand", str(rnd.randint(1, 3)), str(rnd.randint(1, 200))][: rnd.choice([2, 4, 5, 5, 5, 5])])
+    refs = [(i, title()) for i in range(80)]
+    hits = [(rnd.choice(["crossref", "openalex", "eric"]), f"o{i:03d}", title()) for i in range(300)]
+    got = M.title_matches(spark.createDataFrame(refs, "ref_id int, title string"), spark.createDataFrame(hits, "source string, ord string, title string"), rare=rare)
+    assert {(r.ref_id, r.source, r.place): (r.ord, round(r.overlap, 9)) for r in got.collect()} == plain_matches(refs, hits)
+
+
+def test_alike_titles_are_not_paired(spark):
+    """1,000 titles on both sides with all words but one in common make 1,000 pairs to look at and not a million."""
+    n = 1000
+    titles = spark.range(n).select(F.concat(F.lit("red bolt brand 7x y"), "id").alias("title"), "id")
+    refs, hits = titles.select(F.col("id").alias("ref_id"), "title"), titles.select(F.lit("eric").alias("source"), F.lpad(F.col("id").cast("string"), 4, "0").alias("ord"), "title")
+    counted = M._counted([t.select(M.title_key(F.col("title")).alias("key")).select("key", F.split("key", " ").alias("words")).withColumn("n", F.size("words")) for t in (refs, hits)])
+    few = F.col("titles") <= M.RARE
+    assert M._probed(counted[0], 0.8).filter(few).join(M._indexed(counted[1]).filter(few), "token").count() == n
+    got = {(r.ref_id, r.place): (r.ord, r.overlap) for r in M.title_matches(refs, hits).collect()}
+    assert len(got) == 5 * n and got[700, 1] == ("0700", 1.0) and [got[700, p] for p in (2, 3, 4, 5)] == [(f"000{k}", 0.8) for k in range(4)]
+
+
 def test_title_matches_of_none(spark):
     refs, hits = spark.createDataFrame([], "ref_id int, title string"), spark.createDataFrame([("a", "o", "some title")], "source string, ord string, title string")
     assert M.title_matches(refs, hits).count() == 0
